@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import maxscore, media, mixing, packing, secrets, simhash, token_files, toxicity
+from . import licenses, maxscore, media, mixing, packing, repeats, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_media": media.op6_media,
     "op7_simhash": simhash.op7_simhash,
+    "op8_repeats": repeats.op8_repeats,
+    "op9_licenses": licenses.op9_licenses,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {"op1_mixing": mixing.OP1_SQL, "op3_maxscore": maxscore.OP3_SQL}
