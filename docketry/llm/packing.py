@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,20 @@ _TOKENS = "_key long, doc_id long, source string, n_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
+@cache
+def _codec() -> tuple:
+    """One compressor and decompressor per worker: making them costs more than a text's ids."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack_ids(ids: bytes) -> bytes:
     """Ids below 65536 (all of the vocabulary) as compressed byte planes."""
     planes = np.frombuffer(ids, dtype="<u4").astype("<u2").view(np.uint8).reshape(-1, 2).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _codec()[0].compress(planes.tobytes())
 
 
 def unpack_ids(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(2, -1)
+    planes = np.frombuffer(_codec()[1].decompress(data), dtype=np.uint8).reshape(2, -1)
     return np.ascontiguousarray(planes.T).view("<u2").ravel().astype("<u4")
 
 

@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew; bounds its memory.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 1_500_000
 #: Longer pieces are encoded and not remembered.
 LONG_PIECE = 40
 
 _made: dict[tuple[str, str], "Pieces"] = {}
 
 
+#: The printable stand-ins of byte-level vocabularies: byte -> character.
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
+
+
 class Pieces(dict):
     """Piece of text -> its ids as little-endian unsigned 32-bit integers.
 
     A piece is cut where the vocabulary's own splitting rule must cut, so that its ids do not
-    depend on its neighbours; texts for which that is not sure go to the library whole.
+    depend on its neighbours; texts for which that is not sure go to the library whole. A piece of
+    letters alone is one unit of the splitting rule and goes to the library's merge model at once.
     """
 
     #: Marks that the splitting rules keep apart from letters; no apostrophe, which may join them.
-    MARKS = ".,!?;:"
+    MARKS = ".,!?;:|#$%&*"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def letters(self, unit: str) -> bytes:
+        shown = unit if unit.isascii() else unit.encode().decode("latin-1")
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown.translate(_BYTES))])
+
     def keep(self, piece: str, ids: bytes) -> bytes:
         if len(piece) <= LONG_PIECE:
             if len(self) >= CACHE_PIECES:
@@ -48,41 +59,91 @@ class WordPieces(Pieces):
     """For word_bpe: white space separates words and is dropped; letters, digits and marks split."""
 
     #: White space to Python and not to the library.
-    odd = re.compile("[\x1c-\x1f]")
+    odd = "\x1c\x1d\x1e\x1f"
 
     def __missing__(self, word: str) -> bytes:
+        if not word.isascii() and (not unicodedata.is_normalized("NFC", word) or "\u0130" in word):
+            return self.keep(word, self.whole(word))
+        if word.isalpha():
+            low = word.lower()
+            if low != word and word.isascii():
+                return self.keep(word, self[low])
+            # Beyond Latin, the library's lower case may differ from Python's.
+            return self.keep(word, self.letters(low) if max(low) < "\u0250" else self.whole(word))
         base = word.rstrip(self.MARKS)
         if base != word and base.isalpha():
             return self.keep(word, self[base] + self[word[len(base):]])
         return self.keep(word, self.whole(word))
 
     def ids(self, text: str) -> bytes:
-        if not self.plain(text) or self.odd.search(text):
-            return self.whole(text)
+        if not self.plain(text) or any(c in text for c in self.odd) or "\u0130" in text:
+            return self.whole(text)  # a lower-case dotted I is two characters, which moves the library's units
         return b"".join(map(self.__getitem__, text.split()))
 
 
-class BytePieces(Pieces):
-    """For byte_bpe: a space joins the word after it, so texts are cut before single spaces."""
+class _Odd(Exception):
+    """White space meets white space: units may cross the cut."""
+
 
-    odd = re.compile(r"(?:^|\s) (?:\s|$)")
+def _edged(piece: str) -> bool:
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
+
+class _Bare(dict):
+    """Ids of pieces that no space precedes."""
+
+    def __init__(self, spaced: BytePieces) -> None:
+        self.spaced = spaced
 
     def __missing__(self, piece: str) -> bytes:
-        if "\n" in piece:
-            lines = piece.split("\n")
-            if all(lines) and not lines[0].isspace() and len("".join(lines).split()) == 1:
-                return self["\n"].join([self[x] for x in lines])
-        base = piece.rstrip(self.MARKS)
-        if base != piece and base[base[:1] == " ":].isalpha():
-            return self.keep(piece, self[base] + self[piece[len(base):]])
-        return self.keep(piece, self.whole(piece))
+        if _edged(piece):
+            raise _Odd
+        base = piece.rstrip(Pieces.MARKS)
+        if base.isalpha():
+            found = self.spaced.letters(base) + (self[piece[len(base):]] if base != piece else b"")
+        else:
+            found = self.spaced.whole(piece)
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= CACHE_PIECES // 4:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class BytePieces(Pieces):
+    """For byte_bpe: a space joins the word after it, so texts are cut into lines and before spaces.
+
+    Keys are the words behind a space, without it.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.bare = _Bare(self)
+        self.line_end = self.whole("\n")
+
+    def __missing__(self, word: str) -> bytes:
+        if _edged(word):
+            raise _Odd
+        base = word.rstrip(self.MARKS)
+        if base.isalpha():
+            ids = self.letters(" " + base) if base == word else self[base] + self.bare[word[len(base):]]
+            return self.keep(word, ids)
+        return self.keep(word, self.whole(" " + word))
 
     def ids(self, text: str) -> bytes:
-        if not self.plain(text) or self.odd.search(text):
+        if not text or not self.plain(text):
+            return self.whole(text)
+        spaced, bare, out = self.__getitem__, self.bare, []
+        try:
+            for line in text.split("\n"):
+                words = line.split(" ")
+                out.append(bare[words[0]])
+                out.extend(map(spaced, words[1:]))
+                out.append(self.line_end)
+        except _Odd:
             return self.whole(text)
-        first, *rest = text.split(" ")
-        get = self.__getitem__
-        return (get(first) if first else b"") + b"".join([get(" " + w) for w in rest])
+        out.pop()
+        return b"".join(out)
 
 
 KINDS = {"word_bpe_49k.json": WordPieces, "byte_bpe_50k.json": BytePieces}
