@@ -7,7 +7,7 @@ import unicodedata
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew; bounds its memory.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 800_000
 #: Longer pieces are encoded and not remembered.
 LONG_PIECE = 40
 
