@@ -46,7 +46,7 @@ UNKNOWN = [
     "This license expires at the end of the month.", "Which license should we choose for this work?", "The author reserved a table under a false name.",
 ]
 #: A paragraph without any of these words is not of a license: every template has one.
-ANCHORS = r"(?i)licen[sc]e|rights reserved|permission|redistribut|public domain|spdx|creative commons"
+ANCHORS = r"(?i)licen[sc]e|rights reserved|permission|redistribut|public domain|spdx|creative commons|\bgnu\b"
 UNKNOWN_CLASS = "unknown"
 #: Least probability of a family, and least share of a template's word pairs that the paragraph has.
 LEAST_PROBABILITY, LEAST_TEMPLATE = 0.5, 0.7

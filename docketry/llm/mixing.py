@@ -103,9 +103,10 @@ def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, a row as often as the mix takes it (a cut one whole)."""
-    mixed = mix(docs, keep=[c for c in docs.columns if c != "doc_id"])
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    mixed = mix(rows, keep=["row"]).filter("taken > 0")
     turns = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return mixed.filter("taken > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), turns))).select(*docs.columns)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), turns)).alias("turn")).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -204,9 +204,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of near-duplicates: the one with the smallest doc_id."""
     groups = near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-    return rows if common.unique(docs, "doc_id") else rows.dropDuplicates(["doc_id"])
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if not common.unique(docs, "doc_id"):
+        rows = rows.groupBy("doc_id").agg(F.min("row").alias("row"))
+    return rows.select("row.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -148,12 +149,12 @@ def scorer(by_slot: dict[int, float], bias: float):
     return score
 
 
-def _scores(by_slot: dict[int, float], bias: float):
+def _scores(by_slot: dict[int, float], bias: float, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(by_slot, bias)
         for batch in batches:
             out = pa.array([score(t) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], out], [*kept, "score"])
 
     return run
 
@@ -179,31 +180,23 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}, bias
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs and ``score``: how likely a reader marks the whole text toxic.
+def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Columns of docs (those in keep, or all) and ``score``: how likely the whole text is marked toxic.
 
     Null and empty texts get the score of no words. Labels without a document, null labels and
     documents without labels are allowed; with repeated labels the highest counts. Rows with null
     doc_ids are scored and never learned from. An empty table gives an empty result. Only the text
-    enters a score.
+    enters a score; a column that is called score already is replaced.
     """
     weights, bias = train(docs, labels)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(_scores(weights, bias), schema)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    schema = T.StructType([*[f for f in docs.schema if f.name in kept], T.StructField("score", T.DoubleType())])
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(_scores(weights, bias, kept), schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    weights, bias = train(docs, labels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(weights, bias)
-        for batch in batches:
-            out = pa.array([score(t) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], ["doc_id", "score"])
-
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
     return scored.select(
         "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False)).alias("held_out"),
         "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
@@ -212,4 +205,7 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic."""
-    return score_documents(docs, labels).filter("score < 0.5").drop("score")
+    weights, bias = train(docs, labels)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    schema = T.StructType([named.schema["row"], T.StructField("score", T.DoubleType())])
+    return named.mapInArrow(_scores(weights, bias, ["row"]), schema).filter("score < 0.5").select("row.*")
