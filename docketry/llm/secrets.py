@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ LEAST_LABELLED = 12
 ALPHA = 0.05
 #: Every so many labelled credentials one is kept back to set the threshold.
 KEEP_BACK = 4
-#: A candidate may score so much less per symbol than the worst one kept back.
+#: A candidate may score so much less or more per symbol than any that was kept back.
 SLACK = 0.02
 REDACTED = "[SECRET]"
 
@@ -129,8 +130,25 @@ class Automaton:
         return total / (len(s) + 1)
 
 
-def infer(labelled: dict[str, list[str]]) -> list[tuple[Automaton, float]]:
-    """An automaton and its threshold for each kind with enough labelled credentials."""
+class Format(NamedTuple):
+    """An automaton, and the lengths and scores of the labelled credentials that are its own.
+
+    Strings that are far likelier than any credential, such as digits alone where the format has
+    hex digits, are as foreign to it as unlikely ones.
+    """
+
+    automaton: Automaton
+    shortest: int
+    longest: int
+    least: float
+    most: float
+
+    def holds(self, string: str) -> bool:
+        return self.shortest <= len(string) <= self.longest and self.least <= self.automaton.score(string) <= self.most
+
+
+def infer(labelled: dict[str, list[str]]) -> list[Format]:
+    """A format for each kind with enough labelled credentials."""
     out = []
     for kind in sorted(labelled):
         values = [symbols(v) for v in labelled[kind]]
@@ -140,19 +158,20 @@ def infer(labelled: dict[str, list[str]]) -> list[tuple[Automaton, float]]:
         automaton = Automaton(learn)
         scores = [x for x in map(automaton.score, back) if x > -math.inf]
         if scores:
-            out.append((automaton, min(scores) - SLACK))
+            lengths = [len(v) for v in values]
+            out.append(Format(automaton, min(lengths), max(lengths), min(scores) - SLACK, max(scores) + SLACK))
     return out
 
 
-def format_spans(text: str, taken: list[tuple[int, int, int, str]], automata: list[tuple[Automaton, float]]) -> list[tuple[int, int, int, str]]:
-    """Candidates outside the spans taken whose format is likely under an automaton."""
+def format_spans(text: str, taken: list[tuple[int, int, int, str]], formats: list[Format]) -> list[tuple[int, int, int, str]]:
+    """Candidates outside the spans taken that a format holds."""
     found = []
-    for m in CANDIDATE.finditer(text) if automata else ():
+    for m in CANDIDATE.finditer(text) if formats else ():
         value = m[0]
         if not _digit.search(value) or len(set(value)) < 8 or any(s < m.end() and m.start() < e for s, _, e, _ in taken):
             continue
         string = symbols(value)
-        if any(a.score(string) >= least for a, least in automata):
+        if any(f.holds(string) for f in formats):
             found.append((m.start(), 3, m.end(), value))
     return found
 
@@ -164,8 +183,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
 
-def learn(docs: DataFrame) -> list[tuple[Automaton, float]]:
-    """Automata from the credentials that the fixed patterns find in all of docs.
+def learn(docs: DataFrame) -> list[Format]:
+    """Formats from the credentials that the fixed patterns find in all of docs.
 
     Of each kind the MAX_LABELLED distinct values with the least hash are learned from.
     """
@@ -185,13 +204,13 @@ def written(spans: list[tuple[int, int, int, str]]) -> str:
 _DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
 
 
-def _digests(automata):
+def _digests(formats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                more = format_spans(text or "", base, automata)
+                more = format_spans(text or "", base, formats)
                 n = Counter(k for _, k, _, _ in base)
                 rows.append((n[0], n[1], n[2], hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more)), len(more)))
             names = [c.split()[0] for c in _DIGEST.split(", ")]
@@ -209,14 +228,14 @@ def scan(docs: DataFrame) -> DataFrame:
     and empty texts have none. Rows with null or repeated doc_ids are rows of their own. Only
     doc_id and text are read. An empty table, or one without labelled credentials, learns nothing.
     """
-    automata = learn(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(automata), _DIGEST)
+    formats = learn(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(formats), _DIGEST)
 
 
-def redact(text: str, automata) -> str:
+def redact(text: str, formats: list[Format]) -> str:
     base = base_spans(text)
     out, at = [], 0
-    for s, _, e, _ in sorted(base + format_spans(text, base, automata)):
+    for s, _, e, _ in sorted(base + format_spans(text, base, formats)):
         if s >= at:
             out += [text[at:s], REDACTED]
         at = max(at, e)
@@ -225,11 +244,11 @@ def redact(text: str, automata) -> str:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """All rows of docs; in the texts every secret is replaced by REDACTED. n_chars follows, if there."""
-    automata = learn(docs)
+    formats = learn(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else redact(t, automata) for t in batch.column("text").to_pylist()]
+            texts = [None if t is None else redact(t, formats) for t in batch.column("text").to_pylist()]
             at = batch.schema.get_field_index("text")
             columns = batch.columns
             columns[at] = pa.array(texts, pa.string())
