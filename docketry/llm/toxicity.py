@@ -1,10 +1,11 @@
-"""Toxicity by non-negative positive-unlabelled learning over hashed words."""
+"""Toxicity by non-negative positive-unlabelled learning over hashed words and word beginnings."""
 
 from __future__ import annotations
 
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,23 @@ HASH_BITS = 18
 CHOOSE_STEPS, WEIGH_STEPS, SPARSE, RIDGE = 150, 500, 7.0, 3e-5
 #: A word in fewer toxic rows of the sample is not learned from.
 LEAST_ROWS = 3
+#: Letters that a word's beginning has; longer words share a slot by it.
+BEGINNING = 4
 #: Words that the classifier keeps at hand per worker.
 CACHE_WORDS = 500_000
 
 _word = re.compile(r"\w+")
 
 
+def slots_of(word: str) -> tuple[int, ...]:
+    """Hash slots of a word and, if it is longer, of its beginning."""
+    names = (word, f"{word[:BEGINNING]}-") if len(word) > BEGINNING else (word,)
+    return tuple(zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1) for n in names)
+
+
 def word_slots(text: str | None) -> list[int]:
-    """Hash slots of the distinct lower-case words of a whole text."""
-    mask = (1 << HASH_BITS) - 1
-    return sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in set(_word.findall((text or "").lower()))})
+    """Hash slots of the distinct lower-case words of a whole text, and of their beginnings."""
+    return sorted({slot for w in set(_word.findall((text or "").lower())) for slot in slots_of(w)})
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +133,15 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
 
 
 class _Weights(dict):
-    """Word -> weight, remembered."""
+    """Word -> its (slot, weight) pairs that count, remembered."""
 
     def __init__(self, by_slot: dict[int, float]) -> None:
         self.by_slot = by_slot
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[tuple[int, float], ...]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        slot = zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << HASH_BITS) - 1)
-        found = self[word] = (slot, self.by_slot.get(slot, 0.0))
+        found = self[word] = tuple((slot, self.by_slot[slot]) for slot in slots_of(word) if slot in self.by_slot)
         return found
 
 
@@ -142,7 +149,7 @@ def scorer(by_slot: dict[int, float], bias: float):
     words = _Weights(by_slot)
 
     def score(text: str | None) -> float:
-        known = {s: w for s, w in map(words.__getitem__, set(_word.findall((text or "").lower()))) if w}
+        known = dict(chain.from_iterable(map(words.__getitem__, set(_word.findall((text or "").lower())))))
         total = bias + sum(known[s] for s in sorted(known))
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
