@@ -435,5 +435,27 @@ def media_features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(_decode, _FEATURES)
 
 
+_TENSORS = "doc_id long, height int, width int, tensor binary"
+
+
+def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, cell in zip(batch.column("doc_id"), batch.column("media"), strict=True):
+            tensor = rgb(decode(cell.as_py()))
+            columns = [pa.array([doc_id.as_py()], pa.int64()), *[pa.array([n], pa.int32()) for n in tensor.shape[:2]], pa.array([np.ascontiguousarray(tensor).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _TENSORS.split(", ")])
+
+
+def rgb_tensors(media: DataFrame, path: str) -> DataFrame:
+    """Store the full-resolution RGB tensor of each progressive JPEG of (doc_id, media) at path.
+
+    tensor holds height * width * 3 samples of 8 bits, row by row. Rows without media have no
+    tensor; null and repeated doc_ids stay rows of their own; other columns are not read.
+    """
+    common.ship(media.sparkSession)
+    media.filter("media IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(_tensors, _TENSORS).write.mode("overwrite").parquet(path)
+    return media.sparkSession.read.schema(_TENSORS).parquet(path)
+
+
 def op6_media(spark, sf_dir: str) -> DataFrame:
     return media_features(media_column(common.documents(spark, sf_dir)))

@@ -221,6 +221,24 @@ def test_media_columns(spark, docs, none):
     assert media.media_features(media.media_column(none)).count() == 0
 
 
+def test_rgb_tensors_are_stored(spark, tmp_path):
+    files = [(i, None if t is None else media.write_payload(media.payload(t)[0]), 1) for i, t in ((1, "some text"), (None, "é" * 900), (2, None), (1, ""))]
+    df = spark.createDataFrame(files, "doc_id long, media binary, tensor int")
+    got = media.rgb_tensors(df, str(tmp_path / "tensors")).collect()
+    want = Counter((i, media.rgb(media.decode(bytes(m))).tobytes()) for i, m, _ in files if m is not None)
+    assert Counter((r.doc_id, bytes(r.tensor)) for r in got) == want and all(len(r.tensor) == r.height * r.width * 3 for r in got)
+    assert media.rgb_tensors(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_card_numbers_are_no_hex_credentials():
+    rng = random.Random(12)
+    formats = secrets.infer({"hex": ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]})
+    other = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    assert formats and secrets.format_spans(f"a {other} b", [], formats)
+    for digits in (16, 40):
+        assert not secrets.format_spans("card " + "".join(rng.choice("0123456789") for _ in range(digits)), [], formats)
+
+
 def slow_print(text):
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
     words = re.findall(rb"[^\x20\x09-\x0D]+", low)
