@@ -25,6 +25,8 @@ HOT_BUCKET = 200_000
 CHILD_BITS = 5
 #: Node pairs of at most so many fingerprints a side are compared one by one.
 LEAF = 32
+#: A fingerprint with more than one of so many rows is looked up by broadcast; so at most so many are.
+HOT_SHARE = 1000
 #: Pairs compared at a time; bounds memory.
 CHUNK = 1 << 20
 
@@ -192,13 +194,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     common.ship(spark)
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
     prints = common.stash(prints, "fingerprints")
-    classes = common.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = common.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     roots = components(fingerprint_links(classes.select("fp")))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
     merged = rooted.groupBy("root").agg(F.min("least").alias("component"))
     moved = rooted.join(merged, "root").select("fp", "component")
-    final = classes.join(moved, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
-    return prints.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    component = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component"))
+    final = common.stash(classes.join(moved, "fp", "left").select("fp", "n", component.alias("component_id")), "fingerprint-components")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(final.filter(F.col("n") * HOT_SHARE > total).select("fp", "component_id"))
+    usual = final.filter(F.col("n") * HOT_SHARE <= total).select("fp", "component_id")
+    placed = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(usual, "fp"))
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
