@@ -52,14 +52,16 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Rows:
-    """Sparse 0/1 rows over the slots in use."""
+    """Sparse 0/1 rows over the slots in use, from all rows' slots on end and their lengths."""
 
-    def __init__(self, docs: list[np.ndarray], used: np.ndarray) -> None:
-        at = np.full(1 << HASH_BITS, -1, dtype=np.int64)
-        at[used] = np.arange(len(used))
-        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        slot = at[np.concatenate(docs)] if len(docs) else np.zeros(0, np.int64)
-        self.owner, self.slot, self.n, self.width = owner[slot >= 0], slot[slot >= 0], len(docs), len(used)
+    def __init__(self, slots: np.ndarray, lengths: np.ndarray, used: np.ndarray) -> None:
+        at = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+        at[used] = np.arange(len(used), dtype=np.int32)
+        slot = at[slots]
+        kept = slot >= 0
+        self.slot = slot[kept]
+        self.owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[kept]
+        self.n, self.width = len(lengths), len(used)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, w[self.slot], self.n)
@@ -99,17 +101,19 @@ def _descend(rows: _Rows, n_pos: int, prior: float, steps: int, sparse: np.ndarr
     return now[:-1], float(now[-1])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
-    """Weights by slot and the bias: words are chosen under an L1 penalty, then weighed without it."""
-    docs, n_pos = positive + unlabelled, len(positive)
-    common_slots = np.bincount(np.concatenate(positive) if positive else [], minlength=1 << HASH_BITS)
+def fit(slots: np.ndarray, lengths: np.ndarray, n_pos: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights by slot and the bias: words are chosen under an L1 penalty, then weighed without it.
+
+    slots holds the slots of all rows on end, the n_pos positive rows first.
+    """
+    common_slots = np.bincount(slots[: int(lengths[:n_pos].sum())], minlength=1 << HASH_BITS)
     used = np.flatnonzero(common_slots >= min(LEAST_ROWS, n_pos))
     out = np.zeros(1 << HASH_BITS)
-    pooled = np.bincount(np.concatenate(docs), minlength=1 << HASH_BITS)[used] / len(docs)
+    pooled = np.bincount(slots, minlength=1 << HASH_BITS)[used] / len(lengths)
     error = 0.5 * prior * np.sqrt(pooled / n_pos)
-    w, bias = _descend(_Rows(docs, used), n_pos, prior, CHOOSE_STEPS, SPARSE * error, 0.0)
+    w, bias = _descend(_Rows(slots, lengths, used), n_pos, prior, CHOOSE_STEPS, SPARSE * error, 0.0)
     used = used[w != 0]
-    w, bias = _descend(_Rows(docs, used), n_pos, prior, WEIGH_STEPS, np.zeros(len(used)), RIDGE)
+    w, bias = _descend(_Rows(slots, lengths, used), n_pos, prior, WEIGH_STEPS, np.zeros(len(used)), RIDGE)
     out[used] = w
     return out, bias
 
@@ -174,16 +178,20 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     n, toxic = counts.first()
     if not toxic:
         return {}, float(-np.log(199.0))
-    got = rows.mapInArrow(_slots, "positive boolean, slots array<int>").toArrow()
-    flags = np.array(got["positive"].to_pylist(), dtype=bool)
-    slots = [np.array(x, dtype=np.int64) for x in got["slots"].to_pylist()]
-    order = sorted(range(len(slots)), key=lambda i: (len(slots[i]), slots[i].tobytes()))
-    positive = [slots[i] for i in order if flags[i]]
-    unlabelled = [slots[i] for i in order if not flags[i]]
-    if not positive or not unlabelled:
+    got = rows.mapInArrow(_slots, "positive boolean, slots array<int>").toArrow().combine_chunks()
+    positive = got["positive"].to_numpy()
+    n_pos = int(positive.sum())
+    if not n_pos or n_pos == len(positive):
         return {}, float(-np.log(199.0))
+    lists = got["slots"].chunk(0)
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    # An order that no partitioning changes: positive rows first, then by length and slots.
+    order = sorted(range(len(positive)), key=lambda i: (not positive[i], offsets[i + 1] - offsets[i], values[offsets[i] : offsets[i + 1]].tobytes()))
+    lengths = np.diff(offsets)[order]
+    slots = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in order])
+    del got, lists, values
     prior = min(0.95, max(1e-3, toxic / n))
-    w, bias = fit(positive, unlabelled, prior)
+    w, bias = fit(slots, lengths, n_pos, prior)
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}, bias
 
 
