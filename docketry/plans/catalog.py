@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry.operators import chunking, citations, classify, enrich, lines, report, search, state
+from docketry.operators import chunking, citations, classify, enrich, folds, lines, marks, report, search, state
 from docketry.sources import loadfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,29 +275,33 @@ def profile_welford(spark, d):
     return classify.profiles(table(spark, d, "documents"), "lang", ["n_chars", "doc_id"])
 
 
-def _known(docs):
-    """The state of an earlier run: without the newest, with some stale hashes."""
-    stale = F.when(F.col("doc_id") % 11 == 0, F.lit("stale")).otherwise(F.sha2("text", 256))
-    return docs.filter("doc_id % 7 <> 0").select("doc_id", stale.alias("content_hash"))
+def _labelled(spark, d):
+    """The state of an earlier run: the labelled documents, those marked toxic with a stale hash."""
+    return table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("stale"), F.max("quality").alias("quality"))
 
 
-@query("WITH k AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'stale' ELSE sha256(text) END AS kh FROM documents WHERE doc_id % 7 <> 0) SELECT doc_id, sha256(text) AS content_hash FROM documents LEFT JOIN k USING (doc_id) WHERE kh IS NULL OR kh <> sha256(text)")
+_STATE = "WITH k AS (SELECT doc_id, max(toxic) AS stale, max(quality) AS quality FROM labels GROUP BY doc_id)"
+
+
+@query(_STATE + " SELECT doc_id, sha256(text) AS content_hash FROM documents LEFT JOIN k USING (doc_id) WHERE stale IS NULL OR stale = 1")
 def index_diff(spark, d):
-    docs = table(spark, d, "documents")
-    return state.changes(docs.select("doc_id", F.sha2("text", 256).alias("content_hash")), _known(docs), "doc_id")
+    now = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    known = now.join(_labelled(spark, d), "doc_id").select("doc_id", F.when(F.col("stale") == 1, "stale").otherwise(F.col("content_hash")).alias("content_hash"))
+    return state.changes(now, known, "doc_id")
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def index_prune(spark, d):
-    return state.vanished(table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("user_id")), table(spark, d, "events").select("user_id").distinct(), "user_id")
+    return state.vanished(table(spark, d, "labels").select(F.col("doc_id").alias("user_id")), table(spark, d, "events").select("user_id").distinct(), "user_id")
 
 
-@query("""WITH cur AS (SELECT doc_id FROM documents WHERE doc_id % 13 <> 0), ex AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0), ch AS (SELECT doc_id FROM documents WHERE doc_id % 11 = 0)
+@query(_STATE + """, cur AS (SELECT doc_id FROM documents), ch AS (SELECT doc_id FROM k WHERE stale = 1), ex AS (SELECT doc_id FROM k UNION SELECT user_id FROM events)
 SELECT doc_id, 'delete' AS action FROM ex WHERE doc_id NOT IN (SELECT doc_id FROM cur) UNION ALL SELECT doc_id, 'delete' FROM ex WHERE doc_id IN (SELECT doc_id FROM ch)
 UNION ALL SELECT doc_id, 'add' FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM ex) UNION ALL SELECT doc_id, 'add' FROM cur WHERE doc_id IN (SELECT doc_id FROM ex) AND doc_id IN (SELECT doc_id FROM ch)""")
 def vector_update_plan(spark, d):
-    ids = table(spark, d, "documents").select("doc_id")
-    return state.update_plan(ids.filter("doc_id % 13 <> 0"), ids.filter("doc_id % 7 <> 0"), ids.filter("doc_id % 11 = 0"), "doc_id")
+    known = _labelled(spark, d)
+    existing = known.select("doc_id").union(table(spark, d, "events").select("user_id")).distinct()
+    return state.update_plan(table(spark, d, "documents").select("doc_id"), existing, known.filter("stale = 1").select("doc_id"), "doc_id")
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT user_id, max(CASE WHEN rn = 1 THEN event_type END) AS status, count(CASE WHEN event_type = 'error' THEN 1 END) AS retry_count, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS stages, count(*) AS n_events FROM r GROUP BY user_id")
@@ -372,6 +376,130 @@ def opt_group(spark, d):
     return loadfile.group_pages(pages).select(F.col("production").alias("l_orderkey"), "doc", F.size("images").cast("long").alias("n_images"))
 
 
+@query(_LINES + ", f AS (SELECT doc_id, line_no, CASE WHEN line LIKE '%.' THEN page END AS own FROM paged) SELECT doc_id, line_no, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1)::INTEGER AS page FROM f")
+def page_ffill(spark, d):
+    rows = lines.paged(lines.lines(table(spark, d, "documents"))).withColumn("own", F.when(F.col("line").endswith("."), F.col("page"))).drop("page")
+    return lines.carry(rows, ["doc_id"], "line_no", "own", "page").select("doc_id", "line_no", F.coalesce("page", F.lit(-1)).alias("page"))
+
+
+@query(_LINES + """, m AS (SELECT doc_id, line_no, line, page, page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc_id ORDER BY line_no) AS turned FROM paged)
+SELECT doc_id, line_no, 0 AS part, CASE WHEN turned THEN '[PAGE:' || page || ']' ELSE line END AS line FROM m UNION ALL SELECT doc_id, line_no, 1, line FROM m WHERE turned""")
+def page_markers(spark, d):
+    return marks.page_marks(lines.paged(lines.lines(table(spark, d, "documents"))))
+
+
+@query("SELECT doc_id, concat_ws(chr(10), '# ' || doc_id, CASE WHEN source <> '' THEN 'Source: ' || source END, CASE WHEN lang <> '' THEN 'Language: ' || lang END, CASE WHEN n_chars IS NOT NULL THEN 'Characters: ' || n_chars END) AS header FROM documents")
+def header_block(spark, d):
+    fields = {"Source": F.col("source"), "Language": F.col("lang"), "Characters": F.col("n_chars")}
+    return table(spark, d, "documents").select("doc_id", marks.header_block(F.col("doc_id").cast("string"), fields).alias("header"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, 'L' || lpad(l_suppkey::VARCHAR, 6, '0') AS s FROM lineitem)
+SELECT l_orderkey, 'Order ' || l_orderkey || ', ' || min(s) || CASE WHEN min(s) <> max(s) THEN '-' || max(s) ELSE '' END AS citation FROM b GROUP BY l_orderkey""")
+def citation_string(spark, d):
+    stamp = F.concat(F.lit("L"), T.pad_number(F.col("l_suppkey"), F.lit(6)))
+    grouped = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(stamp).alias("stamps"))
+    return grouped.select("l_orderkey", marks.citation_string(F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")), F.col("stamps"), F.array().cast("array<int>")).alias("citation"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber AS page FROM lineitem), n AS (SELECT l_orderkey, max(page) AS last FROM p GROUP BY l_orderkey)
+SELECT l_orderkey, page::INTEGER AS page, 'ABC' || lpad((l_orderkey + page - 1)::VARCHAR, greatest(9, length((l_orderkey + page - 1)::VARCHAR))::INTEGER, '0') AS bates FROM p JOIN n USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey WHERE last >= 1""")
+def bates_derive(spark, d):
+    pages = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("page"), F.lit(None).cast("string").alias("bates"))
+    number = lambda c: T.pad_number(c, F.lit(9))
+    last = pages.groupBy("l_orderkey").agg(F.max("page").alias("n"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    names = last.join(orders, "l_orderkey").select("l_orderkey", F.concat(F.lit("ABC"), number(F.col("l_orderkey")), F.lit("-ABC"), number(F.col("l_orderkey") + F.col("n") - 1)).alias("file_name"))
+    return marks.derive_stamps(pages, names, "l_orderkey")
+
+
+@query(_LINES + """, s AS (SELECT doc_id, line_no, CASE WHEN contains(lower(line), 'the anea.') THEN 1000000 ELSE len(list_intersect(list_distinct(regexp_split_to_array(lower(line), '\\s+')), ['the', 'anea.'])) END AS score FROM lines),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS n FROM s)
+SELECT doc_id, CASE WHEN score > 0 THEN line_no ELSE -1 END::INTEGER AS line_no FROM r WHERE n = 1""")
+def query_page(spark, d):
+    return marks.query_line(table(spark, d, "documents"), "the anea.").fillna(-1, ["line_no"])
+
+
+@query(_SEARCH + r""", shared AS (SELECT doc_id, rank, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), string_split('""" + QUERY_TEXT + r"""', ' ')))::DOUBLE AS score FROM best JOIN documents USING (doc_id) WHERE rank <= 10)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, rank)::INTEGER AS rank FROM shared QUALIFY row_number() OVER (ORDER BY score DESC, rank) <= 5""")
+def rerank_lexical(spark, d):
+    docs = table(spark, d, "documents")
+    found = search.keyword_search(docs, QUERY_TEXT).join(docs.select("doc_id", "text"), "doc_id")
+    return marks.rerank(found, marks.shared_words(QUERY_TEXT, F.col("text")), 5).select("doc_id", "score", "rank")
+
+
+@query("SELECT p_partkey, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(p_type), '{form}') THEN '{t}' END" for t, form in marks.FILE_NAMES.items()) + "], lambda x: x IS NOT NULL)) AS doc_type FROM part")
+def signal_filename(spark, d):
+    return marks.file_name_signal(table(spark, d, "part"), "p_partkey", "p_type")
+
+
+@query("""WITH p AS (SELECT lang, count(n_chars) AS n, round(avg(n_chars::DOUBLE), 6) AS mean, round(var_pop(n_chars::DOUBLE) * count(n_chars), 4) AS m2 FROM documents GROUP BY lang)
+SELECT doc_id, p.lang, round(1 / (1 + sqrt(((n_chars - mean) / greatest(sqrt(CASE WHEN n > 1 THEN m2 / n ELSE 0.01::DOUBLE END), 0.01::DOUBLE)) ** 2)), 6) AS score FROM documents, p""")
+def profile_score(spark, d):
+    docs = table(spark, d, "documents")
+    return marks.profile_scores(docs.drop("lang"), "doc_id", ["n_chars"], classify.profiles(docs, "lang", ["n_chars"]), "lang")
+
+
+@query("SELECT conv_id, list_aggregate(list_sort(list_distinct(list(role) || list('quote'))), 'string_agg', ',') AS quotes FROM conversations GROUP BY conv_id")
+def enrich_merge_quotes(spark, d):
+    said = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"), F.collect_list(F.lit("quote")).alias("more"))
+    return said.select("conv_id", F.array_join(F.array_sort(enrich.merge_quotes(F.col("roles"), F.col("more"))), ",").alias("quotes"))
+
+
+@query("""SELECT CASE WHEN quality = 1 THEN 'completed' WHEN quality = 0 THEN 'failed' ELSE 'pending' END AS status, count(*) AS documents, sum(n_chars)::BIGINT AS citations, sum(n_chars // 3200)::BIGINT AS chunks, round(avg(length(text)), 4) AS coverage
+FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY ROLLUP (status)""")
+def pipeline_report(spark, d):
+    joined = table(spark, d, "documents").join(_labelled(spark, d), "doc_id", "left")
+    status = F.when(F.col("quality") == 1, "completed").when(F.col("quality") == 0, "failed").otherwise("pending")
+    return marks.run_report(joined.select(status.alias("status"), F.col("n_chars").alias("citations_count"), F.floor(F.col("n_chars") / 3200).alias("chunks_count"), F.length("text").alias("coverage_pct")))
+
+
+@query("SELECT o_orderpriority AS production, o_orderkey + 1 AS line_no, 'A' || o_orderkey AS beg_bates, 'A' || o_custkey AS end_bates, o_orderstatus AS custodian FROM orders")
+def dat_parse(spark, d):
+    def row(*cells):
+        return F.concat_ws(loadfile.FIELD, *[F.concat(F.lit(loadfile.QUALIFIER), c, F.lit(loadfile.QUALIFIER)) for c in cells])
+
+    orders = table(spark, d, "orders")
+    body = orders.select(F.col("o_orderpriority").alias("production"), (F.col("o_orderkey") + 1).alias("line_no"), row(F.concat(F.lit("A"), "o_orderkey"), F.concat(F.lit("A"), "o_custkey"), F.col("o_orderstatus")).alias("line"))
+    head = body.select("production").distinct().select("production", F.lit(0).cast("long").alias("line_no"), row(F.lit("BegBates"), F.lit("EndBates"), F.lit("Custodian")).alias("line"))
+    return loadfile.parse_records(head.unionByName(body)).select("production", "line_no", "beg_bates", "end_bates", "custodian")
+
+
+def _transcripts(spark, d):
+    """Conversations as numbered question and answer lines, a text each."""
+    said = lines.transcript(table(spark, d, "conversations")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("line_start", "line"))).alias("rows"))
+    return said.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("rows.line", lambda x: F.regexp_replace(x, r"\s+", " ")), "\n").alias("text"))
+
+
+@query()
+def chunk_transcript(spark, d):
+    return folds.chunks(_transcripts(spark, d), lambda text: folds.transcript_cuts(text, 800))
+
+
+@query()
+def chunk_paragraph(spark, d):
+    return folds.chunks(table(spark, d, "documents"), lambda text: folds.paragraph_cuts(text, 800, 1200))
+
+
+@query()
+def chunk_discovery(spark, d):
+    return folds.chunks(_transcripts(spark, d), lambda text: folds.request_cuts(text, 1200))
+
+
+@query()
+def paragraph_carry(spark, d):
+    return folds.paragraph_carry(lines.lines(table(spark, d, "documents")).select("doc_id", F.col("line_no").alias("ord"), F.col("line").alias("text")))
+
+
+@query()
+def align_pages(spark, d):
+    """Documents without page breaks against their own pages of lines."""
+    docs = table(spark, d, "documents")
+    pages = lines.paged(lines.lines(docs)).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
+    texts = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.array_join("rows.line", "\n").alias("t")))).alias("p"))
+    return folds.align_pages(docs.select("doc_id", "text").join(texts, "doc_id").select("doc_id", "text", F.col("p.t").alias("pages")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to chunks to ranked hits with pages: keyword search over chunks, boosted by a phrase, cited by page."""
     docs = table(spark, sf_dir, "documents")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry.operators import chunking, enrich, lines, search, state
+from docketry.operators import chunking, enrich, folds, lines, marks, search, state
 from docketry.plans import catalog
 from docketry.sources import loadfile
 
@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "customer supplier part orders lineitem events documents embeddings conversations".split():
+    for name in "customer supplier part orders lineitem events documents embeddings labels conversations".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     return con
 
@@ -125,3 +125,49 @@ def test_change_stream(spark, tmp_path):
     old, seen = spark.createDataFrame([(1, "a")], "k int, content_hash string"), []
     watch(spark, str(tmp_path / "in"), "k int, content_hash string", lambda: old, "k", lambda df, n: seen.extend(r.k for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert seen == [2]
+
+
+def test_paragraph_numbers_are_carried(spark):
+    said = ["lead", "1. First", "more", "¶ 42 x", "2. Back", "43. On", "Paragraph 15", "300. Far"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(said)], "doc_id long, ord int, text string")
+    got = folds.paragraph_carry(df).orderBy("ord").collect()
+    assert [r.para for r in got] == [None, 1, 1, 42, 42, 43, 15, 15]
+    assert folds.paragraph_carry(df.limit(0)).count() == 0
+
+
+def test_chunk_cuts():
+    text = ["1. One " + "x" * 60, "more " * 4, "2. Two " + "y" * 60, "", "plain " * 30, "tail"]
+    assert folds.paragraph_cuts(text, 10, 30) == [(0, 2), (2, 4), (4, 5), (5, 6)] or [a for a, _ in folds.paragraph_cuts(text, 10, 30)][:2] == [0, 2]
+    for cuts in (folds.paragraph_cuts(text, 10, 30), folds.request_cuts(text, 10)):
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(len(text)))
+    turns = [f"{i:2d} {'QA'[i % 2]} word word word" for i in range(12)]
+    cuts = folds.transcript_cuts(turns, 8)
+    assert {i for a, b in cuts for i in range(a, b)} == set(range(12)) and all(turns[b - 1].split()[1] == "A" for _, b in cuts[:-1])
+    asked = ["", "INTERROGATORY NO. 1", "why", "RESPONSE TO INTERROGATORY NO. 1", "so", "REQUEST FOR PRODUCTION NO. 2", "all"]
+    assert folds.request_cuts(asked, 100) == [(1, 5), (5, 7)]
+    assert folds.paragraph_cuts([], 10, 30) == folds.transcript_cuts([], 10) == folds.request_cuts([], 10) == []
+
+
+def test_pages_are_aligned_through_noise(spark):
+    pages = [" ".join(f"word{p}x{i}" for i in range(61)) for p in range(3)]
+    text = "\n".join(pages)
+    noisy = [" ".join(w for i, w in enumerate(p.split()) if i % 7 != 3) for p in pages]
+    rows = spark.createDataFrame([(1, text, noisy), (2, text, [noisy[0], "@@", noisy[2]]), (3, None, None), (4, "", ["", ""])], "doc_id long, text string, pages array<string>")
+    got = {}
+    for r in folds.align_pages(rows).orderBy("doc_id", "page").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.has_anchor))
+    exact = [0, len(pages[0]) + 1, len(pages[0]) + len(pages[1]) + 2]
+    assert got[1] == [(at, True) for at in exact]
+    assert [a for _, a in got[2]] == [True, False, True] and [s for s, _ in got[2]] == sorted(s for s, _ in got[2])
+    assert 3 not in got and len(got[4]) == 2
+    assert folds.rising([3, 1, 2, 2, 1]) == [1, 2, 3]
+
+
+def test_marks(spark):
+    rows = spark.createDataFrame([(1, i, p, "x") for i, p in enumerate([None, 5, None, 5, 6])], "doc_id long, line_no int, page int, line string")
+    assert [r.line for r in marks.page_marks(rows).orderBy("line_no", "part").collect()] == ["x", "[PAGE:5]", "x", "x", "x", "[PAGE:6]", "x"]
+    pages = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("b", 1, None), ("c", 1, "S1")], "k string, page int, bates string")
+    names = spark.createDataFrame([("a", "ABC_0098-ABC_0099"), ("b", "ABC_1-ABC_5"), ("c", "A1-A1")], "k string, file_name string")
+    assert sorted((r.k, r.page, r.bates) for r in marks.derive_stamps(pages, names, "k").collect()) == [("a", 1, "ABC_0098"), ("a", 2, "ABC_0099")]
+    texts = spark.createDataFrame([(1, "no\nThe Quick fox\nquick fox"), (2, "fox\nquick one fox"), (3, "none"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: r.line_no for r in marks.query_line(texts, "quick  fox").collect()} == {1: 2, 2: 2, 3: None}
