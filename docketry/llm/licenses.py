@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 import random
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -45,11 +46,13 @@ UNKNOWN = [
     "Conditions of use are described in the manual.", "Free of charge parking is available.", "Reserved seats are marked in red.",
     "This license expires at the end of the month.", "Which license should we choose for this work?", "The author reserved a table under a false name.",
 ]
-#: A paragraph without any of these words is not of a license: every template has one.
+#: Every template has one of these words. Not a filter: parts of a template may have none.
 ANCHORS = r"(?i)licen[sc]e|rights reserved|permission|redistribut|public domain|spdx|creative commons|\bgnu\b"
 UNKNOWN_CLASS = "unknown"
 #: Least probability of a family, and least share of a template's word pairs that the paragraph has.
 LEAST_PROBABILITY, LEAST_TEMPLATE = 0.5, 0.7
+#: Most words of a paragraph of several pieces: twice those of the longest template.
+MOST_WORDS = 2 * max(len(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t)) for ts in TEMPLATES.values() for t in ts)
 #: Made-up variants per example, training steps, step size, ridge, seed.
 VARIANTS, STEPS, RATE, RIDGE, SEED = 12, 400, 4.0, 1e-4, 11
 _SENTENCE = r"(?<=[.!?])\x20+"
@@ -126,43 +129,117 @@ def _pairs_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _least_words(text: str) -> int:
+    """The least distinct words that LEAST_TEMPLATE of a template's distinct word pairs can have.
+
+    A pair takes two neighbouring places, so words that stand at p places are in less than p pairs.
+    """
+    need, places = len(_pairs_of(text)) * LEAST_TEMPLATE, 0
+    for k, (_, n) in enumerate(Counter(_tokens(text)).most_common(), 1):
+        places += n
+        if places - 1 >= need:
+            return k
+    return len(set(_tokens(text)))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+
+
+def _word_pairs(words: Column) -> Column:
+    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _has_template_words(words: Column) -> Column:
+    """Whether words can hold enough pairs of a template; true wherever _has_template is."""
+    texts = [t for ts in TEMPLATES.values() for t in ts]
+    known = F.array_intersect(words, _strings(sorted({w for t in texts for w in _tokens(t)})))
+    rules = F.array(*[F.struct(_strings(sorted(set(_tokens(t)))).alias("words"), F.lit(_least_words(t)).alias("least")) for t in texts])
+    enough = F.transform(F.array(known), lambda k: F.exists(rules, lambda r: F.size(F.array_intersect(r["words"], k)) >= r["least"]))
+    return (F.size(words) > 1) & F.element_at(enough, 1)
+
+
+def _has_template(pairs: Column) -> Column:
+    """Whether LEAST_TEMPLATE of the word pairs of a template, of whatever family, are in pairs."""
+    rules = F.array(*[_strings(_pairs_of(t)) for ts in TEMPLATES.values() for t in ts])
+    return F.exists(rules, lambda t: F.size(F.array_intersect(t, pairs)) >= F.size(t) * LEAST_TEMPLATE)
+
+
+def _starts(tokens: Column) -> Column:
+    """For each piece of a block, the pieces from there on that a paragraph may take: as many as have MOST_WORDS."""
+    def reach(at):
+        sizes = F.transform(F.slice(tokens, at, MOST_WORDS), F.size)
+        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+        step = lambda acc, x: F.struct((acc["words"] + x).alias("words"), (acc["n"] + (acc["words"] + x <= MOST_WORDS).cast("int")).alias("n"))
+        return F.greatest(F.lit(1), F.aggregate(sizes, none, step, lambda acc: acc["n"]))
+
+    found = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda at: F.struct(at.alias("at"), F.slice(tokens, at, reach(at)).alias("pieces")))
+    return F.filter(F.filter(found, lambda x: _has_template_words(F.flatten(x["pieces"]))), lambda x: _has_template(_word_pairs(F.flatten(x["pieces"]))))
+
+
+def _paragraphs(rows: DataFrame) -> DataFrame:
+    """(rid, bid, pid, at, n, words, pairs) of all runs of pieces of a block that hold a template.
+
+    Blocks end at blank lines, pieces at line ends and sentence ends. No text is put aside that a
+    template could confirm, and what none can confirm is no notice whatever its score.
+    """
+    blocks = rows.filter(F.col("text").isNotNull()).select("rid", F.explode(F.split("text", r"\n\s*\n")).alias("block"))
+    pieces = F.filter(F.transform(F.split("block", r"\n|" + _SENTENCE), _words), lambda w: F.size(w) > 0)
+    blocks = blocks.filter(_has_template_words(_words(F.col("block")))).select("rid", F.monotonically_increasing_id().alias("bid"), pieces.alias("tokens"))
+    starts = blocks.select("rid", "bid", F.explode(_starts(F.col("tokens"))).alias("s")).select("rid", "bid", "s.at", "s.pieces")
+    runs = starts.select("rid", "bid", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size("pieces")), lambda n: F.struct(n.alias("n"), F.flatten(F.slice("pieces", 1, n)).alias("words")))).alias("r"))
+    found = runs.select("rid", "bid", "at", "r.n", "r.words", _word_pairs(F.col("r.words")).alias("pairs")).filter(_has_template(F.col("pairs")))
+    return common.stash(found.withColumn("pid", F.monotonically_increasing_id()), "license-paragraphs")
+
+
+def _apart(found: Column) -> Column:
+    """The best of found, and every next best that overlaps none taken before."""
+    def overlap(a, b):
+        return (a["at"] < b["at"] + b["n"]) & (b["at"] < a["at"] + a["n"])
+
+    none = F.filter(found, lambda x: F.lit(False))
+    return F.aggregate(F.array_sort(found), none, lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
 def notices(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id) of all rows, and (rid, family, probability) of each confirmed paragraph."""
     spark = docs.sparkSession
     families, grams, weights, biases = train()
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(ANCHORS))
-    rows = docs.select("doc_id", lines.alias("lines")).withColumn("rid", F.monotonically_increasing_id())
-    rows = common.stash(rows, "license-lines")
-    paragraphs = rows.filter(F.size("lines") > 0).select("rid", F.explode("lines").alias("line"))
-    paragraphs = paragraphs.select("rid", F.explode(F.split("line", _SENTENCE)).alias("paragraph")).filter(F.col("paragraph").rlike(ANCHORS))
-    words = F.regexp_extract_all(F.lower("paragraph"), F.lit(_TOKEN), F.lit(0))
-    pairs = F.transform(F.slice("words", 2, F.size("words")), lambda w, i: F.concat(F.element_at("words", i + 1), F.lit(" "), w))
-    paragraphs = paragraphs.withColumn("pid", F.monotonically_increasing_id()).withColumn("words", words)
-    paragraphs = paragraphs.withColumn("pairs", F.when(F.size("words") > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>")))
-    paragraphs = common.stash(paragraphs.select("rid", "pid", "words", "pairs"), "license-paragraphs")
+    rows = docs.select("doc_id", F.when(_has_template_words(_words(F.col("text"))), F.col("text")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    rows = common.stash(rows, "license-texts")
+    paragraphs = _paragraphs(rows)
     # The model has one row per n-gram of the templates and counter-examples, a fixed number.
     model = _small_table(spark, [{"gram": g, "w": [round(float(v), 6) for v in weights[i]]} for i, g in enumerate(grams)], "gram string, w array<double>")
-    found = paragraphs.select("rid", "pid", F.explode(F.array_distinct(F.concat("words", "pairs"))).alias("gram")).join(F.broadcast(model), "gram")
+    found = paragraphs.select("pid", F.explode(F.array_distinct(F.concat("words", "pairs"))).alias("gram")).join(F.broadcast(model), "gram")
     n = len(families)
-    logits = found.groupBy("rid", "pid").agg(*[F.sum(F.col("w")[i]).alias(f"l{i}") for i in range(n)])
+    logits = found.groupBy("pid").agg(*[F.sum(F.col("w")[i]).alias(f"l{i}") for i in range(n)])
     total = F.array(*[F.col(f"l{i}") + float(biases[i]) for i in range(n)])
     best = F.array_max("logits")
     softmax = 1 / F.aggregate("logits", F.lit(0.0), lambda acc, v: acc + F.exp(v - best))
-    scored = logits.select("rid", "pid", total.alias("logits")).select(
-        "rid", "pid", F.element_at(F.array(*map(F.lit, families)), F.array_position("logits", best).cast("int")).alias("family"), softmax.alias("probability")
+    scored = logits.select("pid", total.alias("logits")).select(
+        "pid", F.element_at(F.array(*map(F.lit, families)), F.array_position("logits", best).cast("int")).alias("family"), softmax.alias("probability")
     ).filter((F.col("family") != UNKNOWN_CLASS) & (F.col("probability") >= LEAST_PROBABILITY))
     templates = _small_table(spark, [{"family": f, "templates": [_pairs_of(t) for t in ts if len(_pairs_of(t))]} for f, ts in TEMPLATES.items()], "family string, templates array<array<string>>")
-    like = F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) >= F.size(t) * LEAST_TEMPLATE)
-    confirmed = scored.join(F.broadcast(templates), "family").join(paragraphs.select("pid", "pairs"), "pid").filter(like)
-    return rows.select("rid", "doc_id"), confirmed.select("rid", "family", "probability")
+    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
+    confirmed = scored.join(F.broadcast(templates), "family").join(paragraphs.drop("words"), "pid").withColumn("share", share).filter(F.col("share") >= LEAST_TEMPLATE)
+    order = F.struct((-F.col("share")).alias("lacks"), "n", (-F.round("probability", 6)).alias("doubt"), "at", "family", "probability")
+    taken = confirmed.groupBy("rid", "bid").agg(F.collect_list(order).alias("found")).select("rid", F.explode(_apart(F.col("found"))).alias("x"))
+    return rows.select("rid", "doc_id"), taken.select("rid", "x.family", "x.probability")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_notices, families, best_probability of every row of docs.
 
-    A paragraph is a sentence of a line. Those with a license word are scored by the classifier; a
-    family counts where it is likelier than LEAST_PROBABILITY, is not the unknown class, and one of
-    its templates has LEAST_TEMPLATE of its word pairs in the paragraph. families are sorted and
+    A paragraph is a run of neighbouring lines and sentences between blank lines, so that wrapped
+    notices are whole: of any length if one piece, else of MOST_WORDS at most. All that can hold
+    LEAST_TEMPLATE of the word pairs of a template are scored by the classifier; a family counts
+    where it is likelier than LEAST_PROBABILITY, is not the unknown class, and one of its own
+    templates has that share in the paragraph. Of paragraphs that overlap the one with most of its
+    template counts, then the shortest, then the likeliest. families are sorted and
     joined by commas. Null and empty texts have no notices. Null and repeated doc_ids are rows of
     their own. Only doc_id and text are read. An empty table gives an empty result.
     """

@@ -367,3 +367,21 @@ def test_packing(spark, docs, none):
                 ids = np.array([*(library.encode(t, add_special_tokens=False).ids if t else []), 0], "<u4")
                 assert all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 and p.doc_tokens == len(ids) for p in pieces if p.doc_id == i)
     assert packing.pack(none, path).count() == 0
+
+
+def test_wrapped_license_notices_are_whole(spark):
+    mit = (
+        "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+        "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.\n"
+    )
+    gpl = (
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n"
+        "# (at your option) any later version.\n#\n# You should have received a copy\nimport os\n"
+    )
+    bsd = "x = 1\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+    narrow = "\n".join(licenses.TEMPLATES["mit"][2].split())
+    apart = "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met\n"
+    rows = [(1, mit, "a"), (2, gpl, "a"), (3, bsd, "a"), (4, isc, "a"), (5, narrow, "a"), (6, mit + "\n" + gpl, "a"), (7, apart, "a"), (8, gpl.replace("\n", "\r\n"), "a")]
+    got = {r.doc_id: (r.n_notices, r.families) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {1: (1, "mit"), 2: (1, "gpl-3.0"), 3: (1, "bsd"), 4: (1, "isc"), 5: (1, "mit"), 6: (2, "gpl-3.0,mit"), 7: (0, ""), 8: (1, "gpl-3.0")}
