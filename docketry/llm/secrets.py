@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from statistics import NormalDist, pstdev
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,8 +23,9 @@ LEAST_VALUE = 8
 #: A shorter run fails its length, and no shorter part of it could pass: so lengths go in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_digit = re.compile(r"[0-9]")
+#: Runs of these are candidates, and so is every part of a run that begins behind one of the cuts
+#: and ends at or behind one: a value may have cuts of its own, as base64 and dotted formats do.
+CANDIDATE, CUT = r"[A-Za-z0-9+/_.=-]", re.compile(r"[=/.]")
 
 #: Labelled credentials of one kind that an automaton is inferred from.
 MAX_LABELLED = 600
@@ -32,8 +35,12 @@ LEAST_LABELLED = 12
 ALPHA = 0.05
 #: Every so many labelled credentials one is kept back to set the threshold.
 KEEP_BACK = 4
-#: A candidate may score so much less or more per symbol than any that was kept back.
+#: Share of credentials like those kept back that may score beyond either bound.
+EDGE = 0.005
+#: A candidate may score so much less or more per symbol than the bounds.
 SLACK = 0.02
+#: Strings whose verdict a worker remembers; bounds memory.
+REMEMBERED = 1 << 18
 REDACTED = "[SECRET]"
 
 
@@ -48,12 +55,12 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+_CLASSES = str.maketrans({c: k for k, cs in {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in cs})
+
+
 def symbols(value: str) -> str:
     """Characters by class: digits, hex letters and others in either case; marks as they are."""
-    return "".join(
-        "0" if c in "0123456789" else "a" if "a" <= c <= "f" else "g" if "g" <= c <= "z" else "A" if "A" <= c <= "F" else "G" if "G" <= c <= "Z" else c
-        for c in value
-    )
+    return value.translate(_CLASSES)
 
 
 class Automaton:
@@ -147,6 +154,22 @@ class Format(NamedTuple):
         return self.shortest <= len(string) <= self.longest and self.least <= self.automaton.score(string) <= self.most
 
 
+def quantile(values: list[float], share: float) -> float:
+    """The quantile of values smoothed by a normal kernel, so that few values reach beyond their extremes."""
+    wide = 1.06 * pstdev(values) * len(values) ** -0.2
+    if not wide:
+        return values[0]
+    kernel = NormalDist(0, wide)
+    low, high = min(values) - 9 * wide, max(values) + 9 * wide
+    for _ in range(60):
+        middle = (low + high) / 2
+        if sum(kernel.cdf(middle - v) for v in values) < share * len(values):
+            low = middle
+        else:
+            high = middle
+    return high
+
+
 def infer(labelled: dict[str, list[str]]) -> list[Format]:
     """A format for each kind with enough labelled credentials."""
     out = []
@@ -159,20 +182,46 @@ def infer(labelled: dict[str, list[str]]) -> list[Format]:
         scores = [x for x in map(automaton.score, back) if x > -math.inf]
         if scores:
             lengths = [len(v) for v in values]
-            out.append(Format(automaton, min(lengths), max(lengths), min(scores) - SLACK, max(scores) + SLACK))
+            out.append(Format(automaton, min(lengths), max(lengths), quantile(scores, EDGE) - SLACK, quantile(scores, 1 - EDGE) + SLACK))
     return out
 
 
-def format_spans(text: str, taken: list[tuple[int, int, int, str]], formats: list[Format]) -> list[tuple[int, int, int, str]]:
-    """Candidates outside the spans taken that a format holds."""
+def parts(text: str, start: int, end: int, shortest: int, longest: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of a run and of its parts between cuts, of the lengths given."""
+    cuts = [m.start() for m in CUT.finditer(text, start, end)]
+    ends = sorted({end, *cuts, *(c + 1 for c in cuts)})
+    for s in (start, *(c + 1 for c in cuts)):
+        for e in ends[bisect_left(ends, s + shortest):bisect_right(ends, s + longest)]:
+            yield s, e
+
+
+def format_spans(text: str, taken: list[tuple[int, int, int, str]], formats: list[Format], known: dict[str, bool] | None = None) -> list[tuple[int, int, int, str]]:
+    """Candidates outside the spans taken that a format holds; of those that overlap the longest.
+
+    What is left of a run that a span takes part of is a run. known remembers verdicts by string.
+    """
+    if not formats:
+        return []
+    known = {} if known is None else known
+    shortest, longest = min(f.shortest for f in formats), max(f.longest for f in formats)
+    run = re.compile(f"{CANDIDATE}{{{shortest},}}")
+    held, at = [], 0
+    for s, e in [*sorted((s, e) for s, _, e, _ in taken), (len(text), len(text))]:
+        for m in run.finditer(text, at, s) if at < s else ():
+            for a, b in parts(text, m.start(), m.end(), shortest, longest):
+                string = symbols(text[a:b])
+                if string not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[string] = any(f.holds(string) for f in formats)
+                if known[string]:
+                    held.append((a, b))
+        at = max(at, e)
     found = []
-    for m in CANDIDATE.finditer(text) if formats else ():
-        value = m[0]
-        if not _digit.search(value) or len(set(value)) < 8 or any(s < m.end() and m.start() < e for s, _, e, _ in taken):
-            continue
-        string = symbols(value)
-        if any(f.holds(string) for f in formats):
-            found.append((m.start(), 3, m.end(), value))
+    for a, b in sorted(held, key=lambda x: (x[0] - x[1], x[0])):
+        i = bisect_left(found, (a, 3, b, ""))
+        if (i == 0 or found[i - 1][2] <= a) and (i == len(found) or found[i][0] >= b):
+            found.insert(i, (a, 3, b, text[a:b]))
     return found
 
 
@@ -206,11 +255,12 @@ _DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 
 def _digests(formats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                more = format_spans(text or "", base, formats)
+                more = format_spans(text or "", base, formats, known)
                 n = Counter(k for _, k, _, _ in base)
                 rows.append((n[0], n[1], n[2], hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more)), len(more)))
             names = [c.split()[0] for c in _DIGEST.split(", ")]
@@ -232,10 +282,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(formats), _DIGEST)
 
 
-def redact(text: str, formats: list[Format]) -> str:
+def redact(text: str, formats: list[Format], known: dict[str, bool] | None = None) -> str:
     base = base_spans(text)
     out, at = [], 0
-    for s, _, e, _ in sorted(base + format_spans(text, base, formats)):
+    for s, _, e, _ in sorted(base + format_spans(text, base, formats, known)):
         if s >= at:
             out += [text[at:s], REDACTED]
         at = max(at, e)
@@ -247,8 +297,9 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     formats = learn(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
         for batch in batches:
-            texts = [None if t is None else redact(t, formats) for t in batch.column("text").to_pylist()]
+            texts = [None if t is None else redact(t, formats, known) for t in batch.column("text").to_pylist()]
             at = batch.schema.get_field_index("text")
             columns = batch.columns
             columns[at] = pa.array(texts, pa.string())

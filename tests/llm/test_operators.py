@@ -385,3 +385,24 @@ def test_wrapped_license_notices_are_whole(spark):
     rows = [(1, mit, "a"), (2, gpl, "a"), (3, bsd, "a"), (4, isc, "a"), (5, narrow, "a"), (6, mit + "\n" + gpl, "a"), (7, apart, "a"), (8, gpl.replace("\n", "\r\n"), "a")]
     got = {r.doc_id: (r.n_notices, r.families) for r in licenses.scan(frame(spark, rows)).collect()}
     assert got == {1: (1, "mit"), 2: (1, "gpl-3.0"), 3: (1, "bsd"), 4: (1, "isc"), 5: (1, "mit"), 6: (2, "gpl-3.0,mit"), 7: (0, ""), 8: (1, "gpl-3.0")}
+
+
+def test_format_candidates_are_runs_and_their_parts():
+    rng = random.Random(3)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    key = lambda: "sk" + made("0123456789", 20)
+    formats = secrets.infer({"assign": [key() for _ in range(60)]})
+    for text in ("auth={}", "bearer_key={} x", "https://host/{}", "a/{}/b?c", '"{}"', "({}).", "see {}. Then", "x:{}=", "AKIA0123456789AB={}"):
+        value = key()
+        whole, at = text.format(value), text.index("{")
+        taken = secrets.base_spans(whole)
+        assert secrets.format_spans(whole, taken, formats) == [(at, 3, at + 22, value)], text
+    dotted = lambda: f"ey{made('abcdef', 6)}.{made('abcdef', 8)}.{made('0123456789', 6)}"
+    formats, value = secrets.infer({"assign": [dotted() for _ in range(60)]}), dotted()
+    assert secrets.format_spans(f"go {value}. And auth={value}/x", [], formats) == [(3, 3, 27, value), (38, 3, 62, value)]
+    short = lambda: "q" + made("ab", 8)
+    formats, value = secrets.infer({"assign": [short() for _ in range(60)]}), short()
+    assert secrets.format_spans(f"go {value} on", [], formats) == [(3, 3, 12, value)]
+    scores = [-0.9, -0.8, -0.85]
+    assert secrets.quantile(scores, secrets.EDGE) < -0.9 and secrets.quantile(scores, 1 - secrets.EDGE) > -0.8
+    assert secrets.quantile([-0.5] * 4, 0.1) == -0.5
