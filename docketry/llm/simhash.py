@@ -209,14 +209,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of near-duplicates: the one with the smallest doc_id."""
-    groups = near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if not common.unique(docs, "doc_id"):
-        rows = rows.groupBy("doc_id").agg(F.min("row").alias("row"))
-    return rows.select("row.*")
+    """One row of docs for each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows with null or repeated doc_ids are rows of their own, kept unless another row of their
+    group is. Ids come before nulls; of rows with one id in a group any one, always the same, stays.
+    """
+    common.ship(docs.sparkSession)
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]  # in a struct: names are their own
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in more]).alias("rest"))
+    keyed = common.with_row_key(rows, "doc_id", "text")
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("rest").alias("rest"), "_key")
+    prints = keyed.select(place.alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id struct<bare: boolean, id: long, rest: long, _key: long>, fp long")
+    classes = common.stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(fingerprint_links(classes.select("fp")))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._key")
+    return keyed.join(kept, "_key", "left_semi").select(*[F.col(f"rest.`{c}`" if c in more else c) for c in docs.columns])
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

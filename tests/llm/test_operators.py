@@ -406,3 +406,13 @@ def test_format_candidates_are_runs_and_their_parts():
     scores = [-0.9, -0.8, -0.85]
     assert secrets.quantile(scores, secrets.EDGE) < -0.9 and secrets.quantile(scores, 1 - secrets.EDGE) > -0.8
     assert secrets.quantile([-0.5] * 4, 0.1) == -0.5
+
+
+def test_near_duplicates_keep_lone_rows_without_or_with_repeated_ids(spark):
+    rng = random.Random(9)
+    lone = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(9)]
+    rows = [(None, t, "a") for t in lone[:4]] + [(7, lone[4], "a"), (7, lone[5], "a"), (3, lone[6], "a"), (8, lone[6], "a"), (8, lone[7], "a"), (None, lone[6], "a"), (None, lone[8], "a"), (None, lone[8], "b")]
+    kept = simhash.without_near_duplicates(frame(spark, rows)).collect()
+    assert Counter(r.text for r in kept) == Counter(lone)
+    assert {r.text: r.doc_id for r in kept} == dict(zip(lone, [None] * 4 + [7, 7, 3, 8, None], strict=True))
+    assert all((r.n_chars, r.size, r.score, r.h, r["_key"]) == (len(r.text), 1, "x", 2, 3) for r in kept)
