@@ -15,6 +15,8 @@ STOP_WORDS = (
 ).split()
 RRF_K = 60
 PHRASE_WORDS, PHRASE_FACTOR = 4, 5
+#: Candidates fetched for a phrase at least, times k for reranking, and times that for each list of a fusion.
+PHRASE_FETCH, RERANK_FETCH, LIST_FETCH = 50, 3, 2
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -92,3 +94,23 @@ def phrase_boost(results: DataFrame, phrase: str) -> DataFrame:
     hit = F.lit(len(wanted.split()) >= PHRASE_WORDS) & (F.instr(flat(F.col("text")), wanted) > 0)
     boosted = results.withColumn("score", F.when(hit, F.col("score") * PHRASE_FACTOR).otherwise(F.col("score")))
     return boosted.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("rank"))))
+
+
+def fetch_k(query: str, k: int, rerank: bool = False) -> int:
+    """Candidates to fetch for k results, so that boosts and reranking can lift what stands below k."""
+    wanted = k * RERANK_FETCH if rerank else k
+    return max(wanted, PHRASE_FETCH) if len(query.split()) >= PHRASE_WORDS else wanted
+
+
+def phrase_search(docs: DataFrame, query: str, phrase: str, k: int = 10) -> DataFrame:
+    """The k best of the boosted candidates."""
+    depth = max(fetch_k(query, k), fetch_k(phrase, k))
+    found = keyword_search(docs, query, depth).join(docs.select("doc_id", "text"), "doc_id")
+    return phrase_boost(found, phrase).filter(F.col("rank") <= k)
+
+
+def hybrid_search(docs: DataFrame, query: str, vectors: DataFrame, one: DataFrame, k: int = 10) -> DataFrame:
+    """The k best of the fused lists."""
+    depth = fetch_k(query, k) * LIST_FETCH
+    semantic = vector_search(vectors, one, depth).withColumnRenamed("vec_id", "doc_id")
+    return fuse(keyword_search(docs, query, depth), semantic, "doc_id").filter(F.col("rank") <= k)

@@ -181,6 +181,17 @@ def rrf_hybrid(spark, d):
     return search.fuse(search.keyword_search(table(spark, d, "documents"), QUERY_TEXT), semantic, "doc_id")
 
 
+@query(_SEARCH + ", " + _NEAR.replace("q AS", "qv AS").replace(", q)", ", qv)") + """
+, u AS (SELECT doc_id, rank AS k, NULL::INTEGER AS s FROM best WHERE rank <= 100 UNION ALL SELECT vec_id, NULL, rank FROM near WHERE rank <= 100),
+m AS (SELECT doc_id, min(k) AS k, min(s) AS s FROM u GROUP BY doc_id),
+f AS (SELECT *, round(coalesce(1 / (60 + k)::DOUBLE, 0) + coalesce(1 / (60 + s)::DOUBLE, 0), 6) AS score FROM m),
+r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, k NULLS LAST, s NULLS LAST, doc_id)::INTEGER AS rank FROM f)
+SELECT * FROM r WHERE rank <= 10""")
+def rrf_hybrid_deep(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return search.hybrid_search(table(spark, d, "documents"), QUERY_TEXT, vectors, vectors.filter("vec_id = 7"))
+
+
 @query(_SEARCH + """, b AS (SELECT doc_id, rank, CASE WHEN contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), 'the anea. eriner thanea.') THEN score * 5 ELSE score END AS score FROM best JOIN documents USING (doc_id) WHERE rank <= 10)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, rank)::INTEGER AS rank FROM b""")
 def phrase_boost(spark, d):
@@ -189,6 +200,13 @@ def phrase_boost(spark, d):
     return search.phrase_boost(found, "the anea. Eriner thanea.").select("doc_id", "score", "rank")
 
 
+@query(_SEARCH + """, b AS (SELECT doc_id, rank, CASE WHEN contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), 'the anea. eriner thanea.') THEN score * 5 ELSE score END AS score FROM best JOIN documents USING (doc_id) WHERE rank <= 50),
+r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, rank)::INTEGER AS rank FROM b)
+SELECT * FROM r WHERE rank <= 10""")
+def phrase_boost_deep(spark, d):
+    return search.phrase_search(table(spark, d, "documents"), QUERY_TEXT, "the anea. Eriner thanea.").select("doc_id", "score", "rank")
+
+
 _BOXES = """
 WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, (l_partkey % 40 + 1)::INTEGER AS page, l_discount * 4000 AS l, 700.0::DOUBLE - l_quantity * 12 AS t,
   l_discount * 4000 + 60 + l_tax * 2500 AS r, 700.0::DOUBLE - l_quantity * 12 - 10 AS b, l_suppkey AS stamp FROM lineitem),
@@ -428,6 +446,14 @@ def rerank_lexical(spark, d):
     return marks.rerank(found, marks.shared_words(QUERY_TEXT, F.col("text")), 5).select("doc_id", "score", "rank")
 
 
+@query(_SEARCH + r""", shared AS (SELECT doc_id, rank, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), string_split('""" + QUERY_TEXT + r"""', ' ')))::DOUBLE AS score FROM best JOIN documents USING (doc_id) WHERE rank <= 50)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, rank)::INTEGER AS rank FROM shared QUALIFY row_number() OVER (ORDER BY score DESC, rank) <= 5""")
+def rerank_lexical_deep(spark, d):
+    docs = table(spark, d, "documents")
+    found = search.keyword_search(docs, QUERY_TEXT, search.fetch_k(QUERY_TEXT, 10, rerank=True)).join(docs.select("doc_id", "text"), "doc_id")
+    return marks.rerank(found, marks.shared_words(QUERY_TEXT, F.col("text")), 5).select("doc_id", "score", "rank")
+
+
 @query("SELECT p_partkey, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(p_type), '{form}') THEN '{t}' END" for t, form in marks.FILE_NAMES.items()) + "], lambda x: x IS NOT NULL)) AS doc_type FROM part")
 def signal_filename(spark, d):
     return marks.file_name_signal(table(spark, d, "part"), "p_partkey", "p_type")
@@ -504,8 +530,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to chunks to ranked hits with pages: keyword search over chunks, boosted by a phrase, cited by page."""
     docs = table(spark, sf_dir, "documents")
     chunks = chunking.generic_chunks(docs).withColumn("chunk_key", F.col("doc_id") * 100_000 + F.col("chunk_idx"))
-    hits = search.keyword_search(chunks.select(F.col("chunk_key").alias("doc_id"), F.col("core_text").alias("text")), QUERY_TEXT)
+    hits = search.keyword_search(chunks.select(F.col("chunk_key").alias("doc_id"), F.col("core_text").alias("text")), QUERY_TEXT, search.fetch_k(QUERY_TEXT, 10))
     cited = search.min_max(hits).withColumnRenamed("doc_id", "chunk_key").join(chunks, "chunk_key")
     pages = F.sequence(F.floor((F.col("line_start") - 1) / lines.LINES_PER_PAGE) + 1, F.floor((F.col("line_end") - 1) / lines.LINES_PER_PAGE) + 1)
-    boosted = search.phrase_boost(cited.withColumn("score", F.col("normal")).withColumn("text", F.col("core_text")), QUERY_TEXT)
+    boosted = search.phrase_boost(cited.withColumn("score", F.col("normal")).withColumn("text", F.col("core_text")), QUERY_TEXT).filter(F.col("rank") <= 10)
     return boosted.select("doc_id", "chunk_idx", "score", "rank", T.page_ranges(pages.cast("array<int>")).alias("pages"), F.substring("core_text", 1, 400).alias("preview"))
