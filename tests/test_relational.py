@@ -186,3 +186,18 @@ def test_candidates_below_k_can_be_lifted(spark):
     fused = {r.doc_id: r.score for r in search.hybrid_search(docs, query, vectors, vectors.filter("vec_id = 0")).collect()}
     assert len(fused) == 10 and fused[0] == round(1 / (60 + plain[0]) + 1 / 61, 6) and all(s > 1 / 61 for s in fused.values())
     assert (search.fetch_k("two words", 10), search.fetch_k("two words", 10, True), search.fetch_k(query, 10), search.fetch_k(query, 20, True)) == (10, 30, 50, 60)
+
+
+def test_wide_gaps_are_refined_or_marked(spark):
+    common = ["alpha beta gamma", "delta epsilon zeta", "beta gamma alpha", "zeta delta omega"]
+    # Boilerplate that repeats has no anchor; the only ones are the first word and the last.
+    first, second = "opening\n" + "\n".join(common * 2), "\n".join(["omega sigma sigma tau", "tau rho omega sigma"] * 12) + "\nclosing"
+    text = first + "\n" + second
+    starts, _, wide = folds.align(text, [first, second])
+    assert starts == [len(first) + 1] and wide == [False]
+    other = "opening " + "\n".join(["kappa lambda"] * 60) + " closing"
+    starts, _, wide = folds.align(other, ["opening", "nothing like the text closing"])
+    assert wide == [True] and 0 < starts[0] < len(other)
+    rows = spark.createDataFrame([(1, text, [first, second]), (2, other, ["opening", "nothing like the text closing"])], "doc_id long, text string, pages array<string>")
+    got = [(r.doc_id, r.page, r.start, r.wide, r.flagged) for r in folds.align_pages(rows).orderBy("doc_id", "page").collect()]
+    assert got == [(1, 1, 0, False, False), (1, 2, len(first) + 1, False, False), (2, 1, 0, False, True), (2, 2, starts[0], True, True)]
