@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Where intermediate tables go if the session names no shared folder (tests, a laptop).
 LOCAL_SHARED = "/tmp/checkpoints/docketry"
-#: Leading bits of a 32-bit shuffle hash that make a queue bucket.
-BUCKET_BITS = 12
+#: A queue bucket has about so many rows, and there are so many buckets at least and at most.
+BUCKET_ROWS, LEAST_BUCKET_BITS, MOST_BUCKET_BITS = 1 << 16, 8, 24
+#: Rows and bytes of an Arrow batch; a worker holds about two, one text more where texts are longer.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Rows of a table of keys (sources, hot fingerprints) up to which it is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,26 +34,75 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) if spark.conf.get(key) > "0" else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
+
+
+_left: dict = {}
+
+
+def only(operator: str, clear=None) -> None:
+    """In a Python worker: drop what another operator's tasks have left, and say how to drop one's own."""
+    for name in [n for n in _left if n != operator]:
+        _left.pop(name)()
+    if clear:
+        _left[operator] = clear
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; the cluster names it in spark.checkpoint.dir."""
+    """The folder that all executors share; the cluster names it in spark.checkpoint.dir.
+
+    Only where driver and executors are one process may it be missing; LOCAL_SHARED is set then.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_SHARED)
         found = LOCAL_SHARED
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+_stashed: dict[str, SparkSession] = {}
+
+
+def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here.
 
-    The table outlives lost executors; whoever owns the shared folder removes it after the run.
+    The table outlives lost executors. It is removed by release(), and at the driver's exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _stashed:
+        atexit.register(release)
+    df.write.option("compression", compression).parquet(path)
+    _stashed[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of stashed tables that nothing reads any more; without tables, of all."""
+    for path in [t.stashed for t in tables] if tables else list(_stashed):
+        spark = _stashed.pop(path)
+        if spark.sparkContext._jsc is not None:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bucket_bits(rows: int) -> int:
+    """Leading bits of a 32-bit shuffle hash that make buckets of about BUCKET_ROWS rows."""
+    return min(MOST_BUCKET_BITS, max(LEAST_BUCKET_BITS, (rows // BUCKET_ROWS).bit_length()))
+
+
+def small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it has at most BROADCAST_ROWS rows; else left to the optimizer."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
 def unique(df: DataFrame, id_col: str) -> bool:

@@ -11,7 +11,7 @@ from . import common
 WEIGHTS = (1, 2, 3)
 #: A source, and so a document, gives at most so many times its size.
 MAX_PASSES = 3
-#: Cells of virtual time up to 1; queues fill them evenly. The cell in which the budget ends is sorted row by row.
+#: Least cells of virtual time up to 1; queues fill them evenly. The cell in which the budget ends is sorted row by row.
 CELLS = 4096
 
 
@@ -50,6 +50,43 @@ def source_targets(sized: DataFrame) -> DataFrame:
     )
 
 
+def _sized(docs: DataFrame, *more: "F.Column") -> DataFrame:
+    """rid, _id, size, source, h of every row, and more; written, so that rids and hashes stay."""
+    sized = docs.select(F.col("doc_id").alias("_id"), word_count(F.col("text")).alias("size"), "source", *more)
+    return common.stash(sized.withColumn("h", common.shuffle_hash(F.col("_id"))).withColumn("rid", F.monotonically_increasing_id()), "mix-rows")
+
+
+def _allot(sized: DataFrame) -> DataFrame:
+    """sized with source_size, target and taken. Texts are not among its columns, and nothing here sends any."""
+    n, budget = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    targets = common.small(common.stash(source_targets(sized), "mix-targets"))
+    queued = (
+        sized.join(targets.withColumnRenamed("source", "_source"), sized.source.eqNullSafe(F.col("_source"))).drop("_source")
+        .withColumn("bucket", F.shiftright("h", 32 - common.bucket_bits(n)).cast("int"))
+    )
+    queued = common.stash(common.before(queued, ["src_no"], "bucket", ["h", "_id", "size"], "size", "ahead"), "mix-queues")
+    begin = F.col("turn") * F.col("source_size") + F.col("ahead")
+    cells = CELLS << max(0, common.bucket_bits(n) - common.LEAST_BUCKET_BITS)
+    passes = (
+        queued.filter((F.col("size") > 0) & (F.col("target") > 0))
+        .select("rid", "src_no", "h", "_id", "size", "target", "source_size", "ahead", F.explode(F.array(*[F.lit(p) for p in range(MAX_PASSES)])).alias("turn"))
+        .filter(begin < F.col("target"))
+        .withColumn("part", F.least(F.col("size"), F.floor(F.col("target") - begin)))
+        .withColumn("finish", F.least(F.lit(1.0), (begin + F.col("size")) / F.col("target")))
+        .withColumn("cell", F.floor(F.col("finish") * cells).cast("int"))
+    )
+    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = passes.groupBy("cell").agg(F.sum("part").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    # The one cell in which the budget ends, and whether the budget ends at all.
+    end = sums.filter((F.col("start") < budget) & (F.col("start") + F.col("words") > budget)).select("cell", "start").first()
+    last, start = (end.cell, end.start) if end else (cells + 1, 0)
+    inside = Window.partitionBy("cell").orderBy("finish", "src_no", "h", "_id", "size", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    left = budget - start - F.coalesce(F.sum("part").over(inside), F.lit(0))
+    cut = passes.filter(F.col("cell") == last).select("rid", F.greatest(F.lit(0), F.least(F.col("part"), left)).cast("long").alias("part"))
+    taken = passes.filter(F.col("cell") < last).select("rid", "part").unionByName(cut).groupBy("rid").agg(F.sum("part").alias("taken"))
+    return queued.join(taken, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
 def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """The mix: every row of docs with its size, its source's target and the words taken of it.
 
@@ -58,55 +95,29 @@ def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     queue is served at its target's rate and reaches its target at time 1; the document that is
     being served then is cut there and finishes with time 1. Rows are ranged by finish time into
     cells, cells are summed in order, and the mix is truncated where the sum of all sizes is reached.
+    Cells and queue buckets grow in number with the rows, so that each stays small.
 
     Null text counts as empty (size 0, nothing taken). A null source is a source of its own, ranked
     last. Null or repeated doc_ids are separate rows that share a shuffle position; ties fall to
     doc_id, then size. An empty table gives an empty result. Columns of docs named in keep are
     carried along; others, whatever their names, are not read. Reruns give equal results.
     """
-    columns = {"_id": F.col("doc_id"), "size": word_count(F.col("text")), "source": F.col("source")}
-    sized = docs.select(*[c.alias(k) for k, c in columns.items()], *[F.col(k).alias(f"_keep_{k}") for k in keep])
-    sized = sized.withColumn("h", common.shuffle_hash(F.col("_id"))).withColumn("rid", F.monotonically_increasing_id())
-    sized = common.stash(sized, "mix-sizes")
-    targets = source_targets(sized)
-    joined = (
-        sized.join(targets.withColumnRenamed("source", "_source"), sized.source.eqNullSafe(F.col("_source")))
-        .withColumn("bucket", F.shiftright("h", 32 - common.BUCKET_BITS).cast("int"))
-    )
-    queued = common.before(joined, ["src_no"], "bucket", ["h", "_id", "size"], "size", "ahead")
-    begin = F.col("turn") * F.col("source_size") + F.col("ahead")
-    passes = (
-        queued.filter((F.col("size") > 0) & (F.col("target") > 0))
-        .select("rid", "src_no", "h", "_id", "size", "target", "source_size", "ahead", F.explode(F.array(*[F.lit(p) for p in range(MAX_PASSES)])).alias("turn"))
-        .filter(begin < F.col("target"))
-        .withColumn("part", F.least(F.col("size"), F.floor(F.col("target") - begin)))
-        .withColumn("finish", F.least(F.lit(1.0), (begin + F.col("size")) / F.col("target")))
-    )
-    passes = passes.withColumn("cell", F.floor(F.col("finish") * CELLS).cast("int"))
-    sums = passes.groupBy("cell").agg(F.sum("part").alias("words"))
-    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
-    # At most CELLS + 1 rows and one row: both bounded whatever the input.
-    cells = sums.withColumn("start", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(F.broadcast(budget))
-    placed = passes.join(F.broadcast(cells), "cell")
-    whole = placed.filter(F.col("start") + F.col("words") <= F.col("budget")).select("rid", "part")
-    at_end = placed.filter((F.col("start") < F.col("budget")) & (F.col("start") + F.col("words") > F.col("budget")))
-    inside = Window.partitionBy("cell").orderBy("finish", "src_no", "h", "_id", "size", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("budget") - F.col("start") - F.coalesce(F.sum("part").over(inside), F.lit(0))
-    cut = at_end.select("rid", F.greatest(F.lit(0), F.least(F.col("part"), left)).cast("long").alias("part"))
-    taken = whole.unionByName(cut).groupBy("rid").agg(F.sum("part").alias("taken"))
-    return joined.join(taken, "rid", "left").select(
-        F.col("_id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"),
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"_keep_{k}").alias(k) for k in keep],
+    sized = _sized(docs, *[F.col(k).alias(f"_keep_{k}") for k in keep if k != "source"])
+    return _allot(sized).select(
+        F.col("_id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), "taken",
+        *[F.col("source" if k == "source" else f"_keep_{k}").alias(k) for k in keep],
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, a row as often as the mix takes it (a cut one whole)."""
-    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    mixed = mix(rows, keep=["row"]).filter("taken > 0")
-    turns = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), turns)).alias("turn")).select("row.*")
+    """The rows of docs that the mix takes, a row as often as the mix takes it (a cut one whole).
+
+    Nulls, ties, empty tables and clashing names are as for mix(). Texts are sent once: to meet
+    what was taken of them.
+    """
+    rows = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = _allot(rows.drop("row")).filter("taken > 0").select("rid", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("turns"))
+    return rows.select("rid", "row").join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("turns"))).alias("turn")).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

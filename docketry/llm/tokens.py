@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import numpy as np
 
-#: Pieces that a worker remembers before it starts anew; bounds its memory.
-CACHE_PIECES = 800_000
+from . import common
+
+#: Pieces of a generation of the cache; it keeps two, about 55 MB each. What is used goes to the younger.
+CACHE_PIECES = 350_000
 #: Longer pieces are encoded and not remembered.
 LONG_PIECE = 40
 
-_made: dict[tuple[str, str], "Pieces"] = {}
+_made: dict[str, "Pieces"] = {}
 
 
 #: The printable stand-ins of byte-level vocabularies: byte -> character.
@@ -19,7 +22,26 @@ _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
 
 
-class Pieces(dict):
+class Remembered(dict):
+    """A cache of two generations: where the younger is full it becomes the older, which is dropped."""
+
+    def __init__(self, most: int | None = None) -> None:
+        self.older: dict = {}
+        self.most = most or CACHE_PIECES
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        return self.keep(key, self.make(key) if found is None else found)
+
+
+class Pieces(Remembered):
     """Piece of text -> its ids as little-endian unsigned 32-bit integers.
 
     A piece is cut where the vocabulary's own splitting rule must cut, so that its ids do not
@@ -33,6 +55,7 @@ class Pieces(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -44,12 +67,11 @@ class Pieces(dict):
         shown = unit if unit.isascii() else unit.encode().decode("latin-1")
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown.translate(_BYTES))])
 
-    def keep(self, piece: str, ids: bytes) -> bytes:
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __missing__(self, piece: str) -> bytes:
+        return self.make(piece) if len(piece) > LONG_PIECE else super().__missing__(piece)
+
+    def ids(self, text: str) -> bytes:
+        return self.whole(text)
 
     def plain(self, text: str) -> bool:
         return not any(s in text for s in self.special)
@@ -58,22 +80,24 @@ class Pieces(dict):
 class WordPieces(Pieces):
     """For word_bpe: white space separates words and is dropped; letters, digits and marks split."""
 
+    #: The units of the vocabulary's splitting rule: a fixed value of the file.
+    UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: White space to Python and not to the library.
     odd = "\x1c\x1d\x1e\x1f"
 
-    def __missing__(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         if not word.isascii() and (not unicodedata.is_normalized("NFC", word) or "\u0130" in word):
-            return self.keep(word, self.whole(word))
+            return self.whole(word)
         if word.isalpha():
             low = word.lower()
             if low != word and word.isascii():
-                return self.keep(word, self[low])
+                return self[low]
             # Beyond Latin, the library's lower case may differ from Python's.
-            return self.keep(word, self.letters(low) if max(low) < "\u0250" else self.whole(word))
+            return self.letters(low) if max(low) < "\u0250" else self.whole(word)
         base = word.rstrip(self.MARKS)
         if base != word and base.isalpha():
-            return self.keep(word, self[base] + self[word[len(base):]])
-        return self.keep(word, self.whole(word))
+            return self[base] + self[word[len(base):]]
+        return self.whole(word)
 
     def ids(self, text: str) -> bytes:
         if not self.plain(text) or any(c in text for c in self.odd) or "\u0130" in text:
@@ -89,25 +113,23 @@ def _edged(piece: str) -> bool:
     return not piece or piece[0].isspace() or piece[-1].isspace()
 
 
-class _Bare(dict):
+class _Bare(Remembered):
     """Ids of pieces that no space precedes."""
 
     def __init__(self, spaced: BytePieces) -> None:
+        super().__init__()
         self.spaced = spaced
 
     def __missing__(self, piece: str) -> bytes:
+        return self.make(piece) if len(piece) > LONG_PIECE else super().__missing__(piece)
+
+    def make(self, piece: str) -> bytes:
         if _edged(piece):
             raise _Odd
         base = piece.rstrip(Pieces.MARKS)
         if base.isalpha():
-            found = self.spaced.letters(base) + (self[piece[len(base):]] if base != piece else b"")
-        else:
-            found = self.spaced.whole(piece)
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= CACHE_PIECES // 4:
-                self.clear()
-            self[piece] = found
-        return found
+            return self.spaced.letters(base) + (self[piece[len(base):]] if base != piece else b"")
+        return self.spaced.whole(piece)
 
 
 class BytePieces(Pieces):
@@ -121,14 +143,13 @@ class BytePieces(Pieces):
         self.bare = _Bare(self)
         self.line_end = self.whole("\n")
 
-    def __missing__(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         if _edged(word):
             raise _Odd
         base = word.rstrip(self.MARKS)
         if base.isalpha():
-            ids = self.letters(" " + base) if base == word else self[base] + self.bare[word[len(base):]]
-            return self.keep(word, ids)
-        return self.keep(word, self.whole(" " + word))
+            return self.letters(" " + base) if base == word else self[base] + self.bare[word[len(base):]]
+        return self.whole(" " + word)
 
     def ids(self, text: str) -> bytes:
         if not text or not self.plain(text):
@@ -146,12 +167,23 @@ class BytePieces(Pieces):
         return b"".join(out)
 
 
-KINDS = {"word_bpe_49k.json": WordPieces, "byte_bpe_50k.json": BytePieces}
+def kind(path: str) -> type[Pieces]:
+    """How a vocabulary file lets texts be cut, by the rules in it; any other is given whole texts."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    plain = not rules["truncation"] and not rules["padding"] and rules["model"]["type"] == "BPE" and not rules["model"].get("ignore_merges")
+    split, before = rules["pre_tokenizer"] or {}, [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+    if plain and rules["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]:
+        return BytePieces
+    if plain and before == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Sequence" and [p["type"] for p in split["pretokenizers"]] == ["Split", "ByteLevel"]:
+        return WordPieces if split["pretokenizers"][0]["pattern"].get("Regex") == WordPieces.UNITS else Pieces
+    return Pieces
 
 
 def encoder(path: str) -> Pieces:
-    """The cached encoder of a vocabulary file; lives as long as the Python worker."""
-    name = path.rsplit("/", 1)[-1]
-    if (path, name) not in _made:
-        _made[path, name] = KINDS[name](path)
-    return _made[path, name]
+    """The cached encoder of a vocabulary file; lives until the worker serves another operator."""
+    common.only("tokens", _made.clear)
+    if path not in _made:
+        _made.clear()
+        _made[path] = kind(path)(path)
+    return _made[path]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .tokens import Remembered
 
 #: Rows with this remainder of crc32(doc_id) are held out.
 FOLDS = 5
@@ -28,8 +29,9 @@ CHOOSE_STEPS, WEIGH_STEPS, SPARSE, RIDGE = 150, 500, 7.0, 3e-5
 LEAST_ROWS = 3
 #: Letters that a word's beginning has; longer words share a slot by it.
 BEGINNING = 4
-#: Words that the classifier keeps at hand per worker.
-CACHE_WORDS = 500_000
+
+#: Words of a generation of the cache of a task; it keeps two, about 10 MB each.
+CACHE_WORDS = 100_000
 
 _word = re.compile(r"\w+")
 
@@ -136,20 +138,19 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     return rows, counts
 
 
-class _Weights(dict):
+class _Weights(Remembered):
     """Word -> its (slot, weight) pairs that count, remembered."""
 
     def __init__(self, by_slot: dict[int, float]) -> None:
+        super().__init__(CACHE_WORDS)
         self.by_slot = by_slot
 
-    def __missing__(self, word: str) -> tuple[tuple[int, float], ...]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = tuple((slot, self.by_slot[slot]) for slot in slots_of(word) if slot in self.by_slot)
-        return found
+    def make(self, word: str) -> tuple[tuple[int, float], ...]:
+        return tuple((slot, self.by_slot[slot]) for slot in slots_of(word) if slot in self.by_slot)
 
 
 def scorer(by_slot: dict[int, float], bias: float):
+    common.only("toxicity")
     words = _Weights(by_slot)
 
     def score(text: str | None) -> float:
@@ -164,12 +165,23 @@ def _scores(by_slot: dict[int, float], bias: float, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(by_slot, bias)
         for batch in batches:
-            out = pa.array([score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            out = pa.array([score(t.as_py()) for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], out], [*kept, "score"])
 
     return run
 
 
+def _clean(by_slot: dict[int, float], bias: float):
+    """Rows whose text scores below one half; the others do not go back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(by_slot, bias)
+        for batch in batches:
+            yield batch.filter(pa.array([score(t.as_py()) < 0.5 for t in batch.column("text")], pa.bool_()))
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     """Non-zero weights by slot and the bias. Without a toxic row: no weights, prior of one half of
     a percent. Only the bounded samples' word slots come to the driver."""
@@ -219,8 +231,13 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic."""
+    """The rows of docs that are not predicted toxic.
+
+    Nulls, repeated rows and empty tables are as for score_documents(); columns keep their names,
+    whatever they are. A text is sent to Python once and comes back once.
+    """
     weights, bias = train(docs, labels)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    schema = T.StructType([named.schema["row"], T.StructField("score", T.DoubleType())])
-    return named.mapInArrow(_scores(weights, bias, ["row"]), schema).filter("score < 0.5").select("row.*")
+    more = [c for c in docs.columns if c != "text"]
+    named = docs.select("text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in more]).alias("rest"))
+    left = named.mapInArrow(_clean(weights, bias), named.schema)
+    return left.select(*["text" if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
