@@ -14,21 +14,21 @@ from . import common
 K = 5
 SCALE = 256
 EVERY = 50
-#: Rows of a shard, and queries of a block, at most on average; both bound a task's memory.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 512
-#: Rows scored in full first, to have a threshold.
-SEED_ROWS = 256
-#: Share of all bounds that the essential terms hold.
-ESSENTIAL = 0.9
+#: Rows of a shard, and queries of a block, on average; both bound a task's memory.
+SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Rows of a posting block, which has bounds of its own.
+POSTING_BLOCK = 1024
+#: Postings of each end of a dimension that are kept by impact, and dimensions that a query begins with.
+IMPACTS, SEED_TERMS = 32, 4
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows of q with rows of v; beyond 64 bits they stop at its ends."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[1])
+    """Integer inner products of rows of q with rows of v, of Python's integers where 64 bits may not do."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(v.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
     if most < 2**53:
         return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    wide = q.astype(object) @ v.T.astype(object)
-    return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
+    return q.astype(object) @ v.T.astype(object)
 
 
 def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -41,67 +41,138 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def search_shard(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int = K):
-    """(query, vector, score) triples: every query's k best in this shard, its own row aside.
+class Postings:
+    """A shard by dimension: the value of each row, bounds by block of rows, and the outermost rows.
 
-    Terms are dimensions. A term's bound for a query is the most that any posting of the shard can
-    add to it. Terms are taken by bound; the essential ones are traversed for all rows. What the
-    others can add at most is known, so only rows that could still reach the k-th best score known
-    so far are probed in the other terms. Rows that reach it exactly are probed too, for ties.
+    A dimension is a term. Its contribution to a query's score is not negative once the least that
+    it can be in the shard is taken off, which is what MaxScore's bounds are about.
     """
-    seed = exact_scores(q, v[:SEED_ROWS])
-    seed[qid[:, None] == vid[None, :SEED_ROWS]] = np.iinfo(np.int64).min
-    if seed.shape[1] >= k:
-        threshold = np.partition(seed, seed.shape[1] - k, axis=1)[:, seed.shape[1] - k]
-    else:
-        threshold = np.full(len(q), np.iinfo(np.int64).min)
-    high, low = v.max(axis=0), v.min(axis=0)
-    small = max(float(np.abs(q).max(initial=0)), 1.0) * max(float(np.abs(v).max(initial=0)), 1.0) * max(1, q.shape[1]) < 2**53
-    bound = np.maximum(q * high, q * low) if small else None
-    if bound is None:
-        rough, probe = exact_scores(q, v), None
-    else:
-        spread = (bound - np.minimum(q * high, q * low)).sum(axis=0)
-        order = np.argsort(-spread, kind="stable")
-        n = int(np.searchsorted(np.cumsum(spread[order]), ESSENTIAL * spread.sum())) + 1
-        essential, other = order[:n], order[n:]
-        rough, probe = exact_scores(q[:, essential], v[:, essential]), other
-        rest = bound[:, other].sum(axis=1)
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, v: np.ndarray) -> None:
+        self.ids, self.rows = ids, rows
+        self.columns = np.ascontiguousarray(v.T.astype(np.float64))
+        self.cuts = list(range(0, len(ids), POSTING_BLOCK))
+        self.high = np.maximum.reduceat(self.columns, self.cuts, axis=1)
+        self.low = np.minimum.reduceat(self.columns, self.cuts, axis=1)
+        self.top, self.bottom = self.high.max(axis=1), self.low.min(axis=1)
+        order = np.argsort(self.columns, axis=1, kind="stable")
+        self.least, self.most = order[:, :IMPACTS], order[:, -IMPACTS:]
+
+
+class Best:
+    """The k best (score, id) so far, and the score that a row must reach to be among them."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.ids, self.scores, self.threshold = k, np.zeros(0, np.int64), np.zeros(0), -np.inf
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.r_[self.ids, ids], np.r_[self.scores, scores]
+        best = top(ids, scores, self.k)
+        self.ids, self.scores = ids[best], scores[best]
+        if len(best) == self.k:
+            self.threshold = self.scores[-1]
+
+
+def maxscore(w: np.ndarray, own: int, shard: Postings, k: int) -> Best:
+    """The k best rows of a shard for one query, its own row aside.
+
+    Rows that are outermost in the query's widest terms are scored first, for a threshold. Blocks
+    follow by their bounds until none can reach it. In a block the essential terms are those
+    without which a row cannot reach the threshold: the least widest ones are left out whose
+    contributions sum to less. The essential postings are traversed for all rows of the block; the
+    other terms are probed one by one, the widest first, for the rows that could still reach the
+    threshold. Scores that reach it raise it. Rows that only equal it are kept, for ties.
+    """
+    best = Best(k)
+    upper = np.maximum(w * shard.top, w * shard.bottom)
+    spread = upper - np.minimum(w * shard.top, w * shard.bottom)
+    terms = np.argsort(-spread, kind="stable")
+    lead = terms[:SEED_TERMS]
+    seeds = np.unique(np.where(w[lead, None] >= 0, shard.most[lead], shard.least[lead]))
+    seeds = seeds[shard.rows[seeds] != own]
+    best.add(shard.ids[seeds], w @ shard.columns[:, seeds])
+    seen = np.zeros(len(shard.ids), dtype=bool)
+    seen[seeds] = True
+    seen[shard.rows == own] = True
+    bounds = np.maximum(w[:, None] * shard.high, w[:, None] * shard.low)
+    floor = upper.sum() - spread.sum()
+    tail = np.r_[np.cumsum(spread[terms][::-1])[::-1], 0.0]  # what the terms from here on contribute at most
+    total = bounds.sum(axis=0)
+    for b in np.argsort(-total, kind="stable").tolist():
+        if total[b] < best.threshold:
+            break
+        at = shard.cuts[b]
+        block = slice(at, min(at + POSTING_BLOCK, len(shard.ids)))
+        n = max(1, int(np.argmax(tail < best.threshold - floor)) if best.threshold > -np.inf else len(terms))
+        essential, other = terms[:n], terms[n:]
+        partial = w[essential] @ shard.columns[essential, block]
+        rest = bounds[other, b].sum()
+        alive = np.flatnonzero((partial + rest >= best.threshold) & ~seen[block])
+        partial = partial[alive]
+        for t in other.tolist():
+            if not len(alive):
+                break
+            partial = partial + w[t] * shard.columns[t, at + alive]
+            rest -= bounds[t, b]
+            go = partial + rest >= best.threshold
+            if not go.all():
+                alive, partial = alive[go], partial[go]
+        if len(alive):
+            best.add(shard.ids[at + alive], partial)
+    return best
+
+
+def search_shard(queries, vectors, k: int = K):
+    """(query row, query id, vector id, score, exact) of every query's k best in this shard.
+
+    queries and vectors are (ids, rows, matrix). All sums are of integers below 2 ** 53 and so are
+    exact in doubles; where they may be larger all rows are scored in Python's integers, and exact
+    has what is beyond the ends of 64 bits, in an order of strings.
+    """
+    (qid, qrow, q), (vid, vrow, v) = queries, vectors
     out = []
+    most = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, v)]
+    if 4 * max(1.0, most[0]) * max(1.0, most[1]) * max(1, q.shape[1]) < 2**53:
+        shard, w = Postings(vid, vrow, v), q.astype(np.float64)
+        for i in range(len(q)):
+            best = maxscore(w[i], qrow[i], shard, k)
+            out += [(qrow[i], qid[i], v, int(x), "") for v, x in zip(best.ids.tolist(), best.scores.tolist(), strict=True)]
+        return out
     for i in range(len(q)):
-        if probe is None:
-            rows, scores = np.arange(len(v)), rough[i]
-        else:
-            rows = np.flatnonzero(rough[i] >= threshold[i] - rest[i]) if threshold[i] > np.iinfo(np.int64).min else np.arange(len(v))
-            scores = rough[i, rows] + exact_scores(q[i : i + 1, probe], v[rows][:, probe])[0]
-        own = vid[rows] != qid[i]
-        rows, scores = rows[own], scores[own]
-        best = top(vid[rows], scores, k)
-        out.append((np.full(len(best), qid[i]), vid[rows[best]], scores[best]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-
-
-def _matrix(rows: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(vrow != qrow[i])
+        scores = exact_scores(q[i : i + 1], v[other])[0].tolist()
+        for j in sorted(range(len(other)), key=lambda j: (-scores[j], vid[other[j]]))[:k]:
+            x = int(scores[j])
+            out.append((qrow[i], qid[i], int(vid[other[j]]), min(max(x, _LEAST), _MOST), "" if _LEAST < x < _MOST else f"{x + 2**200:051x}"))
+    return out
+
+
+def _matrix(rows: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, keys = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
     vectors = rows.field("v")
     lengths = np.diff(vectors.offsets.to_numpy())
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if (lengths == width).all():
-        return ids, flat.reshape(len(ids), width)
+        return ids, keys, flat.reshape(len(ids), width)
     out = np.zeros((len(ids), width), dtype=np.int64)  # a component that is missing counts as 0
     at = np.repeat(np.arange(len(ids)), lengths)
     out[at, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
-    return ids, out
+    return ids, keys, out
+
+
+_FOUND = "query_row long, query_id long, vec_id long, score long, exact string"
 
 
 def _search(width: int, k: int):
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("maxscore")
         for batch in batches:
             for i in range(batch.num_rows):
-                q = _matrix(batch.column("queries")[i].values, width)
-                v = _matrix(batch.column("vectors")[i].values, width)
-                found = search_shard(*q, *v, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+                found = search_shard(_matrix(batch.column("queries")[i].values, width), _matrix(batch.column("vectors")[i].values, width), k)
+                columns = zip(*found, strict=True) if found else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
     return run
 
@@ -109,48 +180,52 @@ def _search(width: int, k: int):
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of every query's k best vectors by inner product.
 
-    queries and vectors have (id long, v array<long>). Queries are dealt to blocks and vectors to
-    shards by a hash of their ids, every block meets every shard once (a query block is sent to the
-    shards, not rows to rows), and the shards' lists are merged by rank. Ids are taken to name a
-    vector: repeated ids keep the least vector, and a query never finds its own id. Null ids and
-    null vectors take no part; of vectors of different lengths the missing components count as 0;
-    without queries or vectors the result is empty.
+    queries and vectors have (id long, v array<long>) and may have row, a unique long: a query does
+    not find the vector of its own row. Rows are what counts: rows with one id, or equal in all, are
+    queries and vectors of their own, each with its own ranks. Without row nothing is left out.
+    Queries are dealt to blocks and vectors to shards by a hash, every block meets every shard
+    once (the work is all queries against all vectors), and the shards' lists are merged by rank,
+    ties to the smaller id. Null ids and null vectors take no part; of vectors of different lengths
+    the missing components count as 0; without queries or vectors the result is empty. Scores
+    beyond 64 bits are ranked as they are and written as the end of the range.
     """
     spark = vectors.sparkSession
     common.ship(spark)
 
-    def once(df: DataFrame) -> DataFrame:
-        return df.filter("id IS NOT NULL AND v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
+    def taking_part(df: DataFrame, name: str, less: int) -> DataFrame:
+        row = F.col("row") if "row" in df.columns else F.lit(less) - F.monotonically_increasing_id()
+        return common.stash(df.filter("id IS NOT NULL AND v IS NOT NULL").select("id", row.cast("long").alias("row"), "v"), name)
 
-    vectors, queries = common.stash(once(vectors), "vectors"), common.stash(once(queries), "queries")
+    vectors, queries = taking_part(vectors, "vectors", -1), taking_part(queries, "queries", -(2**62))
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     n_q, width_q = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_q // BLOCK_QUERIES))
 
     def dealt(df: DataFrame, parts: int, number: str, rows: str) -> DataFrame:
-        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(number)).agg(F.collect_list(F.struct("id", "v")).alias(rows))
+        return df.groupBy(F.pmod(F.xxhash64("id", "row"), F.lit(parts)).cast("int").alias(number)).agg(F.collect_list(F.struct("id", "row", "v")).alias(rows))
 
     blocked = dealt(queries, blocks, "block", "queries").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     met = blocked.join(dealt(vectors, shards, "shard", "vectors"), "shard").select("queries", "vectors")
-    found = met.mapInArrow(_search(max(width, width_q, 1), k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = met.mapInArrow(_search(max(width, width_q, 1), k), _FOUND)
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("exact").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_maxscore(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(finite).select("id", F.transform("e", lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
+    rows = rows.filter(finite).select("id", F.monotonically_increasing_id().alias("row"), F.transform("e", lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
+    rows = common.stash(rows, "embedding-rows")
     return top_k(rows.filter(F.col("id") % EVERY == 0), rows)
 
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r),
+r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
