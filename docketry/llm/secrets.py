@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from statistics import NormalDist, pstdev
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +28,24 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: and ends at or behind one: a value may have cuts of its own, as base64 and dotted formats do.
 CANDIDATE, CUT = r"[A-Za-z0-9+/_.=-]", re.compile(r"[=/.]")
 
-#: Labelled credentials of one kind that an automaton is inferred from.
-MAX_LABELLED = 600
-#: Fewer teach nothing.
-LEAST_LABELLED = 12
+#: Labelled credentials of one kind that an automaton is inferred from, and the longest of them.
+MAX_LABELLED, MAX_LENGTH = 600, 128
+#: Fewer make no format: a length, a letter class and an end cannot be told from chance.
+LEAST_LABELLED = 4
 #: Confidence of the state merging test; less merges more.
 ALPHA = 0.05
-#: Every so many labelled credentials one is kept back to set the threshold.
+#: A state whose letters are one and the same in so large a share of so many visits stands for that letter.
+LITERAL, LEAST_VISITS = 0.9, 8
+#: Every so many labelled credentials one is kept back to set the bounds; all serve if there are no more.
 KEEP_BACK = 4
 #: Share of credentials like those kept back that may score beyond either bound.
 EDGE = 0.005
 #: A candidate may score so much less or more per symbol than the bounds.
 SLACK = 0.02
-#: Strings whose verdict a worker remembers; bounds memory.
-REMEMBERED = 1 << 18
+#: How much likelier (natural logarithm) a candidate must be as a credential than as ordinary text.
+MARGIN = 12.0
+#: Strings whose verdict a task remembers; bounds memory.
+REMEMBERED = 1 << 16
 REDACTED = "[SECRET]"
 
 
@@ -55,93 +60,155 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-_CLASSES = str.maketrans({c: k for k, cs in {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in cs})
+#: Letter classes; marks of candidates are classes of their own, and so is all other text.
+_CLASSES = {c: k for k, cs in {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in cs} | {c: c for c in "+/_.=-"}
+_NAMES = ["0", "a", "g", "A", "G", *"+/_.=-", " "]
+_NUMBER = np.array([_NAMES.index(_CLASSES.get(chr(b), " ")) for b in range(256)], dtype=np.uint8)
 
 
-def symbols(value: str) -> str:
-    """Characters by class: digits, hex letters and others in either case; marks as they are."""
-    return value.translate(_CLASSES)
+class State:
+    """Visits by what came next: a letter or digit ("x"), a mark, or the end (""); letters also by class and as they are."""
+
+    def __init__(self) -> None:
+        self.next: dict[str, int] = {}
+        self.steps, self.classes, self.letters = Counter(), Counter(), Counter()
+
+    def add(self, other: State) -> None:
+        self.steps.update(other.steps)
+        self.classes.update(other.classes)
+        self.letters.update(other.letters)
+
+    def differs(self, other: State) -> bool:
+        """Hoeffding's test on the shares of steps, of letter classes, and of either state's usual letter."""
+        n, m = sum(self.steps.values()), sum(other.steps.values())
+        if not n or not m:
+            return False
+        bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        usual = {c for state in (self, other) for c, _ in state.letters.most_common(1)}
+        shares = [(self.steps, other.steps, self.steps.keys() | other.steps.keys()), (self.classes, other.classes, self.classes.keys() | other.classes.keys()), (self.letters, other.letters, usual)]
+        return any(abs(a[k] / n - b[k] / m) > bound for a, b, keys in shares for k in keys)
 
 
 class Automaton:
-    """A probabilistic automaton: the prefix tree of strings with compatible states merged."""
+    """A probabilistic automaton: the prefix tree of strings with compatible states merged.
+
+    The tree branches by letters as such, marks and ends, so that states keep the visits that a test
+    needs; what letters a state sees it counts by itself. Two states are compatible if neither they
+    nor any states that follow them by the same steps differ.
+    """
 
     def __init__(self, strings: list[str]) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.count: list[Counter] = [Counter()]  # by symbol; "" ends
+        self.states = [State()]
         for s in strings:
             at = 0
             for c in s:
-                self.count[at][c] += 1
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({})
-                    self.count.append(Counter())
-                at = self.next[at][c]
-            self.count[at][""] += 1
-        self._merge_states()
-
-    def _differ(self, a: int, b: int) -> bool:
-        """Hoeffding's test on all outgoing shares, and on what follows, as far as both go."""
+                state, step = self.states[at], "x" if c.isalnum() else c
+                state.steps[step] += 1
+                if step == "x":
+                    state.classes[_CLASSES[c]] += 1
+                    state.letters[c] += 1
+                if step not in state.next:
+                    state.next[step] = len(self.states)
+                    self.states.append(State())
+                at = state.next[step]
+            self.states[at].steps[""] += 1
+        self.kept = self._merge_states()
+        self.odds = {at: self._odds(self.states[at]) for at in self.kept}
+
+    def _compatible(self, a: int, b: int) -> bool:
         pairs = [(a, b)]
         while pairs:
             a, b = pairs.pop()
-            na, nb = sum(self.count[a].values()), sum(self.count[b].values())
-            if not na or not nb:
-                continue
-            bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-            for c in self.count[a].keys() | self.count[b].keys():
-                if abs(self.count[a][c] / na - self.count[b][c] / nb) > bound:
-                    return True
-            pairs += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys() if self.next[a][c] != self.next[b][c]]
-        return False
+            x, y = self.states[a], self.states[b]
+            if x.differs(y):
+                return False
+            pairs += [(x.next[c], y.next[c]) for c in x.next.keys() & y.next.keys() if x.next[c] != y.next[c]]
+        return True
 
     def _fold(self, red: int, blue: int) -> None:
         """Add the tree under blue to red."""
         work = [(red, blue)]
         while work:
             r, b = work.pop()
-            self.count[r].update(self.count[b])
-            for c, t in self.next[b].items():
-                if c in self.next[r]:
-                    work.append((self.next[r][c], t))
+            self.states[r].add(self.states[b])
+            for c, t in self.states[b].next.items():
+                if c in self.states[r].next:
+                    work.append((self.states[r].next[c], t))
                 else:
-                    self.next[r][c] = t
+                    self.states[r].next[c] = t
 
-    def _merge_states(self) -> None:
+    def _merge_states(self) -> list[int]:
+        """The states that are left: each was compared with all before it and is compatible with none."""
         red, seen = [0], {0}
         while True:
-            blue = [(r, c, t) for r in red for c, t in sorted(self.next[r].items()) if t not in seen]
+            blue = [(r, c, t) for r in red for c, t in sorted(self.states[r].next.items()) if t not in seen]
             if not blue:
-                return
-            parent, c, state = min(blue, key=lambda x: (-sum(self.count[x[2]].values()), x))
+                return red
+            parent, c, state = min(blue, key=lambda x: (-sum(self.states[x[2]].steps.values()), x))
             for r in red:
-                if not self._differ(r, state):
-                    self.next[parent][c] = r
+                if self._compatible(r, state):
+                    self.states[parent].next[c] = r
                     self._fold(r, state)
                     break
             else:
                 red.append(state)
                 seen.add(state)
 
+    @staticmethod
+    def _odds(state: State) -> dict[str, tuple[float, int]]:
+        """Character -> log likelihood and the state after it; "" is the end."""
+        n, x = sum(state.steps.values()), state.steps["x"]
+        out = {c: (math.log(k / n), state.next.get(c, -1)) for c, k in state.steps.items() if c != "x" and k}
+        if x:
+            usual = state.letters.most_common(1)[0][1]
+            literal = x >= LEAST_VISITS and usual >= LITERAL * x
+            for c, k in _CLASSES.items():
+                if c.isalnum():
+                    share = (state.letters[c] + 1e-3) / (x + 1e-2) if literal else (state.classes[k] + 1e-2) / (x + 5e-2)
+                    out[c] = math.log(x / n * share), state.next["x"]
+        return out
+
     def score(self, s: str) -> float:
-        """Mean log likelihood of a symbol, the end counted as one."""
+        """Mean log likelihood of a symbol, the end counted as one; minus infinity for what cannot be."""
         at, total = 0, 0.0
-        for c in [*s, ""]:
-            n = sum(self.count[at].values())
-            total += math.log((self.count[at][c] + 1e-3) / (n + 1e-2))
-            if c:
-                if c not in self.next[at]:
-                    return -math.inf
-                at = self.next[at][c]
-        return total / (len(s) + 1)
+        for c in s:
+            step = self.odds[at].get(c)
+            if step is None:
+                return -math.inf
+            total += step[0]
+            at = step[1]
+        end = self.odds[at].get("")
+        return (total + end[0]) / (len(s) + 1) if end else -math.inf
+
+
+class Background:
+    """Ordinary text: how likely a letter class or mark follows another, counted over all documents."""
+
+    def __init__(self, counts: dict[int, int]) -> None:
+        n = len(_NAMES)
+        table = np.full((n, n), 0.5)
+        for pair, k in counts.items():
+            table[divmod(pair, n)] += k
+        table = np.log(table / table.sum(axis=1, keepdims=True))
+        self.step = {(a, b): float(table[i, j]) for i, a in enumerate(_NAMES) for j, b in enumerate(_NAMES)}
+
+    def log_likelihood(self, string: str) -> float:
+        classes = [" ", *(_CLASSES[c] for c in string), " "]
+        return sum(self.step[pair] for pair in zip(classes, classes[1:], strict=False))
+
+
+def class_pairs(texts: list[str | None]) -> np.ndarray:
+    """How often each class follows each in the texts, by number."""
+    octets = np.frombuffer("\n".join(t for t in texts if t).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    numbers = _NUMBER[octets].astype(np.int64)
+    return np.bincount(numbers[:-1] * len(_NAMES) + numbers[1:], minlength=len(_NAMES) ** 2)
 
 
 class Format(NamedTuple):
     """An automaton, and the lengths and scores of the labelled credentials that are its own.
 
     Strings that are far likelier than any credential, such as digits alone where the format has
-    hex digits, are as foreign to it as unlikely ones.
+    hex digits, are as foreign to it as unlikely ones; so are those that ordinary text may hold.
     """
 
     automaton: Automaton
@@ -149,9 +216,18 @@ class Format(NamedTuple):
     longest: int
     least: float
     most: float
+    background: Background | None
 
-    def holds(self, string: str) -> bool:
-        return self.shortest <= len(string) <= self.longest and self.least <= self.automaton.score(string) <= self.most
+    def score(self, string: str) -> float:
+        """The string's mean log likelihood, minus infinity if it is none of the format's."""
+        if not self.shortest <= len(string) <= self.longest:
+            return -math.inf
+        score = self.automaton.score(string)
+        if not self.least <= score <= self.most:
+            return -math.inf
+        if self.background and score * (len(string) + 1) - self.background.log_likelihood(string) < MARGIN:
+            return -math.inf
+        return score
 
 
 def quantile(values: list[float], share: float) -> float:
@@ -170,19 +246,21 @@ def quantile(values: list[float], share: float) -> float:
     return high
 
 
-def infer(labelled: dict[str, list[str]]) -> list[Format]:
+def infer(labelled: dict[str, list[str]], background: Background | None = None) -> list[Format]:
     """A format for each kind with enough labelled credentials."""
     out = []
     for kind in sorted(labelled):
-        values = [symbols(v) for v in labelled[kind]]
-        back, learn = values[::KEEP_BACK], [v for i, v in enumerate(values) if i % KEEP_BACK]
-        if len(learn) < LEAST_LABELLED:
+        values = [v for v in labelled[kind] if len(v) <= MAX_LENGTH]
+        if len(values) < LEAST_LABELLED:
             continue
+        back, learn = values[::KEEP_BACK], [v for i, v in enumerate(values) if i % KEEP_BACK]
+        if len(back) < KEEP_BACK:
+            back = learn = values
         automaton = Automaton(learn)
         scores = [x for x in map(automaton.score, back) if x > -math.inf]
         if scores:
             lengths = [len(v) for v in values]
-            out.append(Format(automaton, min(lengths), max(lengths), quantile(scores, EDGE) - SLACK, quantile(scores, 1 - EDGE) + SLACK))
+            out.append(Format(automaton, min(lengths), max(lengths), quantile(scores, EDGE) - SLACK, quantile(scores, 1 - EDGE) + SLACK, background))
     return out
 
 
@@ -195,10 +273,10 @@ def parts(text: str, start: int, end: int, shortest: int, longest: int) -> Itera
             yield s, e
 
 
-def format_spans(text: str, taken: list[tuple[int, int, int, str]], formats: list[Format], known: dict[str, bool] | None = None) -> list[tuple[int, int, int, str]]:
+def format_spans(text: str, taken: list[tuple[int, int, int, str]], formats: list[Format], known: dict[str, float] | None = None) -> list[tuple[int, int, int, str]]:
     """Candidates outside the spans taken that a format holds; of those that overlap the longest.
 
-    What is left of a run that a span takes part of is a run. known remembers verdicts by string.
+    What is left of a run that a span takes part of is a run. known remembers scores by string.
     """
     if not formats:
         return []
@@ -209,12 +287,12 @@ def format_spans(text: str, taken: list[tuple[int, int, int, str]], formats: lis
     for s, e in [*sorted((s, e) for s, _, e, _ in taken), (len(text), len(text))]:
         for m in run.finditer(text, at, s) if at < s else ():
             for a, b in parts(text, m.start(), m.end(), shortest, longest):
-                string = symbols(text[a:b])
+                string = text[a:b]
                 if string not in known:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    known[string] = any(f.holds(string) for f in formats)
-                if known[string]:
+                    known[string] = max(f.score(string) for f in formats)
+                if known[string] > -math.inf:
                     held.append((a, b))
         at = max(at, e)
     found = []
@@ -226,46 +304,61 @@ def format_spans(text: str, taken: list[tuple[int, int, int, str]], formats: lis
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled credentials of each batch, and at its end the task's pairs of classes."""
+    common.only("secrets")
+    pairs = np.zeros(len(_NAMES) ** 2, dtype=np.int64)
+
+    def rows(kinds, values, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(counts, pa.int64())], ["kind", "value", "n"])
+
     for batch in batches:
-        found = {(KINDS[k], v) for text in batch.column("text").to_pylist() if text for _, k, _, v in base_spans(text)}
-        kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
+        texts = batch.column("text").to_pylist()
+        pairs += class_pairs(texts)
+        found = Counter((KINDS[k], v) for text in texts if text for _, k, _, v in base_spans(text))
+        yield rows([k for k, _ in found], [v for _, v in found], list(found.values()))
+    seen = np.flatnonzero(pairs)
+    yield rows(["pair"] * len(seen), [str(i) for i in seen], pairs[seen])
 
 
 def learn(docs: DataFrame) -> list[Format]:
     """Formats from the credentials that the fixed patterns find in all of docs.
 
-    Of each kind the MAX_LABELLED distinct values with the least hash are learned from.
+    Of each kind the MAX_LABELLED distinct values with the least hash are learned from, if they have
+    MAX_LENGTH characters at most. The background counts all texts.
     """
     common.ship(docs.sparkSession)
-    found = common.stash(docs.select("text").mapInArrow(_labelled, "kind string, value string").distinct(), "labelled")
+    found = docs.select("text").mapInArrow(_labelled, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    found = common.stash(found, "labelled")
     labelled = defaultdict(list)
     for kind in KINDS[:3]:
-        for row in found.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(MAX_LABELLED).collect():
+        for row in found.filter((F.col("kind") == kind) & (F.length("value") <= MAX_LENGTH)).orderBy(F.xxhash64("value"), "value").limit(MAX_LABELLED).collect():
             labelled[kind].append(row.value)
-    return infer(labelled)
+    counts = {int(r.value): r.n for r in found.filter("kind = 'pair'").collect()}  # of a fixed number of pairs
+    common.release(found)
+    return infer(labelled, Background(counts))
 
 
 def written(spans: list[tuple[int, int, int, str]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
 
 
-_DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
+_DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, best_score double"
 
 
 def _digests(formats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("secrets")
         known = {}
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in (t.as_py() for t in batch.column("text")):
                 base = base_spans(text or "")
                 more = format_spans(text or "", base, formats, known)
                 n = Counter(k for _, k, _, _ in base)
-                rows.append((n[0], n[1], n[2], hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more)), len(more)))
+                rows.append((n[0], n[1], n[2], hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more)), len(more), max((known[v] for *_, v in more), default=None)))
             names = [c.split()[0] for c in _DIGEST.split(", ")]
-            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
 
     return run
@@ -274,7 +367,8 @@ def _digests(formats):
 def scan(docs: DataFrame) -> DataFrame:
     """Counts and spans of secrets in every whole text of docs.
 
-    Spans of the fixed patterns always stay; the learned formats add spans outside of them. Null
+    Spans of the fixed patterns always stay; the learned formats add spans outside of them, and
+    best_score is the highest mean log likelihood of those (null without any). Null
     and empty texts have none. Rows with null or repeated doc_ids are rows of their own. Only
     doc_id and text are read. An empty table, or one without labelled credentials, learns nothing.
     """
@@ -293,13 +387,17 @@ def redact(text: str, formats: list[Format], known: dict[str, bool] | None = Non
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """All rows of docs; in the texts every secret is replaced by REDACTED. n_chars follows, if there."""
+    """All rows of docs; in the texts every secret is replaced by REDACTED. n_chars follows, if there.
+
+    Null texts stay null; nulls, repeated rows, empty tables and other columns are as for scan().
+    """
     formats = learn(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("secrets")
         known = {}
         for batch in batches:
-            texts = [None if t is None else redact(t, formats, known) for t in batch.column("text").to_pylist()]
+            texts = [None if t is None else redact(t, formats, known) for t in (x.as_py() for x in batch.column("text"))]
             at = batch.schema.get_field_index("text")
             columns = batch.columns
             columns[at] = pa.array(texts, pa.string())
