@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from . import common
 
 UNIT = 64
-#: Blocks in a row of a payload image.
-ROW_BLOCKS = 1024
+#: Blocks in a row of a payload image, and most rows: the format's height has 16 bits.
+ROW_BLOCKS, MOST_ROWS = 1024, 65535 // 8
 BANDS = ((1, 5), (6, 63))
-#: Bits that a band's first scan leaves to its refinement scans, and the DC scan to its own.
-AC_LOW, DC_LOW = 4, 8
+#: Bits that a band's first scan leaves to its refinement scan, and the DC scan to its own.
+AC_LOW, DC_LOW = 1, 8
+#: The size category of all AC coefficients of a payload after the first scan: 64 to 127 and their negatives.
+CATEGORY = 7
+#: Samples that a file may have at most; a header of more is taken to be corrupt.
+MOST_SAMPLES = 1 << 31
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 _marker = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
@@ -64,38 +68,36 @@ def payload(text: str | None) -> tuple[bytes, int]:
 def write_payload(data: bytes) -> bytes:
     """A progressive grey JPEG whose quantised coefficients are the bytes of data, a block for 64.
 
-    The DC coefficient of a block is its first byte. Each other byte b is the AC coefficient
-    256 + b, so that all of a band's coefficients are in one size category: a band's first scan has
-    the top bits of every coefficient, its refinement scans one bit of each. All Huffman tables hold
-    one symbol, so scans have fixed positions; the file is an ordinary JPEG all the same. The number
-    of blocks is in a comment; blocks that only fill the last row are zero.
+    The DC coefficient of a block is its first byte. Another byte below 128 is the AC coefficient
+    128 + byte, one from 128 on the negative of itself, so that all AC coefficients are in one size
+    category. A band's first scan has all their bits but the last, in a byte for each; its refinement
+    scan has the last ones. All Huffman tables hold one symbol, so scans have fixed positions; the
+    file is an ordinary JPEG all the same. The number of blocks is in a comment; blocks that only
+    fill the last row are zero bytes.
     """
     n = len(data) // UNIT
-    across = min(n, ROW_BLOCKS)
+    across = max(min(n, ROW_BLOCKS), -(-n // MOST_ROWS))
     down = -(-n // across)
     octets = np.zeros((across * down, UNIT), dtype=np.uint8)
     octets[:n] = np.frombuffer(data, dtype=np.uint8).reshape(n, UNIT)
     k = len(octets)
-    bits = np.unpackbits(octets[:, :, None], axis=2)  # block, coefficient, bit from the top
     one = [1] + [0] * 15
     out = [
         b"\xff\xd8", _segment(0xFE, b"DKPL" + struct.pack(">Q", n)), _segment(0xDB, bytes([0]) + bytes([1] * 64)),
         _segment(0xC2, struct.pack(">BHHB", 8, 8 * down, 8 * across, 1) + bytes([1, 0x11, 0])),
-        _table(0, 0, one, [0]), _table(1, 0, one, [9 - AC_LOW]), _table(1, 1, one, [0]),
+        _table(0, 0, one, [0]), _table(1, 0, one, [CATEGORY]), _table(1, 1, one, [0]),
         _scan(0, 0, 0, DC_LOW, 0, 0, np.zeros(k, np.uint8)),
     ]
-    for i, low in enumerate(range(DC_LOW - 1, -1, -1)):
-        out.append(_scan(0, 0, low + 1, low, 0, 0, np.ascontiguousarray(bits[:, 0, i])))
+    for low in range(DC_LOW - 1, -1, -1):
+        out.append(_scan(0, 0, low + 1, low, 0, 0, octets[:, 0] >> low & 1))
     for a, b in BANDS:
-        band = bits[:, a : b + 1]
-        start = np.zeros((k, b - a + 1, 10 - AC_LOW), dtype=np.uint8)
-        start[:, :, 1] = 1  # the symbol's code is 0; a positive coefficient's bits begin with 1
-        start[:, :, 2:] = band[:, :, : 8 - AC_LOW]
-        out.append(_scan(a, b, 0, AC_LOW, 0, 0, start))
+        band = octets[:, a : b + 1]
+        half = (band & 127) >> 1
+        first = np.where(band < 128, 64 + half, 63 - half).astype(np.uint8)  # the code 0, then the bits of the value
+        out.append(_scan(a, b, 0, AC_LOW, 0, 0, np.unpackbits(first)))
         more = np.zeros((k, b - a + 2), dtype=np.uint8)  # end of band, then a bit of each
-        for i, low in enumerate(range(AC_LOW - 1, -1, -1)):
-            more[:, 1:] = band[:, :, 8 - AC_LOW + i]
-            out.append(_scan(a, b, low + 1, low, 0, 1, more))
+        more[:, 1:] = band & 1
+        out.append(_scan(a, b, AC_LOW, 0, 0, 1, more))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -170,14 +172,26 @@ def decode(data: bytes) -> Image:
 
     Spectral selection and successive approximation of DC and AC, interleaved DC scans, restart
     intervals and subsampling are read. Where a scan's table has one symbol with a one-bit code and
-    the scan's positions are therefore fixed, numpy reads the scan at once.
+    the scan's positions are therefore fixed, numpy reads the scan at once. A file that is cut off,
+    corrupt or of another kind raises ValueError.
     """
+    try:
+        return _decode_file(data)
+    except (IndexError, KeyError, StopIteration, OverflowError, ZeroDivisionError, struct.error) as e:
+        raise ValueError(f"corrupt file: {type(e).__name__} {e}") from e
+
+
+def _decode_file(data: bytes) -> Image:
     image, tables, restart, at = Image(), {}, 0, 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     while True:
         marker = data[at + 1]
+        if data[at] != 0xFF:
+            raise ValueError("no marker where one should be")
         if marker == 0xD9:
+            if not image.components:
+                raise ValueError("no frame")
             return image
         (size,) = struct.unpack_from(">H", data, at + 2)
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
@@ -209,6 +223,8 @@ def decode(data: bytes) -> Image:
 
 
 def _lay_out(image: Image) -> None:
+    if not (0 < image.width * image.height * len(image.components) <= MOST_SAMPLES and all(0 < x <= 4 for c in image.components for x in (c.h, c.v))):
+        raise ValueError("no such frame")
     most_h, most_v = max(c.h for c in image.components), max(c.v for c in image.components)
     mcus_x, mcus_y = -(-image.width // (8 * most_h)), -(-image.height // (8 * most_v))
     alone = len(image.components) == 1
@@ -268,7 +284,13 @@ def _read_fixed(c: Component, symbol: int | None, first: int, last: int, high: i
         return False
     flat = blocks.reshape(k, 64)
     raw = np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8)
+
+    def has(bits: int) -> None:
+        if len(raw) * 8 < bits:
+            raise ValueError("a scan is cut off")
+
     if first == 0 and high:
+        has(k)
         flat[:, 0] |= np.unpackbits(raw, count=k).astype(np.int32) << low
     elif first == 0:
         if symbol != 0:  # category 0 alone: every difference is 0
@@ -276,16 +298,20 @@ def _read_fixed(c: Component, symbol: int | None, first: int, last: int, high: i
     elif not high:
         if symbol is None or symbol >> 4 or symbol == 0:
             return False
-        bits = np.unpackbits(raw, count=k * n * (symbol + 1)).reshape(k, n, symbol + 1)
-        if not bits[:, :, 1].all():  # a negative coefficient: the general way
-            return False
-        octets = np.packbits(bits, axis=2)
-        if octets.shape[2] != 1:
-            return False
-        flat[:, first : last + 1] = ((octets[:, :, 0] >> (7 - symbol)).astype(np.int32)) << low
+        has(k * n * (symbol + 1))
+        if symbol == 7:
+            bits = raw[: k * n].reshape(k, n)
+        else:
+            bits = np.packbits(np.unpackbits(raw, count=k * n * (symbol + 1)).reshape(k, n, symbol + 1), axis=2)
+            if bits.shape[2] != 1:
+                return False
+            bits = bits[:, :, 0] >> (7 - symbol)
+        value = bits.astype(np.int32)
+        flat[:, first : last + 1] = np.where(value >> (symbol - 1), value, value - (1 << symbol) + 1) << low
     else:
         if symbol != 0 or not flat[:, first : last + 1].all():
             return False
+        has(k * (n + 1))
         bits = np.unpackbits(raw, count=k * (n + 1)).reshape(k, n + 1)[:, 1:].astype(np.int32)
         band = flat[:, first : last + 1]
         band += np.where(band > 0, bits, -bits) << low
@@ -351,14 +377,22 @@ def plane(image: Image, c: Component) -> np.ndarray:
 
 
 def rgb(image: Image) -> np.ndarray:
-    """The (height, width, 3) tensor of 8-bit samples; chroma is repeated up to full resolution."""
+    """The (height, width, 3) tensor of 8-bit samples; chroma is brought up to full resolution.
+
+    Each sample stands for the places of the full grid that its own covers, whatever the ratio.
+    """
     most_h, most_v = max(c.h for c in image.components), max(c.v for c in image.components)
+    if len(image.components) not in (1, 3) or any(c.table not in image.quant for c in image.components):
+        raise ValueError("no grey or colour file")
     planes = []
     for c in image.components:
-        up = plane(image, c).repeat(most_v // c.v, axis=0).repeat(most_h // c.h, axis=1)
-        planes.append(up[: image.height, : image.width])
+        own = plane(image, c)
+        if (c.h, c.v) != (most_h, most_v):
+            rows, columns = np.arange(image.height) * c.v // most_v, np.arange(image.width) * c.h // most_h
+            own = own[rows[:, None], columns[None, :]]
+        planes.append(own[: image.height, : image.width])
     if len(planes) == 1:
-        return np.broadcast_to(planes[0][:, :, None], (*planes[0].shape, 3))
+        return planes[0][:, :, None].repeat(3, axis=2)
     y, cb, cr = (p.astype(np.float32) for p in planes[:3])
     out = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], axis=2)
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
@@ -370,20 +404,20 @@ def read_payload(image: Image) -> bytes:
         raise ValueError("the file holds no payload")
     (n,) = struct.unpack(">Q", image.comment[4:12])
     flat = image.components[0].coefficients.reshape(-1, 64)[:n]
-    return flat.astype(np.uint8).tobytes()  # 256 + b keeps b
+    octets = np.where(flat > 0, flat - 128, -flat).astype(np.uint8)
+    octets[:, 0] = flat[:, 0]
+    return octets.tobytes()
 
 
-def feature(image: Image) -> str:
-    """Size, sum of samples, and how many samples lie in each quarter of the range, of the tensor."""
-    grey = len(image.components) == 1
-    tensor = plane(image, image.components[0])[: image.height, : image.width] if grey else rgb(image)
-    counts = np.bincount(tensor.ravel() >> 6, minlength=4) * (3 if grey else 1)
-    total = int(tensor.sum(dtype=np.int64)) * (3 if grey else 1)
-    return f"{image.height}x{image.width}x3:{total}:" + "/".join(map(str, counts.tolist()))
+def feature(tensor: np.ndarray) -> str:
+    """Size, sum of samples, and how many samples lie in each quarter of the range, of an RGB tensor."""
+    least = [tensor.size, *(int(np.count_nonzero(tensor >= 64 * i)) for i in (1, 2, 3)), 0]
+    counts = [a - b for a, b in zip(least, least[1:], strict=False)]
+    return f"{tensor.shape[0]}x{tensor.shape[1]}x3:{int(tensor.sum(dtype=np.int64))}:" + "/".join(map(str, counts))
 
 
 _MEDIA = "doc_id long, n_bytes long, media binary"
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 #: Bytes of media that pass between the steps at a time.
 BATCH_BYTES = 16 << 20
 
@@ -392,6 +426,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(ids, sizes, media):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    common.only("media")
     for batch in batches:
         ids, sizes, media, held = [], [], [], 0
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -407,15 +442,20 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.only("media")
     names = [c.split()[0] for c in _FEATURES.split(", ")]
-    types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3]
     for batch in batches:
         rows = []
         for doc_id, n, cell in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
             media = cell.as_py()
-            image = decode(media)
-            data = read_payload(image)
-            rows.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(image)))
+            stored = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+            try:
+                image = decode(media or b"")
+                data = read_payload(image)
+                rows.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), *stored, feature(rgb(image)), None))
+            except ValueError as e:
+                rows.append((doc_id, n, None, None, None, *stored, None, "no file" if media is None else str(e)))
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -431,26 +471,37 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests of the payload read back from each media file, and the feature of its RGB tensor."""
+    """Digests of the payload read back from each media file, and the feature of its RGB tensor.
+
+    A file that is null, cut off, corrupt, of another kind or without a payload has nulls there and
+    says why in error. Null and repeated doc_ids stay rows of their own; an empty table gives none.
+    """
+    common.ship(media.sparkSession)
     return media.mapInArrow(_decode, _FEATURES)
 
 
-_TENSORS = "doc_id long, height int, width int, tensor binary"
+_TENSORS = "doc_id long, height int, width int, tensor binary, error string"
 
 
 def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.only("media")
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
     for batch in batches:
-        for doc_id, cell in zip(batch.column("doc_id"), batch.column("media"), strict=True):
-            tensor = rgb(decode(cell.as_py()))
-            columns = [pa.array([doc_id.as_py()], pa.int64()), *[pa.array([n], pa.int32()) for n in tensor.shape[:2]], pa.array([np.ascontiguousarray(tensor).tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _TENSORS.split(", ")])
+        for doc_id, cell in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+            try:
+                tensor = rgb(decode(cell.as_py()))
+                row = doc_id, *tensor.shape[:2], np.ascontiguousarray(tensor).tobytes(), None
+            except ValueError as e:
+                row = doc_id, None, None, None, str(e)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in _TENSORS.split(", ")])
 
 
 def rgb_tensors(media: DataFrame, path: str) -> DataFrame:
     """Store the full-resolution RGB tensor of each progressive JPEG of (doc_id, media) at path.
 
-    tensor holds height * width * 3 samples of 8 bits, row by row. Rows without media have no
-    tensor; null and repeated doc_ids stay rows of their own; other columns are not read.
+    tensor holds height * width * 3 samples of 8 bits, row by row. Files that cannot be read have
+    null tensors and say why in error; rows without media are left out. Null and repeated doc_ids
+    stay rows of their own; other columns are not read.
     """
     common.ship(media.sparkSession)
     media.filter("media IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(_tensors, _TENSORS).write.mode("overwrite").parquet(path)
@@ -458,4 +509,4 @@ def rgb_tensors(media: DataFrame, path: str) -> DataFrame:
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
-    return media_features(media_column(common.documents(spark, sf_dir)))
+    return media_features(common.stash(media_column(common.documents(spark, sf_dir)), "media"))
