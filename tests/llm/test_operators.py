@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docketry.llm import licenses, maxscore, media, mixing, packing, repeats, secrets, simhash, token_files, tokens, toxicity
@@ -81,7 +82,8 @@ def test_secrets(spark, none):
     first = got[0]
     assert (first.n_assign, first.n_hex, first.n_access) == (1, 1, 0) and first.spans == "assign:2:51,hex:11:51"
     assert first.base_sha256 == hashlib.sha256(b"assign:2:51,hex:11:51").hexdigest()
-    assert got[90].spans == "access:48:64" or got[90].n_access == 1 and got[90].n_assign == 0
+    at = rows[40][1].index(" AKIA" + "B" * 12) + 1
+    assert (got[90].spans, got[90].n_access, got[90].n_assign) == (f"access:{at}:{at + 16}", 1, 0)
     assert got[91].spans == "" and got[92].spans == "" and got[92].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[93].n_assign == 1
     assert secrets.scan(none).count() == 0
@@ -93,7 +95,8 @@ def test_format_automaton_knows_its_kind():
     rng = random.Random(2)
     values = ["sk" + "".join(rng.choice("0123456789") for _ in range(20)) for _ in range(60)]
     automata = secrets.infer({"assign": values})
-    assert automata and len(automata[0][0].next) > 0
+    states = [automata[0].automaton.states[i] for i in automata[0].automaton.kept]
+    assert len(states) == 23 and [c for c, _ in states[0].letters.most_common()] == ["s"] and states[-1].steps.keys() == {""}
     new = "sk" + "".join(rng.choice("0123456789") for _ in range(20))
     assert secrets.format_spans(f"see {new} here", [], automata) == [(4, 3, 26, new)]
     assert secrets.format_spans("see 2024-01-01-and-other-9words here", [], automata) == []
@@ -103,19 +106,34 @@ def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     rows += [(300 + i, rows[4][1]) for i in range(9)]  # ties
-    rows += [(400, None), (450, [1.0, None] * 4), (500, [float("nan")] * 8), (None, [1.0] * 8), (550, [1e6] * 8), (550, [1e6] * 8), (600, [])]
-    df = spark.createDataFrame(rows, "id long, e array<double>")
+    rows += [(400, None), (450, [1.0, None] * 4), (500, [float("nan")] * 8), (None, [1.0] * 8), (550, [1e6] * 8), (550, [1e6] * 8), (600, []), (1, [5.0] * 8), (50, [9.0] * 8), (50, [9.0] * 8), (650, [1e15] * 8), (650, [-2e15] * 8)]
     spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<double>, label int").write.mode("overwrite").parquet("/tmp/checkpoints/test-top-k/embeddings.parquet")
-    got = defaultdict(list)
-    for r in maxscore.op3_maxscore(spark, "/tmp/checkpoints/test-top-k").collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    ok = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    assert set(got) == {i for i in ok if i % 50 == 0}
-    for q in got:
-        score = lambda i, q=q: sum(a * b for a, b in zip(ok[q], ok[i], strict=False))
-        best = sorted((i for i in ok if i != q), key=lambda i: (-score(i), i))[:5]
-        assert sorted(got[q]) == [(n + 1, i, score(i)) for n, i in enumerate(best)]
-    assert maxscore.top_k(df.limit(0).selectExpr("id", "cast(e as array<long>) v"), df.limit(0).selectExpr("id", "cast(e as array<long>) v")).count() == 0
+    got = Counter(tuple(r) for r in maxscore.op3_maxscore(spark, "/tmp/checkpoints/test-top-k").collect())
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for n, (q, a) in enumerate(ok):
+        if q % 50 == 0:
+            scores = [(-sum(x * y for x, y in zip(a, b, strict=False)), i) for m, (i, b) in enumerate(ok) if m != n]
+            want.update((q, rank, i, min(max(-s, -(2**63)), 2**63 - 1)) for rank, (s, i) in enumerate(sorted(scores)[:5], 1))
+    assert got == want
+    empty = spark.createDataFrame([], "id long, v array<long>")
+    assert maxscore.top_k(empty, empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_maxscore_prunes_and_loses_nothing(block, monkeypatch):
+    monkeypatch.setattr(maxscore, "POSTING_BLOCK", block)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 24))
+    v = np.floor(256 * (centres[rng.integers(0, 12, 3000)] + 0.2 * rng.normal(size=(3000, 24)))).astype(np.int64)
+    v[100:140] = v[7]  # ties
+    ids, rows = rng.permutation(3000) // 2, np.arange(3000)
+    shard = maxscore.Postings(ids, rows, v)
+    for i in range(0, 3000, 150):
+        best = maxscore.maxscore(v[i].astype(float), i, shard, 5)
+        scores = v @ v[i]
+        want = sorted((-scores[j], ids[j]) for j in range(3000) if j != i)[:5]
+        assert [(-s, n) for s, n in zip(best.scores, best.ids, strict=True)] == [(float(a), b) for a, b in want]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -205,7 +223,153 @@ def test_media_colour_scans():
     tensor = media.rgb(image)
     y, cb, cr = 128 + 7, 128 - 7, 128 + 4
     assert tensor.shape == (16, 16, 3) and (tensor == np.rint([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)]).astype(np.uint8)).all()
-    assert one
+
+
+def huffman_scan(symbols):
+    """Bits of (symbol, extra bits) with nine-bit codes for all 256 symbols."""
+    bits = "".join((format(s, "09b") if s is not None else "") + extra for s, extra in symbols)
+    bits += "1" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+
+
+def magnitude(v):
+    n = abs(v).bit_length()
+    return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+
+def end_run(run):
+    n = run.bit_length() - 1
+    return (n << 4, format(run - (1 << n), f"0{n}b") if n else "")
+
+
+def ac_first(blocks, a, b, low):
+    """Runs of zeros, signed values and runs of bands that end, of the bits above low."""
+    out, ended = [], 0
+    for block in blocks:
+        values = [int(np.sign(v)) * (abs(int(v)) >> low) for v in block[a : b + 1]]
+        last = max((i for i, v in enumerate(values) if v), default=-1)
+        if last < 0:
+            ended += 1
+            continue
+        if ended:
+            out.append(end_run(ended))
+            ended = 0
+        zeros = 0
+        for v in values[: last + 1]:
+            if not v:
+                zeros += 1
+                continue
+            out += [(0xF0, "")] * (zeros // 16)
+            n, extra = magnitude(v)
+            out.append((zeros % 16 << 4 | n, extra))
+            zeros = 0
+        ended = int(last < len(values) - 1)
+        if ended:
+            out.append(end_run(1))
+            ended = 0
+    return out + ([end_run(ended)] if ended else [])
+
+
+def ac_refine(blocks, a, b, low):
+    """New values of one bit, and a bit of each value that is known."""
+    out = []
+    for block in blocks:
+        values = [int(v) for v in block[a : b + 1]]
+        new = [i for i, v in enumerate(values) if abs(v) >> low == 1]
+        bit = lambda v: str(abs(v) >> low & 1)
+        at = 0
+        for i in new:
+            zeros, pending = 0, ""
+            for j in range(at, i):
+                if abs(values[j]) >> low > 1:
+                    pending += bit(values[j])
+                else:
+                    zeros += 1
+                    if zeros == 16:
+                        out.append((0xF0, pending))
+                        zeros, pending = 0, ""
+            out.append((zeros << 4 | 1, ("1" if values[i] > 0 else "0") + pending))
+            at = i + 1
+        if at < len(values):
+            out.append((0, "".join(bit(v) for v in values[at:] if abs(v) >> low > 1)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_media_general_scans_against_an_encoder(seed):
+    """Two bands with runs, negative values and refinement, three components with ratio 3 to 2, by an encoder of its own."""
+    rng = np.random.default_rng(seed)
+    sampling = [(3, 2), (2, 1), (1, 2)]
+    width, height = 70, 37
+    every = [x for x in range(256)]
+    head = b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes(range(1, 65)))
+    head += media._segment(0xC2, bytes([8, 0, height, 0, width, 3]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling)))
+    head += b"".join(media._segment(0xC4, bytes([k << 4, *([0] * 8), 255, *([0] * 7)]) + bytes(every[:255])) for k in (0, 1))
+    want, file = [], head
+    for i, (h, v) in enumerate(sampling):
+        across, down = -(-(-(-width * h // 3)) // 8), -(-(-(-height * v // 2)) // 8)
+        blocks = np.where(rng.random((down * across, 64)) < rng.choice([0.03, 0.3, 0.9]), rng.integers(-40, 41, (down * across, 64)), 0)
+        blocks[rng.random(len(blocks)) < 0.3, 1:] = 0
+        want.append((across, down, blocks))
+    scan = lambda i, a, b, high, low, data: media._segment(0xDA, bytes([1, i + 1, 0, a, b, high << 4 | low])) + data
+    for i, (_, _, blocks) in enumerate(want):
+        dc, before = [], 0
+        for v in blocks[:, 0].tolist():
+            n, extra = magnitude((v >> 1) - before)
+            dc.append((n, extra))
+            before = v >> 1
+        file += scan(i, 0, 0, 0, 1, huffman_scan(dc)) + scan(i, 0, 0, 1, 0, huffman_scan([(None, str(v & 1)) for v in blocks[:, 0].tolist()]))
+        for a, b in ((1, 20), (21, 63)):
+            file += scan(i, a, b, 0, 2, huffman_scan(ac_first(blocks, a, b, 2)))
+            for low in (1, 0):
+                file += scan(i, a, b, low + 1, low, huffman_scan(ac_refine(blocks, a, b, low)))
+    file += b"\xff\xd9"
+    image = media.decode(file)
+    for c, (across, down, blocks) in zip(image.components, want, strict=True):
+        assert (c.coefficients[:down, :across].reshape(-1, 64) == blocks).all()
+    assert media.rgb(image).shape == (height, width, 3)
+    planes = [media.plane(image, c) for c in image.components]
+    tensor, y, x = media.rgb(image), 36, 69
+    parts = [float(p[y * v // 2, x * h // 3]) for p, (h, v) in zip(planes, sampling, strict=True)]
+    assert tensor[y, x, 0] == np.clip(np.rint(np.float32(parts[0]) + np.float32(1.402) * np.float32(parts[2] - 128)), 0, 255)
+
+
+def test_media_that_is_corrupt_says_so(spark, tmp_path):
+    good = media.write_payload(media.payload("some text " * 40)[0])
+    cut = [good[:n] for n in range(0, len(good) - 1, 37)]
+    rng = random.Random(1)
+    hurt = [bytes(b if rng.random() > 0.02 else rng.randrange(256) for b in good) for _ in range(60)]
+    for file in [*cut, *hurt]:
+        try:
+            media.rgb(media.decode(file))
+        except ValueError:
+            pass
+    rows = [(1, 400, good), (2, 400, good[:200]), (3, 0, b"GIF89a"), (4, None, None), (None, 1, b"")]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.media_features(df).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 448 and got[4].error == "no file"
+    assert all(got[i].error and got[i].payload_sha256 is None and got[i].feature is None for i in (2, 3, 4, None))
+    stored = {r.doc_id: r for r in media.rgb_tensors(df, str(tmp_path / "t")).collect()}
+    assert set(stored) == {1, 2, 3, None} and stored[1].tensor and not stored[2].tensor and stored[2].error
+
+
+def test_media_feature_is_that_of_the_tensor():
+    data = media.payload("x é y" * 300)[0]
+    image = media.decode(media.write_payload(data))
+    flat = np.frombuffer(data, np.uint8).reshape(-1, 64).astype(float)
+    level = np.where(flat < 128, 128 + flat, -flat)
+    level[:, 0] = flat[:, 0]
+    u = np.arange(8)
+    cos = np.cos((2 * u[:, None] + 1) * u * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)
+    zigzag = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    samples = []
+    for row in level:
+        block = np.zeros((8, 8))
+        for (y, x), v in zip(zigzag, row, strict=True):
+            block[y, x] = v
+        samples.append(np.clip(np.rint(cos @ block @ cos.T + 128), 0, 255))
+    flat = np.array(samples).astype(int).ravel()
+    assert media.feature(media.rgb(image)) == f"8x{8 * len(level)}x3:{3 * flat.sum()}:" + "/".join(str(3 * int((flat // 64 == i).sum())) for i in range(4))
 
 
 def test_media_columns(spark, docs, none):
@@ -294,15 +458,16 @@ def test_trie_links_lose_nothing(spark, hot, monkeypatch):
 
 
 def slow_repeats(rows):
-    seen, out = set(), {}
-    for i, text in sorted(rows):
+    """Of texts in order: what is removed of each."""
+    seen, out = set(), []
+    for text in rows:
         raw = (text or "").encode()
         cover = bytearray(len(raw))
         for s in range(len(raw) - 99):
             if raw[s : s + 100] in seen:
                 cover[s : s + 100] = b"\1" * 100
             seen.add(raw[s : s + 100])
-        out[i] = (len(raw), sum(cover), len(re.findall(b"\1+", bytes(cover))), hashlib.sha256(bytes(c for c, k in zip(raw, cover, strict=True) if not k)).hexdigest())
+        out.append((len(raw), sum(cover), len(re.findall(b"\1+", bytes(cover))), hashlib.sha256(bytes(c for c, k in zip(raw, cover, strict=True) if not k)).hexdigest()))
     return out
 
 
@@ -317,11 +482,27 @@ def test_repeats(spark, hot, monkeypatch, none):
         rows.append((i, text))
     monkeypatch.setattr(repeats, "HOT_ENTRIES", hot)
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(repeats, "HOT_SHARE", 2)
     repeats._powers.clear()
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(frame(spark, [(i, t, "a") for i, t in rows])).collect()}
-    assert got == slow_repeats(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(frame(spark, [(i, t, "a") for i, t in rows])).orderBy("doc_id").collect()}
+    assert list(got.values()) == slow_repeats([t for _, t in rows])
     assert repeats.without_repeats(none).count() == 0
-    assert repeats.without_repeats(frame(spark, messy())).count() == len(messy())
+
+
+def test_repeats_of_rows_without_or_with_repeated_ids(spark, docs):
+    order = docs.selectExpr("doc_id", "text").orderBy("doc_id", F.xxhash64("text"), "text").collect()  # nulls first
+    want = Counter((r.doc_id, *x) for r, x in zip(order, slow_repeats([r.text for r in order]), strict=True))
+    assert Counter(tuple(r) for r in repeats.without_repeats(docs).collect()) == want
+
+
+def test_suffix_ranks_are_the_order_of_suffixes():
+    rng = random.Random(10)
+    for depth in (8, 13, 16, 100):
+        text = bytes(rng.choice(b"ab") for _ in range(600)) + b"abab" * 60
+        ranks = repeats.suffix_ranks(np.frombuffer(text, np.uint8), depth).tolist()
+        keys = [text[i : i + depth].ljust(depth, b"\0") for i in range(len(text))]
+        number = {k: i for i, k in enumerate(sorted(set(keys)))}
+        assert ranks == [number[k] for k in keys]
 
 
 def test_licenses(spark, none):
@@ -369,6 +550,43 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 5, "b": 1, "c": 2}, {"a": 3, "d": 0}])
+def test_packing_holds_the_mixture_in_every_window(weights, monkeypatch):
+    """Places of all tokens against a plain deficit loop, and the shares of every window."""
+    monkeypatch.setattr(packing, "WINDOW_TOKENS", 1 << 13)
+    rng = random.Random(3)
+    lengths = [(s, [rng.randrange(1, 3000) for _ in range(n)]) for s, n in (("a", 90), ("b", 60), ("c", 25), (None, 3))]
+    queues = packing.queues_of([(s, sum(x)) for s, x in lengths], weights)
+    order, deficit, taken, turn = [], [0] * 4, [0] * 4, 0
+    for phase in (0, 1):
+        members = [i for i in range(4) if queues.phase[i] == phase]
+        deficit = [0] * 4
+        while any(taken[i] < queues.tokens[i] for i in members):
+            for i in members:
+                deficit[i] += int(queues.quantum[i])
+                give = min((deficit[i] >> packing.FRACTION) // packing.SLICE * packing.SLICE, int(queues.tokens[i]) - taken[i])
+                deficit[i] -= give << packing.FRACTION
+                order += [(i, t) for t in range(taken[i], taken[i] + give)]
+                taken[i] += give
+    want = {x: at for at, x in enumerate(order)}
+    for i, (_, x) in enumerate(lengths):
+        n = np.array(x)
+        ahead = np.cumsum(n) - n
+        doc, token = packing.slices(ahead, n)
+        at = queues.place(np.full(len(token), i), token, queues.round_of(np.full(len(token), i), token))
+        assert at.tolist() == [want[i, t] for t in token.tolist()]
+    window, full = packing.WINDOW_TOKENS, np.array([i for i, _ in order])
+    first_empty = min(max(at for (i, _), at in want.items() if i == q) for q in range(4) if queues.phase[q] == 0)
+    wanted = np.where(queues.phase == 0, queues.quantum / (1 << packing.FRACTION), 0)
+    for at in range(0, first_empty - window, 97):
+        assert (np.abs(np.bincount(full[at : at + window], minlength=4) - wanted) <= packing.SLICE * 6).all()
+
+
+def test_ids_of_any_size_are_packed():
+    for ids in ([0], [1, 255, 256], [70_000, 3], [2**32 - 1, 5]):
+        assert packing.unpack_ids(packing.pack_ids(np.array(ids, "<u4").tobytes())).tolist() == ids
+
+
 def test_wrapped_license_notices_are_whole(spark):
     mit = (
         "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
@@ -387,6 +605,35 @@ def test_wrapped_license_notices_are_whole(spark):
     assert got == {1: (1, "mit"), 2: (1, "gpl-3.0"), 3: (1, "bsd"), 4: (1, "isc"), 5: (1, "mit"), 6: (2, "gpl-3.0,mit"), 7: (0, ""), 8: (1, "gpl-3.0")}
 
 
+def test_formats_find_credentials_that_no_pattern_holds(spark):
+    """Recall of planted credentials of several formats, none of which a fixed pattern finds."""
+    rng = random.Random(21)
+    hexes, upper, both = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    uuid = lambda: "-".join(made(hexes, n) for n in (8, 4, 4, 4, 12))
+    words = [made("aeioulnrst", rng.randrange(2, 12)) for _ in range(800)]
+    prose = lambda: " ".join(rng.choice(words) + rng.choice(["", "", ".", ","]) for _ in range(60))
+    key = lambda: "gh_" + made(both, rng.randrange(30, 40))
+    code = lambda: made(upper, 5) + "-" + made(upper, 5) + "-" + made(upper, 5)
+    plain, rows, planted = [], [], {}
+    for i in range(400):
+        value = (uuid, key, code)[i % 3]()
+        if i < 250:
+            rows.append((i, f"{prose()} token: {value} {prose()}", "a"))
+        elif i < 340:
+            head = prose()
+            rows.append((i, f"{head} see {value} {prose()}", "a"))
+            planted[i] = f"format:{len(head) + 5}:{len(head) + 5 + len(value)}"
+        else:
+            plain.append(i)
+            rows.append((i, f"{prose()} 4929 1234 5678 9012 on 2024-01-05 at a_long_name_of_a_thing {prose()}", "a"))
+    got = {r.doc_id: r for r in secrets.scan(frame(spark, rows)).collect()}
+    assert np.mean([got[i].spans == s for i, s in planted.items()]) >= 0.9
+    assert all(got[i].spans == "" and got[i].best_score is None for i in plain) and all(got[i].best_score < 0 for i in planted if got[i].n_format)
+    formats = secrets.learn(frame(spark, rows))
+    assert len(formats) == 1 and len(formats[0].automaton.kept) > 10
+
+
 def test_format_candidates_are_runs_and_their_parts():
     rng = random.Random(3)
     made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
