@@ -31,7 +31,11 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "public-domain": ["This work has been dedicated to the public domain under CC0 1.0.", "This is free and unencumbered software released into the public domain."],
+    "public-domain": ["This work has been dedicated to the public domain under CC0 1.0.", "This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Released under the zlib License.", "SPDX-License-Identifier: Zlib"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "eupl": ["Licensed under the EUPL, Version 1.2 or later.", "Licensed under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2"],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"],
     "proprietary": ["All rights reserved.", "Copyright by the author, all rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
 #: Paragraphs with license words that grant nothing.
@@ -46,8 +50,6 @@ UNKNOWN = [
     "Conditions of use are described in the manual.", "Free of charge parking is available.", "Reserved seats are marked in red.",
     "This license expires at the end of the month.", "Which license should we choose for this work?", "The author reserved a table under a false name.",
 ]
-#: Every template has one of these words. Not a filter: parts of a template may have none.
-ANCHORS = r"(?i)licen[sc]e|rights reserved|permission|redistribut|public domain|spdx|creative commons|\bgnu\b"
 UNKNOWN_CLASS = "unknown"
 #: Least probability of a family, and least share of a template's word pairs that the paragraph has.
 LEAST_PROBABILITY, LEAST_TEMPLATE = 0.5, 0.7
@@ -71,14 +73,17 @@ def _examples() -> tuple[list[set[str]], list[int], list[str]]:
     """Variants of templates and counter-examples: words dropped, strange words before and behind."""
     rng = random.Random(SEED)
     families = [*sorted(TEMPLATES), UNKNOWN_CLASS]
-    strange = ["theon", "ingan", "ereth", "ouble", "annd", "stion", "heer", "ndat", "reou", "whth"]
     rows, classes = [], []
+
+    def strange() -> str:
+        return "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5)))
+
     for number, family in enumerate(families):
         for text in TEMPLATES.get(family, UNKNOWN):
             words = _tokens(text)
             for v in range(VARIANTS):
                 kept = [w for w in words if v == 0 or rng.random() > 0.08] or words
-                more = [rng.choice(strange) for _ in range(rng.randrange(0, 6) if v else 0)]
+                more = [strange() for _ in range(rng.randrange(0, 6) if v else 0)]
                 rows.append(_grams(kept + more if v % 2 else more + kept))
                 classes.append(number)
     every = [w for texts in (*TEMPLATES.values(), UNKNOWN) for t in texts for w in _tokens(t)]
@@ -142,6 +147,33 @@ def _least_words(text: str) -> int:
     return len(set(_tokens(text)))
 
 
+@cache
+def _telling_words() -> list[str]:
+    """Words of which every text has one that holds LEAST_TEMPLATE of the word pairs of any template.
+
+    Of each template so many words are taken that their pairs are more than a text may lack: words
+    taken before first, then the longest, which ordinary text has least.
+    """
+    taken: set[str] = set()
+    for text in sorted((t for ts in TEMPLATES.values() for t in ts), key=lambda t: (len(_pairs_of(t)), t)):
+        pairs, own = [p.split(" ") for p in _pairs_of(text)], set()
+        while sum(1 for p in pairs if own & set(p)) <= (1 - LEAST_TEMPLATE) * len(pairs):
+            rest = sorted({w for p in pairs if not own & set(p) for w in p}, key=lambda w: (w not in taken, -len(w), w))
+            own.add(rest[0])
+        taken |= own
+    return sorted(taken)
+
+
+def _may_have_template(text: Column) -> Column:
+    """Whether a text has a telling word, be it in another; true wherever _has_template can be."""
+    low = F.lower(text)
+    found = F.lit(False)
+    for word in _telling_words():
+        if not any(other != word and other in word for other in _telling_words()):
+            found = found | low.contains(word)
+    return found
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
@@ -209,7 +241,8 @@ def notices(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id) of all rows, and (rid, family, probability) of each confirmed paragraph."""
     spark = docs.sparkSession
     families, grams, weights, biases = train()
-    rows = docs.select("doc_id", F.when(_has_template_words(_words(F.col("text"))), F.col("text")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    words = F.when(_may_have_template(F.col("text")), _words(F.col("text")))
+    rows = docs.select("doc_id", F.when(_has_template_words(words), F.col("text")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     rows = common.stash(rows, "license-texts")
     paragraphs = _paragraphs(rows)
     # The model has one row per n-gram of the templates and counter-examples, a fixed number.
