@@ -22,7 +22,7 @@ END_ID = 2
 #: Tokens after which a file image is closed.
 IMAGE_TOKENS = 1 << 18
 MAGIC = b"DKTK"
-_HEAD = struct.Struct("<4sIQI")  # magic, documents, tokens, blocks
+_HEAD = struct.Struct("<4sIQIQQ")  # magic, documents, tokens, blocks, shard, place of the first token in the shard
 _EXCEPTION = 5  # bytes: position, high part
 
 
@@ -30,8 +30,8 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
-def encode_image(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """A file image: head, document lengths, block index, blocks.
+def encode_image(ids: np.ndarray, lengths: np.ndarray, doc_ids: list | None = None, shard: int = 0, first: int = 0) -> bytes:
+    """A file image: head, document lengths, document ids (a bit each for null ones), block index, blocks.
 
     A block of BLOCK ids subtracts its minimum, keeps PERCENTILE's width of low bits of all, and
     lists the ids that are wider as (position, high part). The index has each block's start.
@@ -66,19 +66,29 @@ def encode_image(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         where = (start + 7 + packed)[which] + _EXCEPTION * rank
         out[where] = position
         out[where[:, None] + np.arange(1, 5)] = high[which, position].astype("<u4").view(np.uint8).reshape(-1, 4)
-    head_bytes = _HEAD.pack(MAGIC, len(lengths), len(ids), n_blocks)
-    return b"".join([head_bytes, lengths.astype("<u4").tobytes(), start.astype("<u8").tobytes(), out.tobytes()])
+    names = [None] * len(lengths) if doc_ids is None else doc_ids
+    known = np.packbits(np.array([x is not None for x in names], dtype=np.uint8)).tobytes()
+    head_bytes = _HEAD.pack(MAGIC, len(lengths), len(ids), n_blocks, shard, first)
+    return b"".join([head_bytes, lengths.astype("<u4").tobytes(), np.array([x or 0 for x in names], dtype="<i8").tobytes(), known, start.astype("<u8").tobytes(), out.tobytes()])
 
 
 def _parts(image: bytes):
-    magic, n_docs, n_tokens, n_blocks = _HEAD.unpack_from(image)
-    if magic != MAGIC:
+    """(lengths, document ids, tokens, shard, first, block starts, blocks); ValueError if it is no whole image."""
+    if image[:4] != MAGIC or len(image) < _HEAD.size:
         raise ValueError("not a token file")
+    _, n_docs, n_tokens, n_blocks, shard, first = _HEAD.unpack_from(image)
     at = _HEAD.size
+    known_at, index_at = at + 12 * n_docs, at + 12 * n_docs + -(-n_docs // 8)
+    if len(image) < index_at + 8 * n_blocks or n_blocks != -(-n_tokens // BLOCK):
+        raise ValueError("a token file that is cut off")
     lengths = np.frombuffer(image, "<u4", n_docs, at)
-    start = np.frombuffer(image, "<u8", n_blocks, at + 4 * n_docs).astype(np.int64)
-    body = np.frombuffer(image, np.uint8, offset=at + 4 * n_docs + 8 * n_blocks)
-    return lengths, n_tokens, start, body
+    names = np.frombuffer(image, "<i8", n_docs, at + 4 * n_docs).tolist()
+    known = np.unpackbits(np.frombuffer(image, np.uint8, -(-n_docs // 8), known_at), count=n_docs).tolist()
+    start = np.frombuffer(image, "<u8", n_blocks, index_at).astype(np.int64)
+    body = np.frombuffer(image, np.uint8, offset=index_at + 8 * n_blocks)
+    if n_blocks and start[-1] + 7 > len(body):
+        raise ValueError("a token file that is cut off")
+    return lengths, [x if k else None for x, k in zip(names, known, strict=True)], n_tokens, shard, first, start, body
 
 
 def decode_blocks(body: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -105,14 +115,23 @@ def decode_blocks(body: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def decode_image(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(ids, document lengths) of a whole image."""
-    lengths, n_tokens, start, body = _parts(image)
-    ids = decode_blocks(body, start).ravel()[:n_tokens] if len(start) else np.zeros(0, np.uint32)
+    lengths, _, n_tokens, _, _, start, body = _parts(image)
+    try:
+        ids = decode_blocks(body, start).ravel()[:n_tokens] if len(start) else np.zeros(0, np.uint32)
+    except IndexError as e:
+        raise ValueError("a token file that is cut off") from e
     return ids.astype("<u4"), lengths.astype(np.int64)
 
 
+def documents_of(image: bytes) -> tuple[list, int, int]:
+    """(document ids, shard, place of the first token in the shard) of an image."""
+    _, names, _, shard, first, _, _ = _parts(image)
+    return names, shard, first
+
+
 def read_range(image: bytes, first: int, last: int) -> np.ndarray:
     """Ids first to last - 1 of an image; only their blocks are read, found by the index."""
-    _, n_tokens, start, body = _parts(image)
+    _, _, n_tokens, _, _, start, body = _parts(image)
     first, last = max(0, first), min(last, n_tokens)
     if first >= last:
         return np.zeros(0, np.uint32)
@@ -121,7 +140,7 @@ def read_range(image: bytes, first: int, last: int) -> np.ndarray:
     return ids[first - from_block * BLOCK : last - from_block * BLOCK]
 
 
-_FILES = "shard long, first long, n_tokens long, doc_ids array<long>, image binary"
+_FILES = "shard long, n_tokens long, image binary"
 
 
 def _write(path: str, end_id: int):
@@ -135,14 +154,11 @@ def _write(path: str, end_id: int):
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), dtype="<u4")
-            image = encode_image(ids, np.array([len(p) // 4 for p in parts], dtype=np.uint32))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([image], pa.binary())],
-                ["shard", "first", "n_tokens", "doc_ids", "image"],
-            )
+            image = encode_image(ids, np.array([len(p) // 4 for p in parts], dtype=np.uint32), doc_ids, shard, first)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], ["shard", "n_tokens", "image"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True):
                 parts.append((ids_of(text) if text else b"") + end)
                 doc_ids.append(doc_id)
                 held += len(parts[-1]) // 4
@@ -159,9 +175,9 @@ def _write(path: str, end_id: int):
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """The table of file images of all documents of docs, in ascending doc_id order (nulls first).
 
-    Rows are (shard, first, n_tokens, doc_ids, image): shards ascend with doc_id, images of a shard
-    by first, the tokens of the shard before it. Images lie in the shared folder, written by Spark,
-    so any store will do; every image can be read alone. Null and empty texts are one end_id.
+    Rows are (shard, n_tokens, image): shards ascend with doc_id. An image says which documents it
+    holds, of which shard, and which token of the shard is its first, so it can be read alone. Images
+    lie in the shared folder, written by Spark, so any store will do. Null and empty texts are one end_id.
     Repeated doc_ids are separate documents, by text.
     """
     spark = docs.sparkSession
@@ -173,8 +189,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, first, doc_ids, image in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "doc_ids", "image")), strict=True):
+        for cell in batch.column("image"):
+            image = cell.as_py()
             ids, lengths = decode_image(image)
+            doc_ids, shard, first = documents_of(image)
             ends = np.cumsum(lengths)
             starts = ends - lengths
             crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -187,13 +205,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the images alone.
 
-    A shard's first position is the sum of the shards before it; there are as many shards as
+    Images that are cut off or none raise ValueError. A shard's first position is the sum of the shards before it; there are as many shards as
     partitions, so that sum is over a bounded number of rows and is broadcast.
     """
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     offsets = totals.select("shard", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
-    found = files.select("shard", "first", "doc_ids", "image").mapInArrow(_read, "doc_id long, shard long, inside long, n_tokens long, ids_crc32 long")
+    found = files.select("image").mapInArrow(_read, "doc_id long, shard long, inside long, n_tokens long, ids_crc32 long")
     return found.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
