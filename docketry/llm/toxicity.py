@@ -18,9 +18,10 @@ from .tokens import Remembered
 
 #: Rows with this remainder of crc32(doc_id) are held out.
 FOLDS = 5
-#: Bounds of the samples that the classifier is fitted on: toxic rows, and texts without a label.
-MAX_POSITIVE = 6_000
-MAX_UNLABELLED = 14_000
+#: Bounds of the samples that the classifier is fitted on: toxic rows, and rows whose labels, if any, it does
+#: not see; and of the word slots that either may have, so that long texts are bounded too.
+MAX_POSITIVE, MAX_UNLABELLED = 6_000, 14_000
+MAX_POSITIVE_SLOTS, MAX_UNLABELLED_SLOTS = 4_000_000, 9_000_000
 HASH_BITS = 18
 #: Learning: steps that choose words, steps that weigh the chosen ones, how many standard errors of
 #: its slope at zero a word must beat to be chosen, and the ridge on chosen words.
@@ -49,8 +50,8 @@ def word_slots(text: str | None) -> list[int]:
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        slots = [word_slots(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(slots, pa.list_(pa.int32()))], ["positive", "slots"])
+        slots = [word_slots(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("place"), pa.array(slots, pa.list_(pa.int32()))], ["positive", "place", "slots"])
 
 
 class _Rows:
@@ -121,19 +122,20 @@ def fit(slots: np.ndarray, lengths: np.ndarray, n_pos: int, prior: float) -> tup
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows outside the held-out fold: (positive boolean, text) samples, and label counts.
+    """Rows outside the held-out fold: (positive boolean, place long, text) samples, and label counts.
 
-    The samples are the rows with the least hash of doc_id: MAX_POSITIVE toxic ones, and
-    MAX_UNLABELLED of all texts with their labels unseen.
+    The samples are the rows with the least hash of doc_id (their place): MAX_POSITIVE toxic ones as
+    confirmed examples, and MAX_UNLABELLED of all texts, as unlabelled. The class prior is that of
+    all labelled rows.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold)
-    open_rows = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).filter(fold)
-    by = [F.xxhash64("doc_id"), F.col("doc_id")]
-    toxic = open_rows.join(marks, "doc_id").filter("toxic = 1").select("doc_id").orderBy(*by).limit(MAX_POSITIVE)
+    open_rows = docs.select("doc_id", F.xxhash64("doc_id").alias("place")).filter(F.col("doc_id").isNotNull()).filter(fold)
+    by = [F.col("place"), F.col("doc_id")]
+    toxic = open_rows.join(marks, "doc_id").filter("toxic = 1").select("doc_id", "place").orderBy(*by).limit(MAX_POSITIVE)
     plain = open_rows.orderBy(*by).limit(MAX_UNLABELLED)
-    chosen = toxic.withColumn("positive", F.lit(True)).unionByName(plain.withColumn("positive", F.lit(False)))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("positive", "text")
+    chosen = toxic.withColumn("positive", F.lit(True)).unionByName(plain.withColumn("positive", F.lit(False))).distinct()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("positive", "place", "text")
     counts = marks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0)).alias("toxic"))
     return rows, counts
 
@@ -182,6 +184,14 @@ def _clean(by_slot: dict[int, float], bias: float):
     return run
 
 
+def _within(rows: DataFrame, positive: bool, most: int) -> DataFrame:
+    """Rows of one sample by place, as many as have most slots together."""
+    places = rows.filter(F.col("positive") == positive).select("place", F.size("slots").alias("n")).orderBy("place").collect()
+    fits = np.cumsum([r.n for r in places]) <= most
+    last = places[int(fits.sum()) - 1].place if fits.any() else -(2**63)
+    return rows.filter((F.col("positive") == positive) & (F.col("place") <= last))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     """Non-zero weights by slot and the bias. Without a toxic row: no weights, prior of one half of
     a percent. Only the bounded samples' word slots come to the driver."""
@@ -190,7 +200,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     n, toxic = counts.first()
     if not toxic:
         return {}, float(-np.log(199.0))
-    got = rows.mapInArrow(_slots, "positive boolean, slots array<int>").toArrow().combine_chunks()
+    rows = common.stash(rows.mapInArrow(_slots, "positive boolean, place long, slots array<int>"), "training-slots")
+    got = _within(rows, True, MAX_POSITIVE_SLOTS).unionByName(_within(rows, False, MAX_UNLABELLED_SLOTS)).select("positive", "slots").toArrow().combine_chunks()
+    common.release(rows)
     positive = got["positive"].to_numpy()
     n_pos = int(positive.sum())
     if not n_pos or n_pos == len(positive):
@@ -198,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     lists = got["slots"].chunk(0)
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
     # An order that no partitioning changes: positive rows first, then by length and slots.
-    order = sorted(range(len(positive)), key=lambda i: (not positive[i], offsets[i + 1] - offsets[i], values[offsets[i] : offsets[i + 1]].tobytes()))
+    order = sorted(range(len(positive)), key=lambda i: (not positive[i], offsets[i + 1] - offsets[i], zlib.crc32(values[offsets[i] : offsets[i + 1]])))
     lengths = np.diff(offsets)[order]
     slots = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in order])
     del got, lists, values
