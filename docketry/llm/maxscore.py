@@ -17,7 +17,7 @@ EVERY = 50
 #: Rows of a shard, and queries of a block, on average; both bound a task's memory.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
 #: Rows of a posting block, which has bounds of its own.
-POSTING_BLOCK = 1024
+POSTING_BLOCK = 4096
 #: Postings of each end of a dimension that are kept by impact, and dimensions that a query begins with.
 IMPACTS, SEED_TERMS = 32, 4
 _LEAST, _MOST = -(2**63), 2**63 - 1
