@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import random
 import re
-from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -134,19 +133,6 @@ def _pairs_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _least_words(text: str) -> int:
-    """The least distinct words that LEAST_TEMPLATE of a template's distinct word pairs can have.
-
-    A pair takes two neighbouring places, so words that stand at p places are in less than p pairs.
-    """
-    need, places = len(_pairs_of(text)) * LEAST_TEMPLATE, 0
-    for k, (_, n) in enumerate(Counter(_tokens(text)).most_common(), 1):
-        places += n
-        if places - 1 >= need:
-            return k
-    return len(set(_tokens(text)))
-
-
 @cache
 def _telling_words() -> list[str]:
     """Words of which every text has one that holds LEAST_TEMPLATE of the word pairs of any template.
@@ -164,9 +150,8 @@ def _telling_words() -> list[str]:
     return sorted(taken)
 
 
-def _may_have_template(text: Column) -> Column:
-    """Whether a text has a telling word, be it in another; true wherever _has_template can be."""
-    low = F.lower(text)
+def _may_have_template(low: Column) -> Column:
+    """Whether a lower-case text has a telling word, be it in another; true wherever a template can be."""
     found = F.lit(False)
     for word in _telling_words():
         if not any(other != word and other in word for other in _telling_words()):
@@ -182,50 +167,40 @@ def _word_pairs(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
-
-
-def _has_template_words(words: Column) -> Column:
-    """Whether words can hold enough pairs of a template; true wherever _has_template is."""
-    texts = [t for ts in TEMPLATES.values() for t in ts]
-    known = F.array_intersect(words, _strings(sorted({w for t in texts for w in _tokens(t)})))
-    rules = F.array(*[F.struct(_strings(sorted(set(_tokens(t)))).alias("words"), F.lit(_least_words(t)).alias("least")) for t in texts])
-    enough = F.transform(F.array(known), lambda k: F.exists(rules, lambda r: F.size(F.array_intersect(r["words"], k)) >= r["least"]))
-    return (F.size(words) > 1) & F.element_at(enough, 1)
-
-
-def _has_template(pairs: Column) -> Column:
-    """Whether LEAST_TEMPLATE of the word pairs of a template, of whatever family, are in pairs."""
-    rules = F.array(*[_strings(_pairs_of(t)) for ts in TEMPLATES.values() for t in ts])
-    return F.exists(rules, lambda t: F.size(F.array_intersect(t, pairs)) >= F.size(t) * LEAST_TEMPLATE)
-
-
-def _starts(tokens: Column) -> Column:
-    """For each piece of a block, the pieces from there on that a paragraph may take: as many as have MOST_WORDS."""
-    def reach(at):
-        sizes = F.transform(F.slice(tokens, at, MOST_WORDS), F.size)
-        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
-        step = lambda acc, x: F.struct((acc["words"] + x).alias("words"), (acc["n"] + (acc["words"] + x <= MOST_WORDS).cast("int")).alias("n"))
-        return F.greatest(F.lit(1), F.aggregate(sizes, none, step, lambda acc: acc["n"]))
-
-    found = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda at: F.struct(at.alias("at"), F.slice(tokens, at, reach(at)).alias("pieces")))
-    return F.filter(F.filter(found, lambda x: _has_template_words(F.flatten(x["pieces"]))), lambda x: _has_template(_word_pairs(F.flatten(x["pieces"]))))
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(rid, bid, pieces): the pieces, as words, of each block of text between blank lines that may hold a template."""
+    blocks = rows.filter(F.col("text").isNotNull()).select("rid", F.explode(F.split("text", r"\n\s*\n")).alias("block"))
+    blocks = blocks.select("rid", "block", F.lower("block").alias("low"))
+    pieces = F.filter(F.transform(F.split("block", r"\n|" + _SENTENCE), _words), lambda w: F.size(w) > 0)
+    told = blocks.select("rid", F.when(_may_have_template(F.col("low")), pieces).alias("pieces")).filter("size(pieces) > 0")
+    return common.stash(told.withColumn("bid", F.monotonically_increasing_id()), "license-blocks")
 
 
-def _paragraphs(rows: DataFrame) -> DataFrame:
-    """(rid, bid, pid, at, n, words, pairs) of all runs of pieces of a block that hold a template.
+def _runs(blocks: DataFrame, templates: DataFrame) -> DataFrame:
+    """(rid, bid, family, share, at, n, start, words): runs of pieces that have LEAST_TEMPLATE of a template's word pairs.
 
-    Blocks end at blank lines, pieces at line ends and sentence ends. No text is put aside that a
-    template could confirm, and what none can confirm is no notice whatever its score.
+    Word pairs of blocks meet the templates' in a join, so what is looked at further is what has
+    pairs of a template. Runs begin and end with such a pair: a longer run has no greater share.
     """
-    blocks = rows.filter(F.col("text").isNotNull()).select("rid", F.explode(F.split("text", r"\n\s*\n")).alias("block"))
-    pieces = F.filter(F.transform(F.split("block", r"\n|" + _SENTENCE), _words), lambda w: F.size(w) > 0)
-    blocks = blocks.filter(_has_template_words(_words(F.col("block")))).select("rid", F.monotonically_increasing_id().alias("bid"), pieces.alias("tokens"))
-    starts = blocks.select("rid", "bid", F.explode(_starts(F.col("tokens"))).alias("s")).select("rid", "bid", "s.at", "s.pieces")
-    runs = starts.select("rid", "bid", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size("pieces")), lambda n: F.struct(n.alias("n"), F.flatten(F.slice("pieces", 1, n)).alias("words")))).alias("r"))
-    found = runs.select("rid", "bid", "at", "r.n", "r.words", _word_pairs(F.col("r.words")).alias("pairs")).filter(_has_template(F.col("pairs")))
-    return common.stash(found.withColumn("pid", F.monotonically_increasing_id()), "license-paragraphs")
+    words = F.flatten(F.transform("pieces", lambda w, p: F.transform(w, lambda x, i: F.struct(x.alias("word"), p.alias("piece"), i.alias("i")))))
+    # start and end are the places in the block at which a word's piece begins and ends
+    words = F.transform(words, lambda x, g: F.struct(x["word"].alias("word"), x["piece"].alias("piece"), (g - x["i"]).alias("start"), (g - x["i"] + F.size(F.get(F.col("pieces"), x["piece"]))).alias("end")))
+    two = F.zip_with(
+        F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")),
+        lambda a, b: F.struct(F.concat(a["word"], F.lit(" "), b["word"]).alias("pair"), a["piece"].alias("at"), a["start"].alias("start"), b["piece"].alias("last"), b["end"].alias("end")),
+    )
+    pairs = blocks.select("rid", "bid", words.alias("words")).select("rid", "bid", F.inline(two))
+    known = templates.select("tid", "family", F.size("pairs").alias("of"), F.explode("pairs").alias("pair"))
+    met = pairs.join(F.broadcast(known), "pair").groupBy("rid", "bid", "tid", "family", "of").agg(F.collect_list(F.struct("pair", "at", "start", "last", "end")).alias("m"))
+    met = met.filter(F.size(F.array_distinct("m.pair")) >= F.col("of") * LEAST_TEMPLATE)
+    starts = met.withColumn("s", F.explode(F.array_distinct(F.transform("m", lambda x: F.struct(x["at"].alias("at"), x["start"].alias("start"))))))
+    ends = F.array_distinct(F.transform("m", lambda x: F.struct(x["last"].alias("last"), x["end"].alias("end"))))
+    near = F.filter(ends, lambda x: (x["last"] == F.col("s.at")) | ((x["last"] > F.col("s.at")) & (x["end"] - F.col("s.start") <= MOST_WORDS)))
+    both = starts.withColumn("e", F.explode(near))
+    inside = F.filter("m", lambda x: (x["at"] >= F.col("s.at")) & (x["last"] <= F.col("e.last")))
+    share = F.size(F.array_distinct(F.transform(inside, lambda x: x["pair"]))) / F.col("of")
+    found = both.select("rid", "bid", "family", share.alias("share"), F.col("s.at").alias("at"), (F.col("e.last") - F.col("s.at") + 1).alias("n"), F.col("s.start").alias("start"), (F.col("e.end") - F.col("s.start")).alias("words"))
+    return common.stash(found.filter(F.col("share") >= LEAST_TEMPLATE), "license-runs")
 
 
 def _apart(found: Column) -> Column:
@@ -241,26 +216,29 @@ def notices(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id) of all rows, and (rid, family, probability) of each confirmed paragraph."""
     spark = docs.sparkSession
     families, grams, weights, biases = train()
-    words = F.when(_may_have_template(F.col("text")), _words(F.col("text")))
-    rows = docs.select("doc_id", F.when(_has_template_words(words), F.col("text")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    low = docs.select("doc_id", "text", F.lower("text").alias("low"))
+    rows = low.select("doc_id", F.when(_may_have_template(F.col("low")), F.col("text")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     rows = common.stash(rows, "license-texts")
-    paragraphs = _paragraphs(rows)
+    listed = [(f, _pairs_of(t)) for f, ts in TEMPLATES.items() for t in ts if _pairs_of(t)]
+    templates = _small_table(spark, [{"tid": i, "family": f, "pairs": p} for i, (f, p) in enumerate(listed)], "tid int, family string, pairs array<string>")
+    blocks = _blocks(rows)
+    runs = _runs(blocks, templates)
+    spots = ["bid", "start", "words"]
+    paragraphs = runs.select(*spots).distinct().join(blocks.select("bid", "pieces"), "bid").select(*spots, F.slice(F.flatten("pieces"), F.col("start") + 1, F.col("words")).alias("w"))
     # The model has one row per n-gram of the templates and counter-examples, a fixed number.
-    model = _small_table(spark, [{"gram": g, "w": [round(float(v), 6) for v in weights[i]]} for i, g in enumerate(grams)], "gram string, w array<double>")
-    found = paragraphs.select("pid", F.explode(F.array_distinct(F.concat("words", "pairs"))).alias("gram")).join(F.broadcast(model), "gram")
+    model = _small_table(spark, [{"gram": g, "v": [round(float(v), 6) for v in weights[i]]} for i, g in enumerate(grams)], "gram string, v array<double>")
+    found = paragraphs.select(*spots, F.explode(F.array_distinct(F.concat("w", _word_pairs(F.col("w"))))).alias("gram")).join(F.broadcast(model), "gram")
     n = len(families)
-    logits = found.groupBy("pid").agg(*[F.sum(F.col("w")[i]).alias(f"l{i}") for i in range(n)])
+    logits = found.groupBy(*spots).agg(*[F.sum(F.col("v")[i]).alias(f"l{i}") for i in range(n)])
     total = F.array(*[F.col(f"l{i}") + float(biases[i]) for i in range(n)])
     best = F.array_max("logits")
     softmax = 1 / F.aggregate("logits", F.lit(0.0), lambda acc, v: acc + F.exp(v - best))
-    scored = logits.select("pid", total.alias("logits")).select(
-        "pid", F.element_at(F.array(*map(F.lit, families)), F.array_position("logits", best).cast("int")).alias("family"), softmax.alias("probability")
+    scored = logits.select(*spots, total.alias("logits")).select(
+        *spots, F.element_at(F.array(*map(F.lit, families)), F.array_position("logits", best).cast("int")).alias("family"), softmax.alias("probability")
     ).filter((F.col("family") != UNKNOWN_CLASS) & (F.col("probability") >= LEAST_PROBABILITY))
-    templates = _small_table(spark, [{"family": f, "templates": [_pairs_of(t) for t in ts if len(_pairs_of(t))]} for f, ts in TEMPLATES.items()], "family string, templates array<array<string>>")
-    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
-    confirmed = scored.join(F.broadcast(templates), "family").join(paragraphs.drop("words"), "pid").withColumn("share", share).filter(F.col("share") >= LEAST_TEMPLATE)
+    confirmed = runs.join(scored, [*spots, "family"])
     order = F.struct((-F.col("share")).alias("lacks"), "n", (-F.round("probability", 6)).alias("doubt"), "at", "family", "probability")
-    taken = confirmed.groupBy("rid", "bid").agg(F.collect_list(order).alias("found")).select("rid", F.explode(_apart(F.col("found"))).alias("x"))
+    taken = confirmed.groupBy("rid", "bid").agg(F.collect_set(order).alias("found")).select("rid", F.explode(_apart(F.col("found"))).alias("x"))
     return rows.select("rid", "doc_id"), taken.select("rid", "x.family", "x.probability")
 
 
