@@ -29,16 +29,17 @@ class Remembered(dict):
         self.older: dict = {}
         self.most = most or CACHE_PIECES
 
-    def keep(self, key, value):
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > LONG_PIECE:
+                return found
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[key] = value
-        return value
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        return self.keep(key, self.make(key) if found is None else found)
+        self[key] = found
+        return found
 
 
 class Pieces(Remembered):
@@ -59,16 +60,16 @@ class Pieces(Remembered):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.octets = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def letters(self, unit: str) -> bytes:
-        shown = unit if unit.isascii() else unit.encode().decode("latin-1")
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown.translate(_BYTES))])
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.make(piece) if len(piece) > LONG_PIECE else super().__missing__(piece)
+        """Ids of a unit of letters, which may have a space before it."""
+        shown = unit if unit.isascii() and unit.isalpha() else unit.encode().decode("latin-1").translate(_BYTES)
+        octets = self.octets
+        return b"".join([octets[t.id] for t in self.model.tokenize(shown)])
 
     def ids(self, text: str) -> bytes:
         return self.whole(text)
@@ -86,12 +87,13 @@ class WordPieces(Pieces):
     odd = "\x1c\x1d\x1e\x1f"
 
     def make(self, word: str) -> bytes:
-        if not word.isascii() and (not unicodedata.is_normalized("NFC", word) or "\u0130" in word):
+        if word.isascii():
+            if word.isalpha():
+                return self.letters(word) if word.islower() else self[word.lower()]
+        elif not unicodedata.is_normalized("NFC", word) or "\u0130" in word:
             return self.whole(word)
-        if word.isalpha():
+        elif word.isalpha():
             low = word.lower()
-            if low != word and word.isascii():
-                return self[low]
             # Beyond Latin, the library's lower case may differ from Python's.
             return self.letters(low) if max(low) < "\u0250" else self.whole(word)
         base = word.rstrip(self.MARKS)
@@ -120,9 +122,6 @@ class _Bare(Remembered):
         super().__init__()
         self.spaced = spaced
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.make(piece) if len(piece) > LONG_PIECE else super().__missing__(piece)
-
     def make(self, piece: str) -> bytes:
         if _edged(piece):
             raise _Odd
