@@ -167,40 +167,40 @@ def _word_pairs(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(rid, bid, pieces): the pieces, as words, of each block of text between blank lines that may hold a template."""
+def _runs(rows: DataFrame, templates: list[tuple[str, list[str]]]) -> DataFrame:
+    """(rid, bid, family, share, at, n, start, w): runs of pieces, as words w, that have LEAST_TEMPLATE of a template's word pairs.
+
+    A block of text lies between blank lines, its pieces between line ends and sentence ends. The word
+    pairs of a block that any template has are kept with the pieces they are in; what is looked at
+    further is what has enough pairs of one template. Runs begin and end with such a pair: a longer
+    run has no greater share. All of it is within the row of a block; no text is sent.
+    """
     blocks = rows.filter(F.col("text").isNotNull()).select("rid", F.explode(F.split("text", r"\n\s*\n")).alias("block"))
     blocks = blocks.select("rid", "block", F.lower("block").alias("low"))
     pieces = F.filter(F.transform(F.split("block", r"\n|" + _SENTENCE), _words), lambda w: F.size(w) > 0)
     told = blocks.select("rid", F.when(_may_have_template(F.col("low")), pieces).alias("pieces")).filter("size(pieces) > 0")
-    return common.stash(told.withColumn("bid", F.monotonically_increasing_id()), "license-blocks")
-
-
-def _runs(blocks: DataFrame, templates: DataFrame) -> DataFrame:
-    """(rid, bid, family, share, at, n, start, words): runs of pieces that have LEAST_TEMPLATE of a template's word pairs.
-
-    Word pairs of blocks meet the templates' in a join, so what is looked at further is what has
-    pairs of a template. Runs begin and end with such a pair: a longer run has no greater share.
-    """
-    words = F.flatten(F.transform("pieces", lambda w, p: F.transform(w, lambda x, i: F.struct(x.alias("word"), p.alias("piece"), i.alias("i")))))
+    placed = F.flatten(F.transform("pieces", lambda w, p: F.transform(w, lambda x, i: F.struct(x.alias("word"), p.alias("piece"), i.alias("i")))))
     # start and end are the places in the block at which a word's piece begins and ends
-    words = F.transform(words, lambda x, g: F.struct(x["word"].alias("word"), x["piece"].alias("piece"), (g - x["i"]).alias("start"), (g - x["i"] + F.size(F.get(F.col("pieces"), x["piece"]))).alias("end")))
+    placed = F.transform(placed, lambda x, g: F.struct(x["word"].alias("word"), x["piece"].alias("piece"), (g - x["i"]).alias("start"), (g - x["i"] + F.size(F.get(F.col("pieces"), x["piece"]))).alias("end")))
     two = F.zip_with(
-        F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")),
+        F.slice("placed", 1, F.greatest(F.size("placed") - 1, F.lit(0))), F.slice("placed", 2, F.size("placed")),
         lambda a, b: F.struct(F.concat(a["word"], F.lit(" "), b["word"]).alias("pair"), a["piece"].alias("at"), a["start"].alias("start"), b["piece"].alias("last"), b["end"].alias("end")),
     )
-    pairs = blocks.select("rid", "bid", words.alias("words")).select("rid", "bid", F.inline(two))
-    known = templates.select("tid", "family", F.size("pairs").alias("of"), F.explode("pairs").alias("pair"))
-    met = pairs.join(F.broadcast(known), "pair").groupBy("rid", "bid", "tid", "family", "of").agg(F.collect_list(F.struct("pair", "at", "start", "last", "end")).alias("m"))
+    every = sorted({p for _, pairs in templates for p in pairs})
+    met = told.withColumn("placed", placed).select("rid", F.col("placed.word").alias("words"), F.filter(two, lambda x: x["pair"].isin(*every)).alias("met")).filter("size(met) > 0")
+    rules = F.from_json(F.lit(json.dumps([{"family": f, "pairs": p} for f, p in templates])), "array<struct<family:string,pairs:array<string>>>")
+    met = met.withColumn("bid", F.monotonically_increasing_id()).withColumn("t", F.explode(rules))
+    met = met.withColumn("m", F.filter("met", lambda x: F.array_contains(F.col("t.pairs"), x["pair"]))).withColumn("of", F.size("t.pairs"))
     met = met.filter(F.size(F.array_distinct("m.pair")) >= F.col("of") * LEAST_TEMPLATE)
     starts = met.withColumn("s", F.explode(F.array_distinct(F.transform("m", lambda x: F.struct(x["at"].alias("at"), x["start"].alias("start"))))))
     ends = F.array_distinct(F.transform("m", lambda x: F.struct(x["last"].alias("last"), x["end"].alias("end"))))
     near = F.filter(ends, lambda x: (x["last"] == F.col("s.at")) | ((x["last"] > F.col("s.at")) & (x["end"] - F.col("s.start") <= MOST_WORDS)))
     both = starts.withColumn("e", F.explode(near))
     inside = F.filter("m", lambda x: (x["at"] >= F.col("s.at")) & (x["last"] <= F.col("e.last")))
-    share = F.size(F.array_distinct(F.transform(inside, lambda x: x["pair"]))) / F.col("of")
-    found = both.select("rid", "bid", "family", share.alias("share"), F.col("s.at").alias("at"), (F.col("e.last") - F.col("s.at") + 1).alias("n"), F.col("s.start").alias("start"), (F.col("e.end") - F.col("s.start")).alias("words"))
-    return common.stash(found.filter(F.col("share") >= LEAST_TEMPLATE), "license-runs")
+    both = both.withColumn("share", F.size(F.array_distinct(F.transform(inside, lambda x: x["pair"]))) / F.col("of")).filter(F.col("share") >= LEAST_TEMPLATE)
+    run = F.slice("words", F.col("s.start") + 1, F.col("e.end") - F.col("s.start"))
+    found = both.select("rid", "bid", F.col("t.family").alias("family"), "share", F.col("s.at").alias("at"), (F.col("e.last") - F.col("s.at") + 1).alias("n"), F.col("s.start").alias("start"), run.alias("w"))
+    return common.stash(found, "license-runs")
 
 
 def _apart(found: Column) -> Column:
@@ -219,12 +219,9 @@ def notices(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     low = docs.select("doc_id", "text", F.lower("text").alias("low"))
     rows = low.select("doc_id", F.when(_may_have_template(F.col("low")), F.col("text")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     rows = common.stash(rows, "license-texts")
-    listed = [(f, _pairs_of(t)) for f, ts in TEMPLATES.items() for t in ts if _pairs_of(t)]
-    templates = _small_table(spark, [{"tid": i, "family": f, "pairs": p} for i, (f, p) in enumerate(listed)], "tid int, family string, pairs array<string>")
-    blocks = _blocks(rows)
-    runs = _runs(blocks, templates)
-    spots = ["bid", "start", "words"]
-    paragraphs = runs.select(*spots).distinct().join(blocks.select("bid", "pieces"), "bid").select(*spots, F.slice(F.flatten("pieces"), F.col("start") + 1, F.col("words")).alias("w"))
+    runs = _runs(rows, [(f, _pairs_of(t)) for f, ts in TEMPLATES.items() for t in ts if _pairs_of(t)])
+    spots = ["bid", "start", "n"]
+    paragraphs = runs.groupBy(*spots).agg(F.first("w").alias("w"))
     # The model has one row per n-gram of the templates and counter-examples, a fixed number.
     model = _small_table(spark, [{"gram": g, "v": [round(float(v), 6) for v in weights[i]]} for i, g in enumerate(grams)], "gram string, v array<double>")
     found = paragraphs.select(*spots, F.explode(F.array_distinct(F.concat("w", _word_pairs(F.col("w"))))).alias("gram")).join(F.broadcast(model), "gram")
