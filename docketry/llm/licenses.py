@@ -179,9 +179,9 @@ def _runs(rows: DataFrame, templates: list[tuple[str, list[str]]]) -> DataFrame:
     blocks = blocks.select("rid", "block", F.lower("block").alias("low"))
     pieces = F.filter(F.transform(F.split("block", r"\n|" + _SENTENCE), _words), lambda w: F.size(w) > 0)
     told = blocks.select("rid", F.when(_may_have_template(F.col("low")), pieces).alias("pieces")).filter("size(pieces) > 0")
-    placed = F.flatten(F.transform("pieces", lambda w, p: F.transform(w, lambda x, i: F.struct(x.alias("word"), p.alias("piece"), i.alias("i")))))
+    placed = F.flatten(F.transform("pieces", lambda w, p: F.transform(w, lambda x, i: F.struct(x.alias("word"), p.alias("piece"), i.alias("i"), F.size(w).alias("n")))))
     # start and end are the places in the block at which a word's piece begins and ends
-    placed = F.transform(placed, lambda x, g: F.struct(x["word"].alias("word"), x["piece"].alias("piece"), (g - x["i"]).alias("start"), (g - x["i"] + F.size(F.get(F.col("pieces"), x["piece"]))).alias("end")))
+    placed = F.transform(placed, lambda x, g: F.struct(x["word"].alias("word"), x["piece"].alias("piece"), (g - x["i"]).alias("start"), (g - x["i"] + x["n"]).alias("end")))
     two = F.zip_with(
         F.slice("placed", 1, F.greatest(F.size("placed") - 1, F.lit(0))), F.slice("placed", 2, F.size("placed")),
         lambda a, b: F.struct(F.concat(a["word"], F.lit(" "), b["word"]).alias("pair"), a["piece"].alias("at"), a["start"].alias("start"), b["piece"].alias("last"), b["end"].alias("end")),
