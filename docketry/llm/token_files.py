@@ -19,6 +19,8 @@ BLOCK = 128
 #: The width of a block holds this share of its ids; the others are exceptions.
 PERCENTILE = 0.9
 END_ID = 2
+#: Words of a generation of a worker's cache; it keeps two, about 110 MB each.
+CACHE_WORDS = 800_000
 #: Tokens after which a file image is closed.
 IMAGE_TOKENS = 1 << 18
 MAGIC = b"DKTK"
@@ -145,7 +147,7 @@ _FILES = "shard long, n_tokens long, image binary"
 
 def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).ids
+        ids_of = encoder(path, CACHE_WORDS).ids
         end = np.array([end_id], dtype="<u4").tobytes()
         shard, first = TaskContext.get().partitionId(), 0
         doc_ids: list = []

@@ -9,8 +9,8 @@ import numpy as np
 
 from . import common
 
-#: Pieces of a generation of the cache; it keeps two, about 80 MB each. What is used goes to the younger.
-CACHE_PIECES = 500_000
+#: Pieces of a generation of the cache; it keeps two, about 60 MB each. What is used goes to the younger.
+CACHE_PIECES = 400_000
 #: Longer pieces are encoded and not remembered.
 LONG_PIECE = 40
 
@@ -53,10 +53,10 @@ class Pieces(Remembered):
     #: Marks that the splitting rules keep apart from letters; no apostrophe, which may join them.
     MARKS = ".,!?;:|#$%&*"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int | None = None) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(most)
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -137,8 +137,8 @@ class BytePieces(Pieces):
     Keys are the words behind a space, without it.
     """
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, most: int | None = None) -> None:
+        super().__init__(path, most)
         self.bare = _Bare(self)
         self.line_end = self.whole("\n")
 
@@ -179,10 +179,13 @@ def kind(path: str) -> type[Pieces]:
     return Pieces
 
 
-def encoder(path: str) -> Pieces:
-    """The cached encoder of a vocabulary file; lives until the worker serves another operator."""
+def encoder(path: str, most: int | None = None) -> Pieces:
+    """The cached encoder of a vocabulary file; lives until the worker serves another operator.
+
+    most: pieces of a generation of its cache.
+    """
     common.only("tokens", _made.clear)
     if path not in _made:
         _made.clear()
-        _made[path] = kind(path)(path)
+        _made[path] = kind(path)(path, most)
     return _made[path]
