@@ -1,35 +1,25 @@
-"""Cutting lines into chunks by a token budget."""
+"""Cutting lines into chunks by a token budget, without citations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TARGET_TOKENS, OVERLAP_LINES, CHARS_PER_TOKEN = 800, 5, 4
+from docketry.operators import chunks
 
 
-def generic_chunks(docs: DataFrame, target: int = TARGET_TOKENS) -> DataFrame:
-    """doc_id, chunk_idx, line_start, line_end, core_text.
+def cut_lines(docs: DataFrame, family: str = "generic", opens: str = chunks.PARAGRAPH, target: int = chunks.TARGET_TOKENS, most: int = chunks.MOST_TOKENS, overlap: int = chunks.OVERLAP_TOKENS) -> DataFrame:
+    """doc_id, chunk_idx, line_start, line_end, core_text of docs (doc_id, text) by the budget of a family.
 
-    A chunk is closed when its joined lines reach the target; the next one begins with its last
-    OVERLAP_LINES lines if it had more. What is left at the end is a chunk. The fold keeps line
-    numbers and lengths only and the text is cut afterwards, so it is linear in the lines.
+    Only the lengths of lines and whether they are blank or open a part go to Python.
     """
-    split = docs.select("doc_id", F.split("text", "\n").alias("lines"))
-    split = split.withColumn("lengths", F.transform("lines", F.length))
-    fold = F.expr(f"""
-        aggregate(sequence(0, size(lines) - 1), struct(CAST(array() AS array<struct<a:int,b:int>>) AS done, 0 AS start, -1 AS size, 0 AS fresh),
-          (acc, i) -> CASE
-            WHEN (acc.size + 1 + lengths[i]) div {CHARS_PER_TOKEN} >= {target} THEN
-              struct(array_append(acc.done, struct(acc.start AS a, i AS b)) AS done,
-                     CASE WHEN i - acc.start + 1 > {OVERLAP_LINES} THEN i - {OVERLAP_LINES - 1} ELSE i + 1 END AS start,
-                     CASE WHEN i - acc.start + 1 > {OVERLAP_LINES} THEN
-                       aggregate(slice(lengths, i - {OVERLAP_LINES - 2}, {OVERLAP_LINES}), -1, (n, x) -> n + 1 + x) ELSE -1 END AS size, i + 1 AS fresh)
-            ELSE struct(acc.done AS done, acc.start AS start, acc.size + 1 + lengths[i] AS size, acc.fresh AS fresh) END,
-          acc -> CASE WHEN acc.start < size(lines) THEN array_append(acc.done, struct(acc.start AS a, size(lines) - 1 AS b)) ELSE acc.done END)
-    """)
-    cut = split.select("doc_id", "lines", F.posexplode(fold).alias("chunk_idx", "c"))
-    return cut.select(
-        "doc_id", "chunk_idx", (F.col("c.a") + 1).alias("line_start"), (F.col("c.b") + 1).alias("line_end"),
-        F.expr("concat_ws('\n', slice(lines, c.a + 1, c.b - c.a + 1))").alias("core_text"),
-    )
+    split = docs.filter("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    kinds = F.transform("lines", lambda x: F.when(F.trim(x) == "", chunks.BLANK).when(x.rlike(opens), chunks.OPENS).otherwise(0))
+    found = split.select("doc_id", "lines", F.explode(chunks.cuts(target, most, overlap)(F.lit(family), F.transform("lines", F.length), kinds)).alias("c"))
+    number: Column = F.row_number().over(Window.partitionBy("doc_id").orderBy("c.a", "c.b")) - 1
+    return found.select("doc_id", number.alias("chunk_idx"), (F.col("c.a") + 1).alias("line_start"), F.col("c.b").alias("line_end"), F.array_join(F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), "\n").alias("core_text"))
+
+
+def generic_chunks(docs: DataFrame, target: int = chunks.TARGET_TOKENS) -> DataFrame:
+    """A chunk is closed when its joined lines reach the target; the next one begins with its last lines, if it had more."""
+    return cut_lines(docs, target=target)

@@ -1,4 +1,4 @@
-"""Citation reconstruction from page geometry, and its validation."""
+"""Measures of citations on the elements of the test tables; cite.py has the handlers."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
+from docketry.operators import cite
 
 TOP, BOTTOM, LINES = 655.0, 87.5, 25
 LEAST_ELEMENTS = 8
@@ -36,14 +37,9 @@ def content_area(boxes: DataFrame, by: str) -> DataFrame:
     return area
 
 
-def column_of(boxes: DataFrame, width: float = 612.0) -> DataFrame:
-    """full_width, left or right by thresholds of the page width; the centre decides ties."""
-    w, middle = F.col("r") - F.col("l"), F.lit(width / 2)
-    side = (
-        F.when(w > 0.65 * width, "full_width").when(F.col("r") <= middle, "left").when(F.col("l") >= middle, "right")
-        .when((F.col("l") + F.col("r")) / 2 < middle, "left").otherwise("right")
-    )
-    return boxes.withColumn("side", side)
+def column_of(boxes: DataFrame, width: float = cite.PAGE_WIDTH) -> DataFrame:
+    """side of each box: full_width, left or right, by the thresholds of a patent page whose middle is that of the page."""
+    return boxes.withColumn("side", cite.column_side(F.col("l"), F.col("r"), F.lit(width), F.lit(width / 2)))
 
 
 def coverage(cited: DataFrame, by: str) -> DataFrame:

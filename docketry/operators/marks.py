@@ -1,4 +1,4 @@
-"""Page and stamp marks in text, citation strings, hit pages, second rankings, file-name signals."""
+"""Page marks in lines, header blocks, strings of stamps and pages."""
 
 from __future__ import annotations
 
@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 
-#: File-name forms by type; fixed values.
-FILE_NAMES = {
-    "agreement": r"agreement|contract|lease", "correspondence": r"letter|email|memo", "deposition": r"depo|transcript", "patent": r"patent|^us\d{7}", "standard": r"standard|spec|steel",
-}
-FILE_STAMP = r"^([A-Z]+[_-]?)0*(\d+)-(?:[A-Z]+[_-]?)?0*(\d+)$"
-
 
 def page_marks(rows: DataFrame) -> DataFrame:
     """doc_id, line_no, part, line: a '[PAGE:n]' line before each line whose page is not the last known one."""
@@ -37,63 +31,3 @@ def citation_string(name: Column, stamps: Column, pages: Column) -> Column:
     return F.when(span == "", name).otherwise(F.concat_ws(", ", name, span))
 
 
-def derive_stamps(pages: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """key, page, bates from a file name's stamp range, where no page has a stamp and the range has as many as the last page.
-
-    pages has (key, page, bates), names (key, file_name).
-    """
-    last = pages.groupBy(key).agg(F.max("page").alias("last"), F.count("bates").alias("stamped")).filter("stamped = 0")
-    joined = pages.select(key, "page").distinct().join(last, key).join(names, key)
-    low, high = (F.expr(f"try_cast(nullif({c}, '') AS bigint)") for c in ("lo", "hi"))
-    cut = joined.withColumn("prefix", F.regexp_extract("file_name", FILE_STAMP, 1)).withColumn("lo", F.regexp_extract("file_name", FILE_STAMP, 2)).withColumn("hi", F.regexp_extract("file_name", FILE_STAMP, 3))
-    width = F.length(F.regexp_extract("file_name", r"^[A-Z]+[_-]?(\d+)-", 1))
-    fit = cut.filter((F.col("prefix") != "") & (high - low + 1 == F.col("last")))
-    return fit.select(key, "page", F.concat("prefix", T.pad_number(low + F.col("page") - 1, width)).alias("bates"))
-
-
-def query_line(texts: DataFrame, query: str) -> DataFrame:
-    """doc_id, line_no: the first line that holds the query; without one the first of those with most of its words; null for no word."""
-    wanted = " ".join(query.lower().split())
-    words = F.array(*[F.lit(w) for w in dict.fromkeys(wanted.split())])
-    lines = texts.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
-    shared = F.size(F.array_intersect(F.split("line", r"\s+"), words))
-    score = F.when(F.instr("line", wanted) > 0, F.lit(1_000_000)).otherwise(shared)
-    best = lines.withColumn("score", score).groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("back"))).alias("b"))
-    return best.select("doc_id", F.when(F.col("b.score") > 0, 1 - F.col("b.back")).alias("line_no"))
-
-
-def shared_words(query: str, text: Column) -> Column:
-    """How many distinct words of the query the text has: the scorer that needs no model."""
-    words = F.array(*[F.lit(w) for w in dict.fromkeys(query.lower().split())])
-    return F.size(F.array_intersect(F.split(F.lower(text), r"\s+"), words))
-
-
-def rerank(results: DataFrame, score: Column, k: int) -> DataFrame:
-    """The k best by a second score, ties in their old order, ranked anew. results is a bounded candidate list."""
-    order = Window.orderBy(F.col("score").desc(), F.col("old_rank"))
-    again = results.withColumnRenamed("rank", "old_rank").withColumn("score", score.cast("double"))
-    return again.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def file_name_signal(names: DataFrame, key: str, column: str) -> DataFrame:
-    """key, doc_type of each form that the file name has."""
-    found = F.array_compact(F.array(*[F.when(F.lower(F.col(column)).rlike(form), F.lit(t)) for t, form in FILE_NAMES.items()]))
-    return names.select(key, F.explode(found).alias("doc_type"))
-
-
-def profile_scores(rows: DataFrame, key: str, columns: list[str], profiles: DataFrame, label: str) -> DataFrame:
-    """key, label, score = 1 / (1 + d) against each profile; d is the root mean square of z-scores.
-
-    profiles has (label, feature, n, mean, m2), a row per label and feature: few, and broadcast.
-    """
-    long = rows.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])))
-    spread = F.greatest(F.sqrt(F.when(F.col("n") > 1, F.col("m2") / F.col("n")).otherwise(0.01)), F.lit(0.01))
-    near = long.join(F.broadcast(profiles), "feature").withColumn("z", (F.col("value") - F.col("mean")) / spread)
-    return near.groupBy(key, label).agg(F.round(1 / (1 + F.sqrt(F.avg(F.col("z") * F.col("z")))), 6).alias("score"))
-
-
-def run_report(results: DataFrame) -> DataFrame:
-    """status, documents, citations, chunks, coverage: totals by status and over all (null)."""
-    return results.rollup("status").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("citations_count").alias("citations"), F.sum("chunks_count").alias("chunks"), F.round(F.avg("coverage_pct"), 4).alias("coverage"),
-    )

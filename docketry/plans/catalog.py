@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry.operators import chunking, citations, classify, enrich, folds, lines, marks, report, search, state
-from docketry.sources import loadfile
+from docketry import model
+from docketry.operators import chunking, chunks, citations, cite, classify, enrich, folds, index, lines, marks, postprocess, report, retrieve, search, state
+from docketry.sources import loadfile, tables, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +22,8 @@ lines AS (SELECT doc_id, unnest(range(1, len(s) + 1))::INTEGER AS line_no, unnes
 paged AS (SELECT *, ((line_no - 1) // 25 + 1)::INTEGER AS page FROM lines)
 """
 QUERY_TEXT = "of the antion thening onre that"
+#: Where the stored indexes of a session lie if it names no shared folder.
+INDEX_FOLDER = "/tmp/checkpoints/docketry"
 
 
 def query(sql: str | None = None):
@@ -61,9 +65,18 @@ def dedup_sha256(spark, d):
     return state.content_duplicates(table(spark, d, "documents"))
 
 
-@query(_LINES + ", m AS (SELECT *, CASE WHEN line_no % 3 = 0 THEN line_no END AS own_id FROM lines) SELECT doc_id, line_no, coalesce(last_value(own_id IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1)::INTEGER AS text_id FROM m")
+@query(_LINES + ", m AS (SELECT *, CASE WHEN line_no % 3 = 0 THEN line_no END AS own_id FROM lines) SELECT doc_id, line_no, line, coalesce(last_value(own_id IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1)::INTEGER AS text_id FROM m")
 def text_marker_ffill(spark, d):
-    return lines.marked(lines.lines(table(spark, d, "documents"))).select("doc_id", "line_no", F.coalesce("text_id", F.lit(-1)).alias("text_id"))
+    """Every third line is an element's first: marks stand before them, and are carried on."""
+    rows = chunks.marked_lines(_marked(table(spark, d, "documents"), 3))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    return rows.select("doc_id", number.alias("line_no"), "line", F.coalesce(F.col("text_id").cast("int"), F.lit(-1)).alias("text_id"))
+
+
+def _marked(docs: DataFrame, every: int) -> DataFrame:
+    """doc_id, md: texts with a mark before every few lines."""
+    marked = F.transform(F.split("text", "\n", -1), lambda x, i: F.when((i + 1) % every == 0, F.array(F.format_string("[TEXT:%d]", i + 1), x)).otherwise(F.array(x)))
+    return docs.select("doc_id", F.array_join(F.flatten(marked), "\n").alias("md"))
 
 
 @query(_LINES + "SELECT doc_id, line_no, sum(CASE WHEN length(line) <= 40 AND NOT contains(line, ',') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS section_id FROM lines")
@@ -92,11 +105,39 @@ def pagination_route(spark, d):
     return lines.pagination_route(docs)
 
 
-@query()
+_FOLD = """
+WITH RECURSIVE w AS (SELECT doc_id, {lines} AS s FROM documents), n AS (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS n FROM w),
+"""
+_CUT = """,
+c AS (SELECT doc_id, a, b FROM r WHERE b >= a AND b > 0 UNION ALL SELECT doc_id, start, len(n) FROM r JOIN n USING (doc_id) WHERE i = len(n) AND start <= len(n))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1)::INTEGER AS chunk_idx, a::INTEGER AS line_start, b::INTEGER AS line_end, array_to_string(s[a:b], chr(10)) AS core_text FROM c JOIN n USING (doc_id)
+"""
+
+
+@query(_FOLD.format(lines="string_split(text, chr(10))") + """r AS (
+  SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS start, -1::BIGINT AS size, 0::BIGINT AS a, 0::BIGINT AS b FROM n UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN f THEN CASE WHEN i + 2 - start > 5 THEN i - 3 ELSE i + 2 END ELSE start END,
+    CASE WHEN f THEN CASE WHEN i + 2 - start > 5 THEN (list_sum(n[i - 3 : i + 1]) + 4)::BIGINT ELSE -1 END ELSE size + 1 + n[i + 1] END,
+    CASE WHEN f THEN start ELSE 0 END, CASE WHEN f THEN i + 1 ELSE 0 END
+  FROM (SELECT r.*, n.n, (size + 1 + n[i + 1]) // 4 >= 800 AS f FROM r JOIN n USING (doc_id) WHERE i < len(n)))""" + _CUT)
 def chunk_generic(spark, d):
     return chunking.generic_chunks(table(spark, d, "documents"))
 
 
+_OPENED = "list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 1 THEN i || '. The ' || x ELSE x END)"
+
+
+@query(_FOLD.format(lines=_OPENED) + """r AS (
+  SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS start, -1::BIGINT AS size, 0::BIGINT AS a, 0::BIGINT AS b FROM n UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN f THEN i + 1 ELSE start END, CASE WHEN f THEN n[i + 1] ELSE size + 1 + n[i + 1] END, CASE WHEN f THEN start ELSE 0 END, CASE WHEN f THEN i ELSE 0 END
+  FROM (SELECT r.*, n.n, i + 1 > start AND trim(s[i + 1], ' ') <> '' AND (greatest(size, 0) // 4 >= 300 OR (greatest(size, 0) // 4 >= 200 AND (i + 1) % 4 = 1)) AS f FROM r JOIN n USING (doc_id) WHERE i < len(n)))""" + _CUT)
+def chunk_paragraph(spark, d):
+    """Every fourth line opens a numbered paragraph."""
+    opened = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 4 == 0, F.concat((i + 1).cast("string"), F.lit(". The "), x)).otherwise(x))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(opened, "\n").alias("text"))
+    return chunking.cut_lines(docs, "paragraph", target=200, most=300)
+
+
 @query(_LINES + """, f AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 <> 0 THEN page END AS page FROM paged),
 c AS (SELECT *, CASE WHEN page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 1 ELSE 0 END AS chg FROM f),
 r AS (SELECT *, sum(chg) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c)
@@ -131,9 +172,23 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term)
 """
 
 
+def _index(spark: SparkSession, d: str, again: bool = False) -> str:
+    """The path of this session's index of the documents in d, built if need be."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or INDEX_FOLDER).rstrip("/")
+    path = f"{folder}/index-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()[:12]}"
+    if again or not index.available(spark, path):
+        index.build(table(spark, d, "documents").select("doc_id", "text"), path)
+    return path
+
+
+def _keyword(spark, d, k: int = 10) -> DataFrame:
+    return index.KeywordIndex(spark, _index(spark, d)).search(QUERY_TEXT, k)
+
+
 @query(_TOKENS + "SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY term")
 def tfidf_terms(spark, d):
-    return search.term_counts(table(spark, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+    """Builds the index that the searches read."""
+    return tables.read(spark, f"{_index(spark, d, again=True)}/terms").select("term", "df", "occurrences")
 
 
 _Q = "['" + "', '".join(w for w in QUERY_TEXT.split() if w not in search.STOP_WORDS) + "']"
@@ -151,12 +206,12 @@ best AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::
 
 @query(_SEARCH + "SELECT doc_id, score, rank FROM best WHERE rank <= 10")
 def tfidf_search(spark, d):
-    return search.keyword_search(table(spark, d, "documents"), QUERY_TEXT)
+    return _keyword(spark, d)
 
 
 @query(_SEARCH + ", k AS (SELECT * FROM best WHERE rank <= 10) SELECT doc_id, rank, CASE WHEN (SELECT max(score) FROM k) = (SELECT min(score) FROM k) THEN 1.0::DOUBLE ELSE round((score - (SELECT min(score) FROM k)) / ((SELECT max(score) FROM k) - (SELECT min(score) FROM k)), 6) END AS normal FROM k")
 def minmax_scores(spark, d):
-    return search.min_max(search.keyword_search(table(spark, d, "documents"), QUERY_TEXT)).select("doc_id", "rank", "normal")
+    return search.min_max(_keyword(spark, d)).select("doc_id", "rank", "normal")
 
 
 _NEAR = """q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7),
@@ -178,7 +233,7 @@ SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, k NULLS LAST, s NU
 def rrf_hybrid(spark, d):
     vectors = table(spark, d, "embeddings")
     semantic = search.vector_search(vectors, vectors.filter("vec_id = 7")).withColumnRenamed("vec_id", "doc_id")
-    return search.fuse(search.keyword_search(table(spark, d, "documents"), QUERY_TEXT), semantic, "doc_id")
+    return search.fuse(_keyword(spark, d), semantic, "doc_id")
 
 
 @query(_SEARCH + ", " + _NEAR.replace("q AS", "qv AS").replace(", q)", ", qv)") + """
@@ -189,14 +244,20 @@ r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, k NULLS LAST
 SELECT * FROM r WHERE rank <= 10""")
 def rrf_hybrid_deep(spark, d):
     vectors = table(spark, d, "embeddings")
-    return search.hybrid_search(table(spark, d, "documents"), QUERY_TEXT, vectors, vectors.filter("vec_id = 7"))
+    depth = search.fetch_k(QUERY_TEXT, 10) * search.LIST_FETCH
+    semantic = search.vector_search(vectors, vectors.filter("vec_id = 7"), depth).withColumnRenamed("vec_id", "doc_id")
+    return search.fuse(_keyword(spark, d, depth), semantic, "doc_id").filter(F.col("rank") <= 10)
+
+
+def _with_text(spark, d, found: DataFrame) -> DataFrame:
+    """A bounded list of hits with their texts; the hits are sent to the texts, not the texts to the hits."""
+    return table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(found), "doc_id")
 
 
 @query(_SEARCH + """, b AS (SELECT doc_id, rank, CASE WHEN contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), 'the anea. eriner thanea.') THEN score * 5 ELSE score END AS score FROM best JOIN documents USING (doc_id) WHERE rank <= 10)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, rank)::INTEGER AS rank FROM b""")
 def phrase_boost(spark, d):
-    docs = table(spark, d, "documents")
-    found = search.keyword_search(docs, QUERY_TEXT).join(docs.select("doc_id", "text"), "doc_id")
+    found = _with_text(spark, d, _keyword(spark, d))
     return search.phrase_boost(found, "the anea. Eriner thanea.").select("doc_id", "score", "rank")
 
 
@@ -204,7 +265,8 @@ def phrase_boost(spark, d):
 r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, rank)::INTEGER AS rank FROM b)
 SELECT * FROM r WHERE rank <= 10""")
 def phrase_boost_deep(spark, d):
-    return search.phrase_search(table(spark, d, "documents"), QUERY_TEXT, "the anea. Eriner thanea.").select("doc_id", "score", "rank")
+    found = _with_text(spark, d, _keyword(spark, d, search.fetch_k(QUERY_TEXT, 10)))
+    return search.phrase_boost(found, "the anea. Eriner thanea.").filter(F.col("rank") <= 10).select("doc_id", "score", "rank")
 
 
 _BOXES = """
@@ -229,7 +291,7 @@ def content_area_median(spark, d):
     return citations.content_area(citations.elements(table(spark, d, "lineitem")), "stamp")
 
 
-@query(_BOXES + """SELECT doc_id, ord, CASE WHEN r - l > 0.65 * 612.0::DOUBLE THEN 'full_width' WHEN r <= 306 THEN 'left' WHEN l >= 306 THEN 'right' WHEN (l + r) / 2 < 306 THEN 'left' ELSE 'right' END AS side FROM e""")
+@query(_BOXES + """SELECT doc_id, ord, CASE WHEN r - l > 0.65 * 612.0::DOUBLE THEN 'full_width' WHEN r < 306 AND l < 0.38 * 612.0::DOUBLE THEN 'left' WHEN l > 306 * 0.85::DOUBLE AND l >= 0.38 * 612.0::DOUBLE THEN 'right' WHEN (l + r) / 2 < 306 THEN 'left' ELSE 'right' END AS side FROM e""")
 def patent_columns(spark, d):
     return citations.column_of(citations.elements(table(spark, d, "lineitem"))).select("doc_id", "ord", "side")
 
@@ -262,29 +324,79 @@ def type_distribution(spark, d):
     return report.distribution(table(spark, d, "events"), "event_type")
 
 
-_CONTENT = " UNION ALL ".join(
-    f"SELECT doc_id, '{t}' AS doc_type, round(least(1.0::DOUBLE, (" + " + ".join(f"contains(lower(text), '{k}')::INTEGER" for k in ks) + f") / {max(3.0, 0.4 * len(ks))}::DOUBLE), 6) AS score FROM documents"
-    for t, ks in classify.KEYWORDS.items()
+#: Stand-ins for legal documents: names and pieces of text, dealt to customers by their numbers.
+_NAMES = (
+    "Deposition of A.pdf", "condensed transcript 3.txt", "Hearing Transcript.pdf", "rebuttal-report.pdf", "Declaration of B.pdf", "Motion to Compel.pdf", "Opposition.pdf", "US Patent 7.pdf", "office action.pdf",
+    "License.pdf", "10-K 2020.pdf", "IEEE draft.pdf", "Affidavit.pdf", "Resp to 2nd Set of Rogs.pdf", "First set of RFPs.pdf", "abc_def_0001234.pdf", "notes.txt",
+)
+_PIECES = (
+    "DEPOSITION OF A WITNESS, COURT REPORTER", " 5  Q.  Where were you", "12   and so it went", "12. The expert is of the OPINION", "1.2.3 Scope: it SHALL hold", "From: a", "To: b", "Subject: c", "ITEM 1 of FORM 10-Q",
+    "see ¶ 12 UNDER PENALTY OF PERJURY", "INTERROGATORY NO. 4 PROPOUNDS THE FOLLOWING", "RESPONSE TO INTERROGATORY NO. 4, GENERAL OBJECTIONS", "WHEREAS the EFFECTIVE DATE, NOW THEREFORE", "UNITED STATES PATENT, CLAIMS, ABSTRACT",
+    "plain words of a letter", "MOTION TO, IN SUPPORT OF ARGUMENT", "YOUR HONOR, THE COURT, HEARING", "OFFICE ACTION, CLAIMS REJECTED, AMENDMENT", "REFERENCES, CONCLUSION, UNIVERSITY", "AFFIDAVIT, SWORN, NOTARIZED",
 )
-_STRUCT = r"""SELECT doc_id, 'standard' AS doc_type, round(least(1.0::DOUBLE, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ' | '))) / 15.0::DOUBLE), 6) AS score FROM documents
-UNION ALL SELECT doc_id, 'brief', round(least(1.0::DOUBLE, len(list_filter(string_split(text, chr(10)), lambda x: suffix(x, '.'))) / 30.0::DOUBLE), 6) FROM documents"""
 
 
-@query(_CONTENT)
+def _filed(spark, d) -> DataFrame:
+    """doc_id, file_name, text, n_pages."""
+    c, names, pieces = F.col("c_custkey"), F.array(*map(F.lit, _NAMES)), F.array(*map(F.lit, _PIECES))
+    part = lambda at, times: F.repeat(F.concat(F.element_at(pieces, (at % len(_PIECES) + 1).cast("int")), F.lit("\n")), times.cast("int"))
+    text = F.concat(part(c, c % 37 + 1), part(F.floor(c / 7), c % 5 + 1), part(F.floor(c / 11), c % 3 + 1))
+    return table(spark, d, "customer").select(c.alias("doc_id"), F.element_at(names, (F.floor(c / 3) % len(_NAMES) + 1).cast("int")).alias("file_name"), text.alias("text"), (c % 5 + 1).cast("int").alias("n_pages"))
+
+
+def _quoted(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_FILED = f"""WITH k AS (SELECT {_quoted(_NAMES)} AS names, {_quoted(_PIECES)} AS pieces),
+filed AS (SELECT c_custkey AS doc_id, names[c_custkey // 3 % {len(_NAMES)} + 1] AS file_name, (c_custkey % 5 + 1)::INTEGER AS n_pages,
+  repeat(pieces[c_custkey % {len(_PIECES)} + 1] || chr(10), c_custkey % 37 + 1) || repeat(pieces[c_custkey // 7 % {len(_PIECES)} + 1] || chr(10), c_custkey % 5 + 1) || repeat(pieces[c_custkey // 11 % {len(_PIECES)} + 1] || chr(10), c_custkey % 3 + 1) AS text
+  FROM customer, k)"""
+_BY_NAME = "(SELECT doc_id, doc_type, 1.0::DOUBLE AS score FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS doc_type, lower(file_name) AS f FROM filed WHERE regexp_matches(lower(file_name), '{form}')" for t, form in classify.FILE_NAMES.items()) + f""") x
+WHERE doc_type <> 'discovery_request' OR NOT regexp_matches(f, '{classify.FILE_NAMES["discovery_response"]}') UNION ALL SELECT doc_id, 'exhibit', 0.15::DOUBLE FROM filed WHERE regexp_matches(lower(file_name), '{classify.STAMPED_NAME}'))"""
+_BY_WORDS = "(SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{t}' AS doc_type, least(1.0::DOUBLE, (" + " + ".join(f"contains(upper(text), '{w}')::INTEGER" for w in words) + f") / {max(3.0, 0.4 * len(words))}::DOUBLE) AS score FROM filed" for t, words in classify.KEYWORDS.items()
+) + ") x WHERE score > 0)"
+_COUNTED = "(SELECT doc_id, greatest(n_pages, 1) AS pages, " + " OR ".join(f"contains(upper(text), '{a}')" for a in classify.ANSWERS) + " AS answers, " + ", ".join(
+    f"len(list_filter({'list_slice(string_split(text, chr(10)), 1, 30)' if n == 'mail_headers' else 'string_split(text, chr(10))'}, lambda x: regexp_matches(x, '{p}'))) AS {n}" for n, p in classify.LINE_SHAPES.items()
+) + " FROM filed)"
+_BY_LINES = "(WITH c AS " + _COUNTED + """, s AS (
+SELECT doc_id, 'deposition' AS doc_type, greatest(CASE WHEN turns > 10 THEN least(1.0::DOUBLE, turns / 30.0::DOUBLE) END, CASE WHEN margin_numbers > 20 THEN 0.7::DOUBLE END) AS score FROM c
+UNION ALL SELECT doc_id, 'hearing_transcript', CASE WHEN turns > 10 THEN least(0.5::DOUBLE, turns / 60.0::DOUBLE) END FROM c
+UNION ALL SELECT doc_id, 'expert_report', greatest(CASE WHEN numbered_paragraphs > 5 THEN least(1.0::DOUBLE, numbered_paragraphs / pages::DOUBLE / 3) END, CASE WHEN paragraph_signs > 3 THEN 0.5::DOUBLE END) FROM c
+UNION ALL SELECT doc_id, 'declaration', CASE WHEN numbered_paragraphs > 5 THEN least(0.6::DOUBLE, numbered_paragraphs / pages::DOUBLE / 5) END FROM c
+UNION ALL SELECT doc_id, 'technical_standard', CASE WHEN section_numbers > 5 THEN least(1.0::DOUBLE, section_numbers / 15.0::DOUBLE) END FROM c
+UNION ALL SELECT doc_id, 'agreement', CASE WHEN section_numbers > 5 THEN least(0.5::DOUBLE, section_numbers / 20.0::DOUBLE) END FROM c
+UNION ALL SELECT doc_id, 'correspondence', CASE WHEN mail_headers >= 3 THEN 1.0::DOUBLE END FROM c
+UNION ALL SELECT doc_id, 'sec_filing', CASE WHEN items >= 2 THEN least(1.0::DOUBLE, items / 4.0::DOUBLE) END FROM c
+UNION ALL SELECT doc_id, 'discovery_response', CASE WHEN answers AND requests >= 1 THEN least(1.0::DOUBLE, requests / 3.0::DOUBLE) END FROM c
+UNION ALL SELECT doc_id, 'discovery_request', CASE WHEN NOT answers AND requests >= 1 THEN least(1.0::DOUBLE, requests / 3.0::DOUBLE) END FROM c)
+SELECT * FROM s WHERE score > 0)"""
+
+
+@query(_FILED + " SELECT doc_id, doc_type, score FROM " + _BY_NAME)
+def signal_filename(spark, d):
+    return classify.filename_signal(_filed(spark, d))
+
+
+@query(_FILED + " SELECT doc_id, doc_type, round(score, 6) AS score FROM " + _BY_WORDS)
 def signal_content(spark, d):
-    return classify.content_signal(table(spark, d, "documents"))
+    return classify.content_signal(_filed(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query(_STRUCT)
+@query(_FILED + " SELECT doc_id, doc_type, round(score, 6) AS score FROM " + _BY_LINES)
 def signal_structural(spark, d):
-    return classify.structural_signal(table(spark, d, "documents"))
+    return classify.structural_signal(_filed(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH a AS (SELECT doc_id, doc_type, round(sum(score * 0.3::DOUBLE) / 0.6::DOUBLE, 6) AS confidence FROM ({_CONTENT} UNION ALL {_STRUCT}) GROUP BY doc_id, doc_type),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, doc_type) AS n, lead(confidence) OVER (PARTITION BY doc_id ORDER BY confidence DESC, doc_type) AS nxt FROM a)
-SELECT doc_id, doc_type, confidence, round(confidence - coalesce(nxt, 0), 4) AS margin FROM r WHERE n = 1""")
+@query(_FILED + f""", w AS (SELECT *, 0.2::DOUBLE AS w, true AS says FROM {_BY_NAME} UNION ALL SELECT *, 0.3::DOUBLE, true FROM {_BY_WORDS} UNION ALL SELECT *, 0.3::DOUBLE, false FROM {_BY_LINES}),
+a AS (SELECT doc_id, doc_type, sum(w * score) / 0.95::DOUBLE AS score, max(CASE WHEN says THEN score END) AS told FROM w GROUP BY doc_id, doc_type),
+r AS (SELECT *, row_number() OVER o AS n, lead(score) OVER o AS nxt FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY round(score, 9) DESC, doc_type)),
+b AS (SELECT * FROM r WHERE n = 1)
+SELECT doc_id, CASE WHEN b.doc_type IS NULL OR (b.doc_type = 'deposition' AND told IS NULL) THEN 'unknown' ELSE b.doc_type END AS doc_type, coalesce(round(score, 3), 0) AS confidence, coalesce(round(score - coalesce(nxt, 0), 6), 0) + 0.0::DOUBLE AS margin,
+  coalesce(round(score, 9) < 0.12::DOUBLE OR round(score - coalesce(nxt, 0), 9) < 0.04::DOUBLE, true) AS needs_input FROM filed LEFT JOIN b USING (doc_id)""")
 def classify_argmax(spark, d):
-    return classify.classify(table(spark, d, "documents"))
+    return classify.classify(_filed(spark, d)).drop("top_types")
 
 
 @query("""WITH f AS (SELECT lang, unnest(['n_chars', 'doc_id']) AS feature, unnest([n_chars, doc_id])::DOUBLE AS value FROM documents)
@@ -340,13 +452,13 @@ def stem_disambiguate(spark, d):
 
 @query(_LINES + """, q AS (SELECT l.doc_id, l.line AS quote FROM lines l WHERE l.line_no <= 3 UNION ALL SELECT doc_id, 'never said' FROM documents)
 , t AS (SELECT q.doc_id, trim(quote, ' ' || chr(9) || chr(10) || chr(13)) AS quote, text FROM q JOIN documents USING (doc_id))
-SELECT d.doc_id AS chunk_id, count(DISTINCT CASE WHEN quote <> '' AND contains(t.text, quote) THEN quote END) AS n_quotes, CASE WHEN any_value(d.lang) = 'en' THEN 'testimony' ELSE 'unclassified' END AS category,
+SELECT d.doc_id AS chunk_id, count(DISTINCT CASE WHEN quote <> '' AND contains(t.text, quote) THEN quote END) AS n_quotes, CASE WHEN any_value(d.lang) = 'en' THEN 'witness_statement' ELSE 'unclassified' END AS category,
 CASE WHEN d.doc_id % 2 = 0 THEN 'high' ELSE 'medium' END AS relevance, CASE WHEN d.doc_id BETWEEN 1 AND 99 AND d.doc_id <> 7 THEN 2 ELSE 1 END AS n_claims FROM documents d JOIN t USING (doc_id) GROUP BY d.doc_id""")
 def enrich_validate(spark, d):
     docs = table(spark, d, "documents")
     said = docs.select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("core_text"), F.array_append(F.slice(F.split("text", "\n"), 1, 3), F.lit(" never said ")).alias("key_quotes"),
-        F.when(F.col("lang") == "en", "testimony").otherwise(F.col("lang")).alias("category"), F.when(F.col("doc_id") % 2 == 0, "high").otherwise("none").alias("relevance"),
+        F.when(F.col("lang") == "en", " Witness_Statement").otherwise(F.col("lang")).alias("category"), F.when(F.col("doc_id") % 2 == 0, "high").otherwise("none").alias("relevance"),
         F.array(F.col("doc_id").cast("string"), F.lit("7"), F.lit("7654321"), F.lit("x")).alias("claims"),
     )
     good = enrich.validate(said)
@@ -427,43 +539,39 @@ def bates_derive(spark, d):
     number = lambda c: T.pad_number(c, F.lit(9))
     last = pages.groupBy("l_orderkey").agg(F.max("page").alias("n"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    names = last.join(orders, "l_orderkey").select("l_orderkey", F.concat(F.lit("ABC"), number(F.col("l_orderkey")), F.lit("-ABC"), number(F.col("l_orderkey") + F.col("n") - 1)).alias("file_name"))
-    return marks.derive_stamps(pages, names, "l_orderkey")
+    names = last.join(orders, "l_orderkey").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("Abc"), number(F.col("l_orderkey")), F.lit("-abc"), number(F.col("l_orderkey") + F.col("n") - 1), F.lit(" x.pdf")).alias("file_name"))
+    derived = chunks.derive_stamps(pages.distinct().withColumnRenamed("l_orderkey", "doc_id"), names)
+    return derived.filter("bates IS NOT NULL").withColumnRenamed("doc_id", "l_orderkey")
 
 
 @query(_LINES + """, s AS (SELECT doc_id, line_no, CASE WHEN contains(lower(line), 'the anea.') THEN 1000000 ELSE len(list_intersect(list_distinct(regexp_split_to_array(lower(line), '\\s+')), ['the', 'anea.'])) END AS score FROM lines),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS n FROM s)
 SELECT doc_id, CASE WHEN score > 0 THEN line_no ELSE -1 END::INTEGER AS line_no FROM r WHERE n = 1""")
 def query_page(spark, d):
-    return marks.query_line(table(spark, d, "documents"), "the anea.").fillna(-1, ["line_no"])
+    empty = F.struct(F.lit(None).cast("array<int>").alias("page_map"), F.lit(None).cast("array<string>").alias("bates_map"))
+    hits = table(spark, d, "documents").select("doc_id", F.col("text").alias("core_text"), empty.alias("citation"))
+    return retrieve.hit_places(hits, "the anea.").select("doc_id", F.coalesce("hit_line", F.lit(-1)).alias("line_no"))
 
 
 @query(_SEARCH + r""", shared AS (SELECT doc_id, rank, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), string_split('""" + QUERY_TEXT + r"""', ' ')))::DOUBLE AS score FROM best JOIN documents USING (doc_id) WHERE rank <= 10)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, rank)::INTEGER AS rank FROM shared QUALIFY row_number() OVER (ORDER BY score DESC, rank) <= 5""")
 def rerank_lexical(spark, d):
-    docs = table(spark, d, "documents")
-    found = search.keyword_search(docs, QUERY_TEXT).join(docs.select("doc_id", "text"), "doc_id")
-    return marks.rerank(found, marks.shared_words(QUERY_TEXT, F.col("text")), 5).select("doc_id", "score", "rank")
+    found = _with_text(spark, d, _keyword(spark, d))
+    return retrieve.reranked(found, retrieve.shared_words(QUERY_TEXT, F.col("text")), 5).select("doc_id", "score", "rank")
 
 
 @query(_SEARCH + r""", shared AS (SELECT doc_id, rank, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), string_split('""" + QUERY_TEXT + r"""', ' ')))::DOUBLE AS score FROM best JOIN documents USING (doc_id) WHERE rank <= 50)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, rank)::INTEGER AS rank FROM shared QUALIFY row_number() OVER (ORDER BY score DESC, rank) <= 5""")
 def rerank_lexical_deep(spark, d):
-    docs = table(spark, d, "documents")
-    found = search.keyword_search(docs, QUERY_TEXT, search.fetch_k(QUERY_TEXT, 10, rerank=True)).join(docs.select("doc_id", "text"), "doc_id")
-    return marks.rerank(found, marks.shared_words(QUERY_TEXT, F.col("text")), 5).select("doc_id", "score", "rank")
-
-
-@query("SELECT p_partkey, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(p_type), '{form}') THEN '{t}' END" for t, form in marks.FILE_NAMES.items()) + "], lambda x: x IS NOT NULL)) AS doc_type FROM part")
-def signal_filename(spark, d):
-    return marks.file_name_signal(table(spark, d, "part"), "p_partkey", "p_type")
+    found = _with_text(spark, d, _keyword(spark, d, search.fetch_k(QUERY_TEXT, 10, rerank=True)))
+    return retrieve.reranked(found, retrieve.shared_words(QUERY_TEXT, F.col("text")), 5).select("doc_id", "score", "rank")
 
 
 @query("""WITH p AS (SELECT lang, count(n_chars) AS n, round(avg(n_chars::DOUBLE), 6) AS mean, round(var_pop(n_chars::DOUBLE) * count(n_chars), 4) AS m2 FROM documents GROUP BY lang)
 SELECT doc_id, p.lang, round(1 / (1 + sqrt(((n_chars - mean) / greatest(sqrt(CASE WHEN n > 1 THEN m2 / n ELSE 0.01::DOUBLE END), 0.01::DOUBLE)) ** 2)), 6) AS score FROM documents, p""")
 def profile_score(spark, d):
     docs = table(spark, d, "documents")
-    return marks.profile_scores(docs.drop("lang"), "doc_id", ["n_chars"], classify.profiles(docs, "lang", ["n_chars"]), "lang")
+    return classify.profile_scores(docs.drop("lang"), "doc_id", ["n_chars"], classify.profiles(docs, "lang", ["n_chars"]), "lang")
 
 
 @query("SELECT conv_id, list_aggregate(list_sort(list_distinct(list(role) || list('quote'))), 'string_agg', ',') AS quotes FROM conversations GROUP BY conv_id")
@@ -477,7 +585,7 @@ FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GRO
 def pipeline_report(spark, d):
     joined = table(spark, d, "documents").join(_labelled(spark, d), "doc_id", "left")
     status = F.when(F.col("quality") == 1, "completed").when(F.col("quality") == 0, "failed").otherwise("pending")
-    return marks.run_report(joined.select(status.alias("status"), F.col("n_chars").alias("citations_count"), F.floor(F.col("n_chars") / 3200).alias("chunks_count"), F.length("text").alias("coverage_pct")))
+    return report.run_report(joined.select(status.alias("status"), F.col("n_chars").alias("citations_count"), F.floor(F.col("n_chars") / 3200).alias("chunks_count"), F.length("text").alias("coverage_pct")))
 
 
 @query("SELECT o_orderpriority AS production, o_orderkey + 1 AS line_no, 'A' || o_orderkey AS beg_bates, 'A' || o_custkey AS end_bates, o_orderstatus AS custodian FROM orders")
@@ -491,30 +599,91 @@ def dat_parse(spark, d):
     return loadfile.parse_records(head.unionByName(body)).select("production", "line_no", "beg_bates", "end_bates", "custodian")
 
 
-def _transcripts(spark, d):
-    """Conversations as numbered question and answer lines, a text each."""
-    said = lines.transcript(table(spark, d, "conversations")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("line_start", "line"))).alias("rows"))
-    return said.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("rows.line", lambda x: F.regexp_replace(x, r"\s+", " ")), "\n").alias("text"))
+def _said(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Conversations as transcripts (doc_id, md) of ten lines a page, and their citations."""
+    said = table(spark, d, "conversations").filter("role IN ('user', 'assistant')").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    line = lambda x, i: F.concat(F.lpad((i % 10 + 1).cast("string"), 2, " "), F.when(x["role"] == "user", "  Q.  ").otherwise("  A.  "), F.regexp_replace(F.coalesce(x["text"], F.lit("")), r"\s+", " "))
+    page = lambda i: F.concat(F.repeat(F.lit(" "), F.lit(40)), (F.floor(i / 10) + 1).cast("string"))
+    rows = F.flatten(F.transform("t", lambda x, i: F.when(i % 10 == 0, F.array(page(i), line(x, i))).otherwise(F.array(line(x, i)))))
+    return transcripts.from_text(said.select("doc_id", F.array_join(rows, "\n").alias("content")))
 
 
-@query()
-def chunk_transcript(spark, d):
-    return folds.chunks(_transcripts(spark, d), lambda text: folds.transcript_cuts(text, 800))
+@query("""WITH t AS (SELECT conv_id, role, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id AS doc_id, i // 10 + 1 AS page, i % 10 + 1 AS line_start, 'line_P' || (i // 10 + 1) || '_L' || (i % 10 + 1) AS ref FROM t""")
+def transcript_citations(spark, d):
+    return _said(spark, d)[1].select("doc_id", F.col("page").cast("long").alias("page"), F.col("line_start").cast("long").alias("line_start"), "ref")
 
 
-@query()
-def chunk_paragraph(spark, d):
-    return folds.chunks(table(spark, d, "documents"), lambda text: folds.paragraph_cuts(text, 800, 1200))
+def _corpus(md: DataFrame, kind: str) -> DataFrame:
+    stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    return md.select("doc_id", stem.alias("stem"), "md", F.lit(kind).alias("doc_type"), stem.alias("file_name"), F.lit("").alias("source_path"))
 
 
 @query()
-def chunk_discovery(spark, d):
-    return folds.chunks(_transcripts(spark, d), lambda text: folds.request_cuts(text, 1200))
+def chunk_transcript(spark, d):
+    md, cited = _said(spark, d)
+    return chunks.chunk(_corpus(md, "deposition"), cited, target=200).select("chunk_id", "core_text", "citation_string", "tokens", "pages")
 
 
 @query()
+def chunk_discovery(spark, d):
+    """Every tenth line of a document is a request, every tenth but five a response to it."""
+    head = lambda x, i: F.when(i % 10 == 0, F.concat(F.lit("INTERROGATORY NO. "), (F.floor(i / 10) + 1).cast("string"))).when(i % 10 == 5, F.concat(F.lit("RESPONSE TO INTERROGATORY NO. "), (F.floor(i / 10) + 1).cast("string"))).otherwise(x)
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), head), "\n").alias("text"))
+    cited = _by_page(docs)
+    return chunks.chunk(_corpus(_marked(docs, 1), "discovery_response"), cited, target=200, most=300).select("chunk_id", "core_text", "citation_string", "tokens", "pages")
+
+
+def _by_page(docs: DataFrame) -> DataFrame:
+    """A citation of each line by its page of 25."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
+    have = {"doc_id": F.col("doc_id"), "ord": F.col("ord"), "ref": F.format_string("#/texts/%d", F.col("ord") + 1), "page": F.floor(F.col("ord") / 25) + 1, "type": F.lit("page_only")}
+    return rows.select(*[have.get(c, F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in model.CITATIONS.split(", "))])
+
+
+@query(r"""WITH x AS (SELECT l_suppkey AS doc_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS ord, l_partkey, l_quantity::INTEGER AS q FROM lineitem),
+v AS (SELECT doc_id, ord, CASE WHEN l_partkey % 19 = 0 THEN q END AS sign, CASE WHEN l_partkey % 19 <> 0 AND l_partkey % 3 = 0 THEN q * 6 - 5 END AS plain FROM x),
+e AS (SELECT *, count(coalesce(sign, plain)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM v),
+o AS (SELECT *, coalesce(sign, CASE WHEN earlier = 0 THEN plain END) AS opens FROM e),
+s AS (SELECT *, count(opens) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stretch FROM o)
+SELECT doc_id, ord, coalesce(CASE WHEN stretch > 0 THEN max(coalesce(opens, CASE WHEN plain BETWEEN 1 AND 200 THEN plain END)) OVER (PARTITION BY doc_id, stretch ORDER BY ord ROWS UNBOUNDED PRECEDING) END, -1)::BIGINT AS paragraph FROM s""")
 def paragraph_carry(spark, d):
-    return folds.paragraph_carry(lines.lines(table(spark, d, "documents")).select("doc_id", F.col("line_no").alias("ord"), F.col("line").alias("text")))
+    q = F.col("l_quantity").cast("int")
+    text = F.when(F.col("l_partkey") % 19 == 0, F.concat(F.lit("see ¶ "), q.cast("string"), F.lit(" there"))).when(F.col("l_partkey") % 3 == 0, F.concat((q * 6 - 5).cast("string"), F.lit(". The item"))).otherwise("an item")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("ord"), text.alias("text"))
+    return cite.paragraph_numbers(rows).select("doc_id", "ord", F.coalesce("paragraph", F.lit(-1)).alias("paragraph"))
+
+
+@query(_LINES + """, x AS (SELECT doc_id, line_no, CASE WHEN line_no % 10 = 1 THEN line_no // 10 + 1 END AS n FROM lines)
+SELECT doc_id, line_no - 1 AS ord, last_value(n IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS request, 'rfp' AS kind FROM x""")
+def request_carry(spark, d):
+    """Every tenth line of a document is a request for production; each line belongs to the last one."""
+    rows = lines.lines(table(spark, d, "documents")).withColumn("text", F.when(F.col("line_no") % 10 == 1, F.concat(F.lit("REQUEST FOR PRODUCTION NO. "), (F.floor(F.col("line_no") / 10) + 1).cast("string"))).otherwise(F.concat(F.lit("x"), "line")))
+    elements = rows.select("doc_id", (F.col("line_no") - 1).alias("ord"), F.lit(None).cast("string").alias("self_ref"), F.lit("text").alias("label"), "text", F.lit(1).alias("page_no"), *[F.lit(None).cast("double").alias(c) for c in "ltrb"])
+    return cite.discovery_citations(cite.prepared(elements)).select("doc_id", "ord", F.col("discovery_request_number").alias("request"), F.col("discovery_request_kind").alias("kind"))
+
+
+@query(r"""WITH x AS (SELECT l_suppkey AS doc_id, (l_partkey % 40 + 1)::INTEGER AS page, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS ord, 'ABC' || lpad((l_partkey % 900)::VARCHAR, 6, '0') AS s FROM lineitem WHERE l_partkey % 5 = 0)
+SELECT doc_id, page AS page_no, arg_max(s, ord) AS bates FROM x GROUP BY doc_id, page""")
+def bates_by_page(spark, d):
+    """A fifth of the items are page footers with a stamp."""
+    stamp = F.concat(F.lit("Page of ABC"), T.pad_number(F.col("l_partkey") % 900, F.lit(6)), F.lit(" x"))
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("doc_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_partkey") % 5 == 0, "page_footer").otherwise("text").alias("label"), stamp.alias("text"), (F.col("l_partkey") % 40 + 1).cast("int").alias("page_no"),
+    )
+    return cite.footer_stamps(rows)
+
+
+_PAGED = r"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS n, unnest(s) AS line FROM s), p AS (SELECT *, CASE WHEN n % 20 = 1 THEN 'Page ' || (n // 20 + 1) WHEN n % 7 = 0 THEN '¶ ' || n || ' ' || line ELSE 'x' || replace(line, '.', '') END AS t, n // 20 + (CASE WHEN n % 20 = 0 THEN 0 ELSE 1 END) AS page FROM l)"""
+
+
+@query(_PAGED + " SELECT doc_id, n - 1 AS ord, page::INTEGER AS page, n::BIGINT AS paragraph_number FROM p WHERE n % 7 = 0 AND n % 20 <> 1")
+def citation_marks(spark, d):
+    """Every twentieth line names a page, every seventh other one a paragraph: citations of the marked text."""
+    line = lambda x, i: F.when((i + 1) % 20 == 1, F.concat(F.lit("Page "), (F.floor((i + 1) / 20) + 1).cast("string"))).when((i + 1) % 7 == 0, F.concat(F.lit("¶ "), (i + 1).cast("string"), F.lit(" "), F.regexp_replace(x, r"(?i)(?:page|p\.)\s+\d+", ""))).otherwise(F.concat(F.lit("x"), F.translate(x, ".", "")))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("md"), F.lit("brief").alias("doc_type"))
+    return postprocess.mark_citations(docs)[1].select("doc_id", "ord", "page", "paragraph_number")
 
 
 @query()
@@ -527,11 +696,12 @@ def align_pages(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents to chunks to ranked hits with pages: keyword search over chunks, boosted by a phrase, cited by page."""
+    """Documents to chunks to ranked hits with pages: marked texts are chunked with citations, and a phrase is searched in them."""
     docs = table(spark, sf_dir, "documents")
-    chunks = chunking.generic_chunks(docs).withColumn("chunk_key", F.col("doc_id") * 100_000 + F.col("chunk_idx"))
-    hits = search.keyword_search(chunks.select(F.col("chunk_key").alias("doc_id"), F.col("core_text").alias("text")), QUERY_TEXT, search.fetch_k(QUERY_TEXT, 10))
-    cited = search.min_max(hits).withColumnRenamed("doc_id", "chunk_key").join(chunks, "chunk_key")
-    pages = F.sequence(F.floor((F.col("line_start") - 1) / lines.LINES_PER_PAGE) + 1, F.floor((F.col("line_end") - 1) / lines.LINES_PER_PAGE) + 1)
-    boosted = search.phrase_boost(cited.withColumn("score", F.col("normal")).withColumn("text", F.col("core_text")), QUERY_TEXT).filter(F.col("rank") <= 10)
-    return boosted.select("doc_id", "chunk_idx", "score", "rank", T.page_ranges(pages.cast("array<int>")).alias("pages"), F.substring("core_text", 1, 400).alias("preview"))
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or INDEX_FOLDER).rstrip("/")
+    path = f"{folder}/flagship-{spark.sparkContext.applicationId}"
+    tables.write(chunks.chunk(_corpus(_marked(docs, 1), "unknown"), _by_page(docs)), f"{path}/chunks")
+    made = tables.read(spark, f"{path}/chunks")
+    index.build(made.select("chunk_id", F.col("core_text").alias("text")), f"{path}/keyword", "chunk_id")
+    hits = retrieve.Retriever(spark, path, made).search(QUERY_TEXT, 10, "bm25")
+    return retrieve.display(hits, QUERY_TEXT)
