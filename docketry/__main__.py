@@ -90,7 +90,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     settings = config.settings(args.config, given)
     if args.command == "classify":
         found = files.discover(spark, args.input)
-        rows = files.by_stem(found).select("stem", F.col("name").alias("file_name"), F.when(F.col("ext") == "txt", F.decode(F.col("content"), F.lit("UTF-8"))).alias("text"), F.lit(1).alias("n_pages"))
+        rows = files.by_stem(found).select("stem", F.col("name").alias("file_name"), F.when(F.col("ext") == "txt", F.make_valid_utf8(F.col("content").cast("string"))).alias("text"), F.lit(1).alias("n_pages"))
         learned = spark.read.parquet(args.profiles) if args.profiles else None
         show(classify.classify(rows, learned=learned, key="stem").orderBy("stem"))
         return 0

@@ -83,7 +83,7 @@ class Corpus:
 
     def _converted(self, todo: DataFrame, converter) -> DataFrame:
         """doc_id, path, stem, ext, md, elements, pages, method, content, is_transcript, error of each file."""
-        plain = todo.filter("ext = 'txt'").select("doc_id", "path", "name", "stem", "ext", F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
+        plain = todo.filter("ext = 'txt'").select("doc_id", "path", "name", "stem", "ext", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         told = transcripts.is_transcript(plain.select("doc_id", F.col("text").alias("content")))
         texts = plain.join(told, "doc_id").withColumn("method", F.when(F.col("is_transcript"), "text_extractor").otherwise("plain"))
         none = F.from_json(F.lit("{}"), CONVERTED)
@@ -153,11 +153,11 @@ class Corpus:
         Vendor texts come first; natives are connectors for files without one. Texts of several pages
         without breaks are aligned with what recognise reads from page images.
         """
-        listed = files.discover(self.spark, root, extensions=("dat", "opt", "txt", "tif", "tiff", "jpg", "png", *loadfile.PARSEABLE), content=False).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+        listed = files.discover(self.spark, root, extensions=("dat", "opt", "txt", "tif", "tiff", "jpg", "png", *loadfile.PARSEABLE), content=False)
         found = loadfile.productions(listed.select("path"), root)
         if not found.take(1):
             raise FileNotFoundError(f"no load files below {root}")
-        contents = loadfile.read_text_files(self.spark, root).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+        contents = loadfile.read_text_files(self.spark, root)
         dats = found.join(contents, found.dat == contents.path).select(F.col("name").alias("production"), "content")
         opts = found.withColumn("opt", F.regexp_replace("dat", r"\.dat$", ".opt")).join(contents, F.col("opt") == contents.path).select(F.col("name").alias("production"), "content")
         records = loadfile.parse_records(loadfile.rows_of(dats)).withColumn("doc_id", F.xxhash64("production", "line_no")).join(found.select(F.col("name").alias("production"), F.col("folder").alias("root")), "production")
@@ -167,7 +167,7 @@ class Corpus:
         texts = resolved.join(contents, resolved.text_file == contents.path).select("doc_id", "content")
         native = None
         if natives is not None:
-            raw = files.discover(self.spark, root, extensions=loadfile.PARSEABLE).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+            raw = files.discover(self.spark, root, extensions=loadfile.PARSEABLE)
             made = files.convert(raw.join(resolved.select(F.col("native_file").alias("path")), "path", "left_semi"), natives)
             native = resolved.join(made.filter("error IS NULL"), resolved.native_file == made.path).select("doc_id", F.col("md").alias("content"))
         aligned = self._aligned(records, texts, images, listed, root, recognise) if recognise and pagination else None
@@ -185,7 +185,7 @@ class Corpus:
     def _aligned(self, records, texts, images, listed, root, recognise) -> DataFrame:
         pages = records.join(images, ["production", "beg_bates"]).select("doc_id", "root", F.posexplode("images").alias("i", "image"))
         placed = loadfile.resolve(pages, "image", listed, "file").filter("file IS NOT NULL").select("doc_id", (F.col("i") + 1).alias("page_no"), F.col("file").alias("path"))
-        raw = files.discover(self.spark, root, extensions=("tif", "tiff", "jpg", "png")).withColumn("path", F.regexp_replace("path", "^file:/+", "/")).select("path", "content")
+        raw = files.discover(self.spark, root, extensions=("tif", "tiff", "jpg", "png")).select("path", "content")
         known = self.table("recognised", "doc_id long, page_no int, path string, text string").select("path", "text").dropDuplicates(["path"])
         read = self.save("recognised", files.recognised(placed.join(raw, "path"), known, recognise))
         listed_pages = read.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p")).select("doc_id", F.col("p.text").alias("pages"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from email import policy
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +26,15 @@ def discover(spark: SparkSession, root: str, extensions: tuple[str, ...] = INPUT
 
     A folder without such files is an error for who asked: FileNotFoundError.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no folder {root}") from e
+        raise
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    rows = files.select("path", name.alias("name"), T.normalize_stem(F.regexp_replace(name, r"\.[^.]*$", "")).alias("stem"), ext.alias("ext"), "length", F.col("modificationTime").alias("modified"), "content")
+    rows = files.select(plain_path(F.col("path")).alias("path"), name.alias("name"), T.normalize_stem(F.regexp_replace(name, r"\.[^.]*$", "")).alias("stem"), ext.alias("ext"), "length", F.col("modificationTime").alias("modified"), "content")
     rows = rows.filter(F.col("ext").isin(*extensions))
     if not rows.select("path").take(1):
         raise FileNotFoundError(f"no {', '.join(extensions)} below {root}")
@@ -36,6 +42,11 @@ def discover(spark: SparkSession, root: str, extensions: tuple[str, ...] = INPUT
     return rows if content else rows.drop("content")
 
 
+def plain_path(path: Column) -> Column:
+    """A local path without its scheme; others as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def by_stem(files: DataFrame) -> DataFrame:
     """One file for each stem: of several the last by path."""
     last = F.row_number().over(Window.partitionBy("stem").orderBy(F.col("path").desc()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry import model
 from docketry.functions import text as T
+from docketry.sources.files import plain_path
 
 FIELD, QUALIFIER, BYTE_ORDER_MARK = "\x14", "þ", "﻿"
 #: Names that vendors give a field, by the canonical one; the first that a header has counts. Fixed values.
@@ -49,7 +50,7 @@ ROUTES = ("single", "vendor-ff", "aligned", "unpaged-mismatch", "unpaged-no-ocr"
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """path, content of whole text files below a folder, without byte order marks."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", f"^{BYTE_ORDER_MARK}", "").alias("content"))
+    return files.select(plain_path(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).alias("path"), F.regexp_replace("value", f"^{BYTE_ORDER_MARK}", "").alias("content"))
 
 
 def rows_of(files: DataFrame) -> DataFrame:
