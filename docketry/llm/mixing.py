@@ -117,6 +117,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     rows = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     taken = _allot(rows.drop("row")).filter("taken > 0").select("rid", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("turns"))
+    taken = taken.hint("merge")  # as many rows as documents: never broadcast, however small the table looks
     return rows.select("rid", "row").join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("turns"))).alias("turn")).select("row.*")
 
 
