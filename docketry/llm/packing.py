@@ -187,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict | None = None, end_id: i
     common.ship(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     keyed = common.with_row_key(plain, "doc_id", "text", "pack-keyed").select("_key", "doc_id", "source", "text")
-    tokens = common.stash(keyed.mapInArrow(_tokenize(tokenizer, end_id), _TOKENS), "pack-tokens")
+    tokens = common.stash(keyed.mapInArrow(_tokenize(tokenizer, end_id), _TOKENS), "pack-tokens", "uncompressed")  # ids are compressed
     rows = tokens.select("_key", "source", "n_tokens")
     if rows.select("source").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
         if weights:

@@ -9,8 +9,8 @@ import numpy as np
 
 from . import common
 
-#: Pieces of a generation of the cache; it keeps two, about 60 MB each. What is used goes to the younger.
-CACHE_PIECES = 400_000
+#: Pieces of a generation of the cache; it keeps two, about 40 MB each. What is used goes to the younger.
+CACHE_PIECES = 250_000
 #: Longer pieces are encoded and not remembered.
 LONG_PIECE = 40
 
@@ -119,7 +119,7 @@ class _Bare(Remembered):
     """Ids of pieces that no space precedes."""
 
     def __init__(self, spaced: BytePieces) -> None:
-        super().__init__()
+        super().__init__(spaced.most // 4)
         self.spaced = spaced
 
     def make(self, piece: str) -> bytes:

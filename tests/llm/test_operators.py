@@ -26,6 +26,7 @@ def messy():
     words = ["alpha", "beta", "Gamma,", "dé", "漢字", "don't", "x\ty", "end."]
     base = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 40, 400, 9000)]
     rows = [(i, rng.choice(base) + (" more" if rng.random() < 0.3 else ""), rng.choice(["a", "b", None, "é"])) for i in range(40)]
+    rows += [(60, " ".join(rng.choice(words) for _ in range(60_000)), "a")]
     rows += [(None, base[1], "a"), (None, None, None), (7, base[0], "b"), (7, base[0], "b"), (50, "", "a"), (51, None, "c"), (52, " \n ", "c"), (53, "<|endoftext|> a  b\n\n c ", "c")]
     return rows
 

@@ -60,3 +60,18 @@ def test_stages_equal_plain_python(spark):
         got[p.doc_id] += p.length
     assert got == want and corpus_pipeline.run(spark, SF).count() > 0
     assert np.isfinite(bias)
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark, tmp_path):
+    from test_operators import SCHEMA, frame, messy
+
+    labels = "doc_id long, quality int, toxic int"
+    for name, docs, marks in (("messy", frame(spark, messy()), [(1, 1, 1), (2, 1, 0), (None, 0, 1), (3, 1, None)]), ("empty", spark.createDataFrame([], SCHEMA), [])):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(marks, labels).write.parquet(f"{folder}/labels.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, (_, function) in enumerate(corpus_pipeline.STAGES):
+            kept = common.stash(function(spark, kept, folder), "stage")
+            assert stage == 4 or kept.columns == docs.columns
+        assert kept.count() == corpus_pipeline.run(spark, folder).count() and (kept.count() > 0) == (name == "messy")
