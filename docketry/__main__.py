@@ -1,4 +1,4 @@
-"""Command line: process, loadfile, classify, index, search, stats, remove, enrich.
+"""Command line: process, loadfile, classify, index, search, stats, export, remove, enrich.
 
 Converters, embedders, rerankers and models are functions of yours, named as module:function.
 """
@@ -67,6 +67,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--embed-query", help="module:function")
     p = commands.add_parser("stats", parents=[shared], help="chunks by document, and which indexes there are")
     p.add_argument("corpus")
+    p = commands.add_parser("export", parents=[shared], help="write the tables as JSON files")
+    p.add_argument("corpus")
+    p.add_argument("output")
     p = commands.add_parser("remove", parents=[shared], help="take a document out of tables and indexes")
     p.add_argument("corpus")
     p.add_argument("name")
@@ -120,6 +123,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         by, totals = corpus.stats()
         print(app.plain(totals))
         show(by)
+    elif args.command == "export":
+        corpus.export(args.output)
     elif args.command == "remove":
         print(app.plain(corpus.remove(args.name)))
     else:

@@ -13,7 +13,7 @@ from docketry import model
 from docketry.functions import text as T
 from docketry.operators import chunks as C
 from docketry.operators import cite, classify, enrich, folds, index, postprocess, report, retrieve, state
-from docketry.sources import files, loadfile, tables, transcripts
+from docketry.sources import files, loadfile, sinks, tables, transcripts
 
 #: What a converter gives of a file, as JSON: marked-down text, layout elements, page sizes, texts of the first pages.
 CONVERTED = (
@@ -252,6 +252,17 @@ class Corpus:
     def report(self, seconds: float = 0.0) -> DataFrame:
         return report.lines(self.table("results"), seconds)
 
+    def export(self, path: str) -> None:
+        """Chunks, citations, results and what failed as JSON files below path."""
+        sinks.chunks(self.table("chunks"), f"{path}/chunks")
+        sinks.citations(self.table("citations"), f"{path}/citations")
+        for name in ("results", "manifest", "flagged_content", "flagged_pages", "stats"):
+            held = tables.read(self.spark, f"{self.path}/{name}")
+            if held is not None:
+                sinks.rows(held, f"{path}/{name}")
+                if name == "results":
+                    sinks.rows(state.failed_documents(held), f"{path}/failed_documents")
+
     def stats(self) -> tuple[DataFrame, dict]:
         return self.retriever().stats()
 

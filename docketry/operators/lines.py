@@ -67,6 +67,13 @@ def transcript(turns: DataFrame) -> DataFrame:
     )
 
 
+def qa_markers(rows: DataFrame) -> DataFrame:
+    """doc_id, line_no, number, mark, said of lines of testimony: a margin number, Q or A, and what is said."""
+    form = r"^\s*(\d{1,2})\s+([QA])\.?\s+(.+)$"
+    found = rows.filter(F.col("line").rlike(form))
+    return found.select("doc_id", "line_no", F.regexp_extract("line", form, 1).cast("int").alias("number"), F.regexp_extract("line", form, 2).alias("mark"), F.regexp_extract("line", form, 3).alias("said"))
+
+
 def pagination_route(docs: DataFrame) -> DataFrame:
     """How a text gets its pages: declared count against form-feed segments."""
     declared = F.greatest(F.lit(1), F.floor((F.size(F.split("text", "\n")) - 1) / LINES_PER_PAGE) + 1)

@@ -619,6 +619,13 @@ def _corpus(md: DataFrame, kind: str) -> DataFrame:
     return md.select("doc_id", stem.alias("stem"), "md", F.lit(kind).alias("doc_type"), stem.alias("file_name"), F.lit("").alias("source_path"))
 
 
+@query("""WITH t AS (SELECT conv_id, role, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id AS doc_id, (i % 10 + 1)::INTEGER AS number, CASE role WHEN 'user' THEN 'Q' ELSE 'A' END AS mark, said FROM t WHERE said <> ''""")
+def qa_markers(spark, d):
+    md = _said(spark, d)[0]
+    return lines.qa_markers(lines.lines(md.select("doc_id", F.col("md").alias("text")))).select("doc_id", "number", "mark", F.trim("said").alias("said"))
+
+
 @query()
 def chunk_transcript(spark, d):
     md, cited = _said(spark, d)

@@ -255,6 +255,14 @@ def test_corpus_is_searched_enriched_and_shrunk(spark, corpus):
     again = {r.file: r.status for r in corpus.process(corpus.root, converter()).collect()}
     assert again == {"Expert Report.pdf": "SKIPPED", "Deposition of Bob.txt": "SKIPPED", "bad.pdf": "FAILED", "copy.pdf": "SKIPPED"}
     assert corpus.table("chunks").count() == 2 and {r.stem: r.retry_count for r in corpus.table("state").collect()}["bad"] == 2
+    out = corpus.path + "-json"
+    corpus.export(out)
+    exported = {r.stem: json.loads(r.value) for r in spark.read.text(f"{out}/citations").collect()}
+    first = next(iter(exported["deposition_of_bob"].items()))
+    assert first[0] == "line_P5_L1" and first[1]["bates"] is None and first[1]["transcript_page"] == 5 and "discovery_request_kind" not in first[1] and list(exported["expert_report"]) == [f"#/texts/{i}" for i in range(5)]
+    chunk = [json.loads(r.value) for r in spark.read.text(f"{out}/chunks").collect() if "Bob" in r.value][0]
+    assert chunk["chunk_id"] == "deposition_of_bob_chunk_0000" and "column_lines" not in chunk["citation"]
+    assert [json.loads(r.value)["file"] for r in spark.read.text(f"{out}/failed_documents").collect()] == ["bad.pdf"]
     learned = corpus.learn(spark.createDataFrame([("bad", "brief")], "stem string, doc_type string"))
     assert learned.filter("doc_type = 'brief'").count() == len(classify.LAYOUT_FEATURES) + len(classify.TEXT_FEATURES)
     gone = corpus.remove("Deposition of Bob")
