@@ -174,7 +174,7 @@ def _pieces(rows: DataFrame, target: int, most: int, overlap: int) -> DataFrame:
     ))
     made = {
         "text_lines": texts, "page_map": pages, "bates_map": stamps, "pages": some("page"), "stamps": some("bates"), "ranges": ranges, "transcript_pages": some("transcript_page"),
-        "paragraphs": some("paragraph_number"), "columns": some("column"), "request_kind": F.when(heading.isNotNull(), cite.request_kind(F.regexp_extract(T.strip(heading), cite.REQUEST, 1))),
+        "paragraphs": some("paragraph_number"), "columns": some("column"), "request_kind": F.when(heading.isNotNull(), T.request_kind(F.regexp_extract(T.strip(heading), cite.REQUEST, 1))),
         "request_number": cite.number(T.strip(heading), cite.REQUEST, 2), "part": F.col("cut.part"), "part_total": F.col("cut.part_total"),
     }
     types = dict(c.strip().split(" ") for c in _PIECE.split(", "))
@@ -342,7 +342,7 @@ def title(stem: Column) -> Column:
     return F.array_join(F.transform(letters, lambda c, i: F.when(~F.coalesce(F.get(letters, i - 1), F.lit(" ")).rlike(r"^\p{L}"), F.upper(c)).otherwise(c)), "")
 
 
-def citation_string(rows: DataFrame) -> Column:
+def citation_string() -> Column:
     """How a chunk is cited: page and lines, paragraphs, request, or stamps and else pages."""
     name = title(F.col("stem"))
     spans = F.transform(F.array_sort("ranges"), lambda r: F.concat(r["page"].cast("string"), F.lit(":"), r["first"].cast("string"), F.when(r["first"] != r["last"], F.concat(F.lit("-"), r["last"].cast("string"))).otherwise("")))
@@ -380,7 +380,7 @@ def _written(pieces: DataFrame) -> DataFrame:
     kind = F.when(F.col("family") == "transcript", "deposition").when(F.col("family") == "paragraph", "expert_report").when(F.col("family") == "discovery", F.col("doc_type")).otherwise("unknown")
     have = {
         "doc_id": F.col("doc_id"), "stem": F.col("stem"), "chunk_idx": F.col("chunk_idx"), "chunk_id": F.concat(F.col("stem"), F.lit("_chunk_"), T.pad_number(F.col("chunk_idx"), F.lit(4))), "core_text": text,
-        "pages": F.col("pages"), "citation": citation, "citation_string": citation_string(agreed), "key_quotes": F.array(), "tokens": F.floor(F.length(text) / CHARS_PER_TOKEN), "doc_type": kind,
+        "pages": F.col("pages"), "citation": citation, "citation_string": citation_string(), "key_quotes": F.array(), "tokens": F.floor(F.length(text) / CHARS_PER_TOKEN), "doc_type": kind,
         "source_path": F.nullif("source_path", F.lit("")),
     }
     schema = pieces.sparkSession.createDataFrame([], model.CHUNKS).schema

@@ -178,17 +178,11 @@ def paragraph_citations(rows: DataFrame) -> DataFrame:
     return _cited(kept, F.when(known, "paragraph").otherwise("page_only"), paragraph_number=F.col("paragraph"))
 
 
-def request_kind(label: Column) -> Column:
-    """rfp, rfa or rog by what a heading asks for."""
-    up = F.upper(label)
-    return F.when(up.contains("PRODUCTION"), "rfp").when(up.contains("ADMISSION"), "rfa").otherwise("rog")
-
-
 def discovery_citations(rows: DataFrame) -> DataFrame:
     """Every element has the kind and number of the last numbered request or response before it."""
     kept = rows.filter(~F.col("skip") & F.col("page_no").isNotNull())
     label, n = F.regexp_extract("text", REQUEST, 1), number(F.col("text"), REQUEST, 2)
-    kept = kept.withColumn("own", F.when(label != "", F.struct(request_kind(label).alias("kind"), n.alias("n")))).withColumn("now", F.last("own", ignorenulls=True).over(_so_far()))
+    kept = kept.withColumn("own", F.when(label != "", F.struct(T.request_kind(label).alias("kind"), n.alias("n")))).withColumn("now", F.last("own", ignorenulls=True).over(_so_far()))
     kind = F.when(F.col("now.n").isNotNull(), "discovery_request").otherwise("page_only")
     return _cited(kept, kind, discovery_request_kind=F.col("now.kind"), discovery_request_number=F.col("now.n"))
 

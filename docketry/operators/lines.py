@@ -49,15 +49,6 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", (F.col("pos") + 1).alias("para_no"), "paragraph")
 
 
-def page_spans(rows: DataFrame, by: str, order: str, page: str) -> DataFrame:
-    """Runs of one page: page, line_start, line_end; lines without a page part runs."""
-    w = Window.partitionBy(by).orderBy(order)
-    change = (~F.col(page).eqNullSafe(F.lag(page).over(w))).cast("int")
-    runs = rows.withColumn("run", F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.filter(F.col(page).isNotNull()).groupBy(by, "run", page).agg(F.min(order).alias("line_start"), F.max(order).alias("line_end"))
-    return spans.select(by, F.col(page).alias("page"), "line_start", "line_end")
-
-
 def transcript(turns: DataFrame) -> DataFrame:
     """Question and answer lines of conversations: user turns are Q, assistant turns A."""
     mark = F.when(F.col("role") == "user", "Q").when(F.col("role") == "assistant", "A")
@@ -72,13 +63,3 @@ def qa_markers(rows: DataFrame) -> DataFrame:
     form = r"^\s*(\d{1,2})\s+([QA])\.?\s+(.+)$"
     found = rows.filter(F.col("line").rlike(form))
     return found.select("doc_id", "line_no", F.regexp_extract("line", form, 1).cast("int").alias("number"), F.regexp_extract("line", form, 2).alias("mark"), F.regexp_extract("line", form, 3).alias("said"))
-
-
-def pagination_route(docs: DataFrame) -> DataFrame:
-    """How a text gets its pages: declared count against form-feed segments."""
-    declared = F.greatest(F.lit(1), F.floor((F.size(F.split("text", "\n")) - 1) / LINES_PER_PAGE) + 1)
-    segments = F.size(F.split("text", "\f"))
-    return docs.select(
-        "doc_id", declared.cast("int").alias("declared_pages"), segments.alias("segments"),
-        F.when(declared == 1, "single").when(segments == declared, "vendor-ff").when(segments > 1, "unpaged-mismatch").otherwise("unpaged-no-ocr").alias("route"),
-    )

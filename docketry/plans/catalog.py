@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry import model
-from docketry.operators import chunking, chunks, citations, cite, classify, enrich, folds, index, lines, marks, postprocess, report, retrieve, search, state
+from docketry.operators import chunking, chunks, citations, cite, classify, enrich, folds, index, lines, postprocess, report, retrieve, search, state
 from docketry.sources import loadfile, tables, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,11 +98,16 @@ def transcript_lines(spark, d):
     return lines.transcript(table(spark, d, "conversations"))
 
 
-@query("""WITH x AS (SELECT doc_id, ((len(string_split(text, chr(10))) - 1) // 25 + 1)::INTEGER AS declared_pages, len(string_split(text, chr(12)))::INTEGER AS segments FROM documents)
-SELECT *, CASE WHEN declared_pages = 1 THEN 'single' WHEN segments = declared_pages THEN 'vendor-ff' WHEN segments > 1 THEN 'unpaged-mismatch' ELSE 'unpaged-no-ocr' END AS route FROM x""")
+@query("""WITH x AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, (len(string_split(text, chr(10))) - 1) // 25 + 1 AS pages FROM documents),
+s AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN pages WHEN 1 THEN 1 ELSE n END AS segments FROM x),
+r AS (SELECT *, CASE WHEN pages = 1 THEN 'single' WHEN segments = pages THEN 'vendor-ff' WHEN segments > 1 THEN 'unpaged-mismatch' ELSE 'unpaged-no-ocr' END AS route FROM s)
+SELECT doc_id, pages::INTEGER AS n_pages, route, starts_with(route, 'unpaged') AS flagged, CASE WHEN route = 'vendor-ff' THEN pages ELSE 1 END::INTEGER AS kept FROM r""")
 def pagination_route(spark, d):
-    docs = table(spark, d, "documents")
-    return lines.pagination_route(docs)
+    """A third of the texts has a form feed behind each page of lines, a third behind each line, a third none."""
+    text = F.split("text", "\n", -1)
+    mark = lambda x, i: F.concat(F.when(i == 0, "").when(F.col("doc_id") % 3 == 2, "\f").when((F.col("doc_id") % 3 == 0) & (i % 25 == 0), "\f").otherwise("\n"), F.lit("x"), x)
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(text, mark), "").alias("content"), (F.floor((F.size(text) - 1) / 25) + 1).cast("int").alias("n_pages"), F.lit(0).alias("n_images"))
+    return loadfile.paginate(docs).select("doc_id", "n_pages", "route", "flagged", F.size(F.split("text", "\f", -1)).alias("kept"))
 
 
 _FOLD = """
@@ -143,8 +148,9 @@ c AS (SELECT *, CASE WHEN page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc
 r AS (SELECT *, sum(chg) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c)
 SELECT doc_id, page, min(line_no) AS line_start, max(line_no) AS line_end FROM r WHERE page IS NOT NULL GROUP BY doc_id, run, page""")
 def page_spans(spark, d):
-    rows = lines.paged(lines.lines(table(spark, d, "documents"))).withColumn("page", F.when(F.col("line_no") % 7 != 0, F.col("page")))
-    return lines.page_spans(rows, "doc_id", "line_no", "page")
+    pages = F.transform(F.split("text", "\n", -1), lambda x, i: F.when((i + 1) % 7 != 0, F.floor(i / 25) + 1).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", pages.alias("page_map"))
+    return rows.select("doc_id", F.inline(chunks.page_spans(F.col("page_map"))))
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber + l_partkey % 3 AS page FROM lineitem),
@@ -512,24 +518,43 @@ def page_ffill(spark, d):
     return lines.carry(rows, ["doc_id"], "line_no", "own", "page").select("doc_id", "line_no", F.coalesce("page", F.lit(-1)).alias("page"))
 
 
-@query(_LINES + """, m AS (SELECT doc_id, line_no, line, page, page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc_id ORDER BY line_no) AS turned FROM paged)
-SELECT doc_id, line_no, 0 AS part, CASE WHEN turned THEN '[PAGE:' || page || ']' ELSE line END AS line FROM m UNION ALL SELECT doc_id, line_no, 1, line FROM m WHERE turned""")
+@query(_LINES + """, m AS (SELECT doc_id, line_no, line, page, page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc_id ORDER BY line_no) AS turned FROM paged),
+e AS (SELECT doc_id, line_no, 0 AS part, page, CASE WHEN turned THEN '[PAGE:' || page || CASE WHEN page % 2 = 0 THEN ' | S' || page ELSE '' END || ']' ELSE line END AS line FROM m UNION ALL SELECT doc_id, line_no, 1, page, line FROM m WHERE turned)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1)::INTEGER AS pos, page, line FROM e""")
 def page_markers(spark, d):
-    return marks.page_marks(lines.paged(lines.lines(table(spark, d, "documents"))))
+    """Pages of 25 lines, every other one with a stamp."""
+    text = F.split("text", "\n", -1)
+    pages = F.transform(text, lambda x, i: (F.floor(i / 25) + 1).cast("int"))
+    stamps = F.transform(text, lambda x, i: F.when(F.floor(i / 25) % 2 == 1, F.concat(F.lit("S"), (F.floor(i / 25) + 1).cast("string"))))
+    rows = table(spark, d, "documents").select("doc_id", F.lit("generic").alias("family"), text.alias("text_lines"), pages.alias("page_map"), stamps.alias("bates_map"))
+    return chunks.with_page_marks(rows).select("doc_id", F.posexplode(F.arrays_zip("page_map", "text_lines")).alias("pos", "x")).select("doc_id", "pos", F.col("x.page_map").alias("page"), F.col("x.text_lines").alias("line"))
 
 
-@query("SELECT doc_id, concat_ws(chr(10), '# ' || doc_id, CASE WHEN source <> '' THEN 'Source: ' || source END, CASE WHEN lang <> '' THEN 'Language: ' || lang END, CASE WHEN n_chars IS NOT NULL THEN 'Characters: ' || n_chars END) AS header FROM documents")
+@query("""SELECT doc_id, concat_ws(chr(10), '# D' || doc_id, '', '**Bates range:** D' || doc_id || ' – D' || n_chars, CASE WHEN source <> '' THEN '**Original filename:** ' || source END, CASE WHEN doc_id % 2 = 0 THEN '**Custodian:** ' || lang END,
+  CASE WHEN doc_id % 5 <> 0 THEN '**Date:** ' || CASE WHEN doc_id % 3 = 0 THEN 'sent' WHEN doc_id % 3 = 1 THEN 'made' ELSE 'changed' END END, CASE WHEN doc_id % 7 = 0 THEN '**Cc:** all' END) AS header FROM documents""")
 def header_block(spark, d):
-    fields = {"Source": F.col("source"), "Language": F.col("lang"), "Characters": F.col("n_chars")}
-    return table(spark, d, "documents").select("doc_id", marks.header_block(F.col("doc_id").cast("string"), fields).alias("header"))
-
-
-@query("""WITH b AS (SELECT l_orderkey, 'L' || lpad(l_suppkey::VARCHAR, 6, '0') AS s FROM lineitem)
-SELECT l_orderkey, 'Order ' || l_orderkey || ', ' || min(s) || CASE WHEN min(s) <> max(s) THEN '-' || max(s) ELSE '' END AS citation FROM b GROUP BY l_orderkey""")
+    """Documents as records of a load file."""
+    i, blank = F.col("doc_id"), F.lit("")
+    dated = lambda n, word: F.when((i % 5 != 0) & (i % 3 == n), word).otherwise(blank)
+    have = {
+        "beg_bates": F.concat(F.lit("D"), i.cast("string")), "end_bates": F.concat(F.lit("D"), F.col("n_chars").cast("string")), "file_name": F.coalesce("source", blank), "custodian": F.when(i % 2 == 0, F.col("lang")).otherwise(blank),
+        "date_sent": dated(0, "sent"), "date_created": dated(1, "made"), "date_last_mod": dated(2, "changed"), "cc": F.when(i % 7 == 0, "all").otherwise(blank),
+    }
+    rows = table(spark, d, "documents").select("doc_id", *[have.get(c, blank).alias(c) for c in loadfile.ALIASES])
+    return rows.select("doc_id", loadfile.heading().alias("header"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, 'L' || lpad(l_suppkey::VARCHAR, 6, '0') AS s, l_linenumber FROM lineitem)
+SELECT l_orderkey, 'Order ' || l_orderkey || CASE WHEN l_orderkey % 2 = 0 THEN ' at ' || min(s) || CASE WHEN min(s) <> max(s) THEN '-' || max(s) ELSE '' END ELSE ', p. 5' END AS citation FROM b GROUP BY l_orderkey""")
 def citation_string(spark, d):
+    """Orders cited by the stamps of their items, every other one by a page."""
     stamp = F.concat(F.lit("L"), T.pad_number(F.col("l_suppkey"), F.lit(6)))
-    grouped = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(stamp).alias("stamps"))
-    return grouped.select("l_orderkey", marks.citation_string(F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")), F.col("stamps"), F.array().cast("array<int>")).alias("citation"))
+    even = F.col("l_orderkey") % 2 == 0
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(stamp).alias("s")).select(
+        "l_orderkey", F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("stem"), F.lit("generic").alias("family"), F.when(even, F.col("s")).otherwise(F.array().cast("array<string>")).alias("stamps"), F.array(F.lit(5)).alias("pages"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("ranges", "array<struct<page:int,first:int,last:int>>"), ("paragraphs", "array<bigint>"), ("request_kind", "string"), ("request_number", "bigint"), ("part", "int"), ("part_total", "int"))],
+    )
+    return rows.select("l_orderkey", chunks.citation_string().alias("citation"))
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber AS page FROM lineitem), n AS (SELECT l_orderkey, max(page) AS last FROM p GROUP BY l_orderkey)

@@ -171,7 +171,7 @@ def paginate(docs: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
     return joined.select(*docs.columns, text.alias("text"), "route", flagged.alias("flagged"), reason.alias("reason"))
 
 
-def heading(r: Column | None = None) -> Column:
+def heading() -> Column:
     """The lines that stand above a record's text: title, stamps, and a line for each field that has a value."""
     date = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("date_sent", "date_created", "date_last_mod")])
     value = lambda c: date if c == "date" else F.nullif(F.col(c), F.lit(""))

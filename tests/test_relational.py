@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry.operators import chunking, enrich, folds, lines, marks, search, state
+from docketry.operators import chunking, chunks, enrich, folds, search, state
 from docketry.plans import catalog
 from docketry.sources import loadfile
 
@@ -58,9 +58,16 @@ def test_box_lines(spark, edge, line):
 
 @pytest.mark.parametrize("pages,spans", [([1, 1, 1], [(1, 1, 3)]), ([1, None, 2], [(1, 1, 1), (2, 3, 3)]), ([1, 1, 6, 6, 1], [(1, 1, 2), (6, 3, 4), (1, 5, 5)]), ([None, 5], [(5, 2, 2)])])
 def test_page_spans(spark, pages, spans):
-    df = spark.createDataFrame([(0, i + 1, p) for i, p in enumerate(pages)], "d int, n int, page int")
-    got = lines.page_spans(df, "d", "n", "page").orderBy("line_start").collect()
-    assert [(r.page, r.line_start, r.line_end) for r in got] == spans
+    got = spark.createDataFrame([(pages,)], "p array<int>").select(F.inline(chunks.page_spans(F.col("p")))).collect()
+    assert [tuple(r) for r in got] == spans
+
+
+@pytest.mark.parametrize("pages,text", [([5, 6], ["[PAGE:5]", "a", "[PAGE:6]", "b"]), ([None, None, 3], ["a", "b", "[PAGE:3]", "c"]), ([7, 7, 7], ["[PAGE:7]", "a", "b", "c"]), ([1], ["a", "b"])])
+def test_page_marks(spark, pages, text):
+    lines_of = [x for x in text if not x.startswith("[")]
+    rows = spark.createDataFrame([("generic", lines_of, pages, [None] * len(pages))], "family string, text_lines array<string>, page_map array<int>, bates_map array<string>")
+    got = chunks.with_page_marks(rows).first()
+    assert got.text_lines == text and (len(got.page_map) == len(text) or len(pages) == 1)
 
 
 def chunk_loop(text, target, overlap=5):
@@ -158,11 +165,6 @@ def test_the_longest_rising_run():
     assert len(folds.rising(list(range(50_000)))) == 50_000
 
 
-def test_marks(spark):
-    rows = spark.createDataFrame([(1, i, p, "x") for i, p in enumerate([None, 5, None, 5, 6])], "doc_id long, line_no int, page int, line string")
-    assert [r.line for r in marks.page_marks(rows).orderBy("line_no", "part").collect()] == ["x", "[PAGE:5]", "x", "x", "x", "[PAGE:6]", "x"]
-
-
 def test_candidates_below_k_can_be_lifted(spark):
     query = "red fox jumps high today"
     texts = [(i, "red fox jumps high " * 3 + f"w{i}") for i in range(15)] + [(99, "red fox jumps with more filler a quiet exact phrase")]
