@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import encoder, without_collector
 
 SEQUENCE = 1024
 #: Tokens dealt in one round over all sources: the window whose mixture is controlled.
@@ -59,10 +59,11 @@ def _tokenize(path: str, end_id: int):
         ids_of = encoder(path).ids
         for batch in batches:
             n, packed = [], []
-            for text in (t.as_py() for t in batch.column("text")):
-                ids = (ids_of(text) if text else b"") + end
-                n.append(len(ids) // 4)
-                packed.append(pack_ids(ids))
+            with without_collector():
+                for text in (t.as_py() for t in batch.column("text")):
+                    ids = (ids_of(text) if text else b"") + end
+                    n.append(len(ids) // 4)
+                    packed.append(pack_ids(ids))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_key"), batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
                 ["_key", "doc_id", "source", "n_tokens", "ids"],

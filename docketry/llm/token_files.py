@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import encoder, without_collector
 
 BLOCK = 128
 #: The width of a block holds this share of its ids; the others are exceptions.
@@ -161,7 +161,8 @@ def _write(path: str, end_id: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True):
-                parts.append((ids_of(text) if text else b"") + end)
+                with without_collector():
+                    parts.append((ids_of(text) if text else b"") + end)
                 doc_ids.append(doc_id)
                 held += len(parts[-1]) // 4
                 if held >= IMAGE_TOKENS:
