@@ -203,12 +203,14 @@ def test_toxicity_learns_held_out_rows(spark, none):
         if i % 10:
             labels.append((i, 1, int(toxic)))
     labels += [(None, 1, 1), (3, 1, None), (99999, 1, 1), (7, 1, int(7 % 6 == 0))]
-    rows += [(None, "vile awful", "a"), (2000, None, "a"), (2001, "", "a")]
+    rows += [(None, "vile awful", "a"), (2000, None, "a"), (2001, "", "a"), (2002, "vile awful", "a"), (2002, "w1 w2", "a"), (2002, "w1 w2", "a")]
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     scored = {r.doc_id: r.score for r in toxicity.score_documents(frame(spark, rows), marks).collect()}
     held = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(scored[i] >= 0.5) == (i % 6 == 0) for i in held]) > 0.97
     assert scored[2000] == scored[2001] < 0.5 <= scored[None]
+    thrice = sorted(r.score >= 0.5 for r in toxicity.score_documents(frame(spark, rows), marks).filter("doc_id = 2002").collect())
+    assert thrice == [False, False, True] and toxicity.without_toxic(frame(spark, rows), marks).filter("doc_id = 2002").count() == 2
     assert toxicity.without_toxic(frame(spark, rows), marks).columns == frame(spark, rows).columns
     assert toxicity.score_documents(none, marks).count() == 0
     assert toxicity.score_documents(frame(spark, rows[:3]), marks.limit(0)).count() == 3
@@ -389,6 +391,14 @@ def test_media_general_scans_against_an_encoder(seed):
     assert tensor[y, x, 0] == np.clip(np.rint(np.float32(parts[0]) + np.float32(1.402) * np.float32(parts[2] - 128)), 0, 255)
 
 
+def test_media_of_many_blocks_stays_within_the_format(monkeypatch):
+    monkeypatch.setattr(media, "ROW_BLOCKS", 2)
+    monkeypatch.setattr(media, "MOST_ROWS", 3)
+    data = bytes(range(256)) * 5
+    image = media.decode(media.write_payload(data))
+    assert (image.width, image.height) == (56, 24) and media.read_payload(image) == data
+
+
 def test_media_that_is_corrupt_says_so(spark, tmp_path):
     good = media.write_payload(media.payload("some text " * 40)[0])
     cut = [good[:n] for n in range(0, len(good) - 1, 37)]
@@ -690,6 +700,13 @@ def test_formats_find_credentials_that_no_pattern_holds(spark):
     assert all(got[i].spans == "" and got[i].best_score is None for i in plain) and all(got[i].best_score < 0 for i in planted if got[i].n_format)
     formats = secrets.learn(frame(spark, rows))
     assert len(formats) == 1 and len(formats[0].automaton.kept) > 10
+    texts = {i: t for i, t, _ in rows}
+    clean = {r.doc_id: r.text for r in secrets.without_secrets(frame(spark, rows)).collect()}
+    for i, span in planted.items():
+        if got[i].spans == span:
+            _, a, b = span.split(":")
+            assert clean[i] == texts[i][: int(a)] + secrets.REDACTED + texts[i][int(b):]
+    assert all(clean[i] == texts[i] for i in plain)
 
 
 def test_format_candidates_are_runs_and_their_parts():
