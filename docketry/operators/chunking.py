@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.operators import chunks
@@ -15,9 +15,9 @@ def cut_lines(docs: DataFrame, family: str = "generic", opens: str = chunks.PARA
     """
     split = docs.filter("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("lines"))
     kinds = F.transform("lines", lambda x: F.when(F.trim(x) == "", chunks.BLANK).when(x.rlike(opens), chunks.OPENS).otherwise(0))
-    found = split.select("doc_id", "lines", F.explode(chunks.cuts(target, most, overlap)(F.lit(family), F.transform("lines", F.length), kinds)).alias("c"))
-    number: Column = F.row_number().over(Window.partitionBy("doc_id").orderBy("c.a", "c.b")) - 1
-    return found.select("doc_id", number.alias("chunk_idx"), (F.col("c.a") + 1).alias("line_start"), F.col("c.b").alias("line_end"), F.array_join(F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), "\n").alias("core_text"))
+    found = split.withColumn("cuts", chunks.cuts(target, most, overlap)(F.lit(family), F.transform("lines", F.length), kinds))
+    dealt = F.transform("cuts", lambda c: F.struct((c["a"] + 1).alias("line_start"), c["b"].alias("line_end"), F.array_join(F.slice(F.col("lines"), c["a"] + 1, c["b"] - c["a"]), "\n").alias("core_text")))
+    return found.select("doc_id", F.posexplode(dealt).alias("chunk_idx", "x")).select("doc_id", "chunk_idx", "x.*")
 
 
 def generic_chunks(docs: DataFrame, target: int = chunks.TARGET_TOKENS) -> DataFrame:

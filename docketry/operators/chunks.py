@@ -157,10 +157,11 @@ def _pieces(rows: DataFrame, target: int, most: int, overlap: int) -> DataFrame:
     request = lambda e: stripped(e).rlike(cite.REQUEST) & ~stripped(e).rlike(RESPONSE)
     opens = lambda e: F.when(F.col("family") == "discovery", request(e)).otherwise(e["line"].rlike(PARAGRAPH))
     kinds = F.transform("entries", lambda e: F.when(stripped(e) == "", BLANK).when(opens(e), OPENS).otherwise(0))
-    cut = rows.withColumn("cut", F.explode(cuts(target, most, overlap)(F.col("family"), F.transform("entries", lambda e: F.length(line(e))), kinds)))
-    a, repeated = F.col("cut.a"), F.col("cut.repeated")
-    heading = F.get("entries", F.col("cut.head"))["line"]
-    cut = cut.withColumn("own", F.slice("entries", a + 1, F.col("cut.b") - a))
+    found = rows.withColumn("cuts", cuts(target, most, overlap)(F.col("family"), F.transform("entries", lambda e: F.length(line(e))), kinds))
+    # lines are dealt to chunks before these become rows: no row holds a whole document beside its chunk
+    dealt = F.transform("cuts", lambda c: F.struct(c.alias("cut"), F.slice(F.col("entries"), c["a"] + 1, c["b"] - c["a"]).alias("own"), F.get(F.col("entries"), c["head"])["line"].alias("heading")))
+    cut = found.select("doc_id", "stem", "doc_type", "family", "source_path", F.posexplode(dealt).alias("chunk_idx", "x")).select("*", "x.*")
+    a, repeated, heading = F.col("cut.a"), F.col("cut.repeated"), F.col("heading")
     lead = lambda value, kind: F.when(repeated, F.array(value.cast(kind))).otherwise(F.array().cast(f"array<{kind}>"))
     pages = F.concat(lead(F.lit(None), "int"), F.transform("own", lambda e: F.when(e["page_at"] >= a, e["known_page"]).cast("int")))
     stamps = F.concat(lead(F.lit(None), "string"), F.transform("own", lambda e: F.when(e["bates_at"] >= a, e["known_bates"])))
@@ -178,8 +179,7 @@ def _pieces(rows: DataFrame, target: int, most: int, overlap: int) -> DataFrame:
         "request_number": cite.number(T.strip(heading), cite.REQUEST, 2), "part": F.col("cut.part"), "part_total": F.col("cut.part_total"),
     }
     types = dict(c.strip().split(" ") for c in _PIECE.split(", "))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("cut.a", "cut.b")) - 1
-    return cut.select("doc_id", "stem", "doc_type", "family", "source_path", order.alias("chunk_idx"), *[c.cast(types[n]).alias(n) for n, c in made.items()])
+    return cut.select("doc_id", "stem", "doc_type", "family", "source_path", "chunk_idx", *[c.cast(types[n]).alias(n) for n, c in made.items()])
 
 
 # Transcripts. Which page a line is on depends on where the last chunk ended, so a document is one fold.

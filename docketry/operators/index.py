@@ -66,12 +66,13 @@ def build(texts: DataFrame, path: str, key: str = "doc_id", max_features: int |
     if max_features is not None:
         known = known.orderBy(F.col("occurrences").desc(), "term").limit(max_features)
     known = known.withColumn("idf", F.log((1.0 + n) / (1 + F.col("df"))) + 1).withColumn("part", _part(F.col("term"), parts))
-    tables.write(known.repartition("part").sortWithinPartitions("part", "term"), f"{path}/terms", ["part"])
+    tables.write(known.hint("rebalance", "part").sortWithinPartitions("part", "term"), f"{path}/terms", ["part"])
     idf = tables.read(spark, f"{path}/terms").select("term", "idf")
     weighed = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     placed = weighed.select("term", key, (F.col("w") / norm).alias("w"), _part(F.col("term"), parts).alias("part"))
-    tables.write(placed.repartition("part", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("part", "term"), f"{path}/postings", ["part"])
+    # a term that many texts have is more than a task's share: parts are split and joined by size
+    tables.write(placed.hint("rebalance", "part").sortWithinPartitions("part", "term"), f"{path}/postings", ["part"])
     meta = spark.range(1).select(F.lit(n).alias("n"), F.lit(parts).alias("parts"), F.lit(key).alias("key"), F.array(*map(F.lit, stop_words)).cast("array<string>").alias("stop_words"), F.current_timestamp().alias("built_at"))
     tables.write(meta, f"{path}/meta")
     tables.drop(spark, f"{path}/counts")
