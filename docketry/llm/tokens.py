@@ -12,8 +12,8 @@ import numpy as np
 
 from . import common
 
-#: Pieces of a generation of the cache; it keeps two, about 45 MB each. What is used goes to the younger.
-CACHE_PIECES = 300_000
+#: Pieces of a generation of the cache; it keeps two, about 80 MB each. What is used goes to the younger.
+CACHE_PIECES = 550_000
 #: Longer pieces are encoded and not remembered.
 LONG_PIECE = 40
 
