@@ -34,11 +34,14 @@ def terms(words: Column) -> Column:
 
 def term_counts(texts: DataFrame, key: str = "doc_id", stop_words: Sequence[str] = search.STOP_WORDS) -> DataFrame:
     """key, term, tf. Terms are sorted in their own row and runs are measured, so nothing is shuffled."""
-    sorted_terms = texts.select(key, words(F.col("text"), stop_words).alias("w")).select(key, F.array_sort(terms(F.col("w"))).alias("t")).filter("size(t) > 0")
-    begins = F.filter(F.transform("t", lambda x, i: F.when(~x.eqNullSafe(F.get("t", i - 1)), i)), lambda i: i.isNotNull())
-    runs = sorted_terms.select(key, "t", F.concat(begins, F.array(F.size("t"))).alias("at"))
-    counted = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at")), lambda a, b: F.struct(F.get("t", a).alias("term"), (b - a).alias("tf")))
-    return runs.select(key, F.inline(counted))
+    sorted_terms = texts.select(key, words(F.col("text"), stop_words).alias("w")).select(key, F.array_sort(terms(F.col("w"))).alias("t"))
+    # no filter on sizes: the optimizer would work everything out twice, once below any shuffle
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
+    # where a run of equal terms begins; columns are kept out of the lambdas, where they would be worked out for each element
+    begins = F.filter(F.transform(F.zip_with("t", before, lambda a, b: a.isNull() | a.eqNullSafe(b)), lambda same, i: F.when(~same, i)), lambda i: i.isNotNull())
+    runs = sorted_terms.select(key, F.array_distinct("t").alias("term"), F.concat(begins, F.array(F.size("t"))).alias("at"))
+    lengths = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at")), lambda a, b: b - a)
+    return runs.select(key, F.inline(F.arrays_zip("term", lengths.alias("tf"))))
 
 
 def _part(term: Column, parts: int) -> Column:
