@@ -99,26 +99,38 @@ def train() -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
     Every fourth row is kept back to fit the temperature that the logits are divided by.
     """
     rows, classes, families = _examples()
-    back = [i % 4 == 3 for i in range(len(rows))]
+    back = np.arange(len(rows)) % 4 == 3
     grams = sorted(set().union(*(r for r, b in zip(rows, back, strict=True) if not b)))
     number = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(rows), len(grams)))
-    for i, r in enumerate(rows):
-        x[i, [number[g] for g in r if g in number]] = 1
     y = np.eye(len(families))[classes]
-    fit, held = np.flatnonzero(~np.array(back)), np.flatnonzero(back)
     w, b = np.zeros((len(grams), len(families))), np.zeros(len(families))
-    scale = RATE / (x.sum(axis=1).mean() + 1)
+
+    def sparse(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, gram) of the ones of the rows' matrix."""
+        pairs = [(n, number[g]) for n, i in enumerate(which) for g in sorted(rows[i]) if g in number]
+        return np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+
+    def summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Rows of values added up by their places; places ascend."""
+        out = np.zeros((n, values.shape[1]))
+        begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        out[at[begin]] = np.add.reduceat(values, begin, axis=0)
+        return out
 
     def probabilities(logits):
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    fit, held = np.flatnonzero(~back), np.flatnonzero(back)
+    row, gram = sparse(fit)
+    by_gram = np.argsort(gram, kind="stable")
+    scale = RATE / (len(row) / len(fit) + 1)
     for _ in range(STEPS):
-        error = (probabilities(x[fit] @ w + b) - y[fit]) / len(fit)
-        w -= scale * (x[fit].T @ error * 10 + RIDGE * w)
+        error = (probabilities(summed(w[gram], row, len(fit)) + b) - y[fit]) / len(fit)
+        w -= scale * (summed(error[row[by_gram]], gram[by_gram], len(grams)) * 10 + RIDGE * w)
         b -= scale * error.sum(axis=0)
-    logits = x[held] @ w + b
+    row, gram = sparse(held)
+    logits = summed(w[gram], row, len(held)) + b
     heat = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(probabilities(logits / t)[y[held] > 0] + 1e-12).mean())
     return families, grams, w / heat, b / heat
 
