@@ -1,4 +1,4 @@
-"""Keyword index (sublinear tf, smoothed idf, cosine), vector search, fusion, boosts."""
+"""What searches share: words, depths of candidate lists, vector search, fusion, boosts."""
 
 from __future__ import annotations
 
@@ -19,46 +19,6 @@ PHRASE_WORDS, PHRASE_FACTOR = 4, 5
 PHRASE_FETCH, RERANK_FETCH, LIST_FETCH = 50, 3, 2
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, token without stop words, positions closed up."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    return docs.select("doc_id", F.posexplode(words).alias("pos", "token"))
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf of words and word pairs."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    listed = docs.select("doc_id", words.alias("w"))
-    pairs = F.transform(F.slice("w", 2, F.size("w")), lambda x, i: F.concat(F.element_at("w", i + 1), F.lit(" "), x))
-    both = listed.select("doc_id", F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
-    return both.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def keyword_search(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """doc_id, score, rank of the k best documents by cosine, ties to the smaller id.
-
-    Only the query's terms are weighed by document; norms need every term's weight once.
-    """
-    counts = term_counts(docs)
-    n = docs.select(F.count(F.lit(1)).alias("n"))
-    idf = document_frequency(counts).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = counts.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    spark = docs.sparkSession
-    asked = term_counts(spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.lit(query).alias("text"))).select("term", F.col("tf").alias("q_tf"))
-    scored = weights.join(F.broadcast(asked), "term", "left").groupBy("doc_id").agg(
-        F.sum(F.col("w") * F.col("w")).alias("norm2"),
-        F.sum(F.when(F.col("q_tf").isNotNull(), F.col("w") * (1 + F.log("q_tf")) * F.col("idf"))).alias("dot"),
-    ).filter("dot > 0")
-    q_norm = asked.join(idf, "term").agg(F.sqrt(F.sum(F.pow((1 + F.log("q_tf")) * F.col("idf"), 2))).alias("q_norm"))
-    cosine = scored.join(F.broadcast(q_norm)).select("doc_id", F.round(F.col("dot") / F.sqrt("norm2") / F.col("q_norm"), 6).alias("score"))
-    best = cosine.orderBy(F.col("score").desc(), "doc_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")))
-
-
 def vector_search(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     """vec_id, score = 1 / (1 + squared distance) of the k nearest to the one query row."""
     one = query.select(F.col("embedding").cast("array<double>").alias("q")).limit(1)
@@ -100,17 +60,3 @@ def fetch_k(query: str, k: int, rerank: bool = False) -> int:
     """Candidates to fetch for k results, so that boosts and reranking can lift what stands below k."""
     wanted = k * RERANK_FETCH if rerank else k
     return max(wanted, PHRASE_FETCH) if len(query.split()) >= PHRASE_WORDS else wanted
-
-
-def phrase_search(docs: DataFrame, query: str, phrase: str, k: int = 10) -> DataFrame:
-    """The k best of the boosted candidates."""
-    depth = max(fetch_k(query, k), fetch_k(phrase, k))
-    found = keyword_search(docs, query, depth).join(docs.select("doc_id", "text"), "doc_id")
-    return phrase_boost(found, phrase).filter(F.col("rank") <= k)
-
-
-def hybrid_search(docs: DataFrame, query: str, vectors: DataFrame, one: DataFrame, k: int = 10) -> DataFrame:
-    """The k best of the fused lists."""
-    depth = fetch_k(query, k) * LIST_FETCH
-    semantic = vector_search(vectors, one, depth).withColumnRenamed("vec_id", "doc_id")
-    return fuse(keyword_search(docs, query, depth), semantic, "doc_id").filter(F.col("rank") <= k)

@@ -161,3 +161,23 @@ def test_documents_are_removed(spark, built, chunks, tmp_path):
     assert index.remove(spark, path, "alpha") == 2 and index.remove(spark, path, "alpha") == 0
     assert {r.stem for r in index.existing(spark, f"{path}/vectors").collect()} == {"beta"}
     assert index.KeywordIndex(spark, f"{path}/keyword").search("red wheel").count() == 0
+
+
+def test_candidates_below_k_can_be_lifted(spark, tmp_path):
+    """A phrase is fetched fifty deep, reranking three times k, either list of a fusion twice that; lists are trimmed last."""
+    query = "red fox jumps high today"
+    texts = [(f"d{i:02d}_chunk_0000", f"d{i:02d}", "red fox jumps high " * 3 + f"w{i}") for i in range(15)] + [("z_chunk_0000", "z", "today a Red  fox jumps\nhigh today")]
+    empty = spark.createDataFrame([], model.CHUNKS)
+    made = empty.unionByName(spark.createDataFrame(texts, "chunk_id string, stem string, core_text string"), allowMissingColumns=True)
+    path = str(tmp_path)
+    index.build(made.select("chunk_id", F.col("core_text").alias("text")), f"{path}/keyword", "chunk_id")
+    index.update_vectors(made.select("chunk_id", "stem"), f"{path}/vectors", lambda df: df.withColumn("embedding", F.array(F.length("chunk_id").cast("double"))))
+    plain = {r.chunk_id: r["rank"] for r in index.KeywordIndex(spark, f"{path}/keyword").search(query, 50).collect()}
+    assert len(plain) == 16
+    opened = retrieve.Retriever(spark, path, made, lambda q: [12.0])
+    for mode in ("bm25", "hybrid"):
+        got = opened.search(query, 3, mode).orderBy("rank").collect()
+        assert got[0].chunk_id == "z_chunk_0000" and len(got) == 3
+    lifted = retrieve.Retriever(spark, path, made, None, lambda q, text: text.contains("w14").cast("double"))
+    assert plain["d14_chunk_0000"] > 6 and lifted.search("red fox", 6, "bm25", rerank=True, rerank_top_k=1).first().chunk_id == "d14_chunk_0000"
+    assert (search.fetch_k("two words", 10), search.fetch_k("two words", 10, True), search.fetch_k(query, 10), search.fetch_k(query, 20, True)) == (10, 30, 50, 60)

@@ -165,21 +165,6 @@ def test_the_longest_rising_run():
     assert len(folds.rising(list(range(50_000)))) == 50_000
 
 
-def test_candidates_below_k_can_be_lifted(spark):
-    query = "red fox jumps high today"
-    texts = [(i, "red fox jumps high " * 3 + f"w{i}") for i in range(15)] + [(99, "red fox jumps with more filler a quiet exact phrase")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    plain = {r.doc_id: r["rank"] for r in search.keyword_search(docs, query, 50).collect()}
-    assert plain[99] > 10
-    found = {r.doc_id: r.score for r in search.phrase_search(docs, query, "a quiet exact phrase", 10).collect()}
-    whole = {r.doc_id: r.score for r in search.phrase_boost(search.keyword_search(docs, query, 50).join(docs, "doc_id"), "a quiet exact phrase").filter("rank <= 10").collect()}
-    assert found == whole and len(found) == 10 and 99 in found
-    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(15)] + [(99, [14.5])], "vec_id long, embedding array<double>")
-    fused = {r.doc_id: r.score for r in search.hybrid_search(docs, query, vectors, vectors.filter("vec_id = 0")).collect()}
-    assert len(fused) == 10 and fused[0] == round(1 / (60 + plain[0]) + 1 / 61, 6) and all(s > 1 / 61 for s in fused.values())
-    assert (search.fetch_k("two words", 10), search.fetch_k("two words", 10, True), search.fetch_k(query, 10), search.fetch_k(query, 20, True)) == (10, 30, 50, 60)
-
-
 def test_wide_gaps_are_refined_or_marked(spark):
     common = ["alpha beta gamma", "delta epsilon zeta", "beta gamma alpha", "zeta delta omega"]
     # Boilerplate that repeats has no anchor; the only ones are the first word and the last.
