@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry import model
+from docketry import model, workers
 from docketry.operators import chunking, chunks, citations, cite, classify, enrich, folds, index, lines, postprocess, report, retrieve, search, state
 from docketry.sources import loadfile, tables, transcripts
 
@@ -22,8 +22,6 @@ lines AS (SELECT doc_id, unnest(range(1, len(s) + 1))::INTEGER AS line_no, unnes
 paged AS (SELECT *, ((line_no - 1) // 25 + 1)::INTEGER AS page FROM lines)
 """
 QUERY_TEXT = "of the antion thening onre that"
-#: Where the stored indexes of a session lie if it names no shared folder.
-INDEX_FOLDER = "/tmp/checkpoints/docketry"
 
 
 def query(sql: str | None = None):
@@ -180,8 +178,7 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term)
 
 def _index(spark: SparkSession, d: str, again: bool = False) -> str:
     """The path of this session's index of the documents in d, built if need be."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or INDEX_FOLDER).rstrip("/")
-    path = f"{folder}/index-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()[:12]}"
+    path = f"{workers.shared_folder(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()[:12]}"
     if again or not index.available(spark, path):
         index.build(table(spark, d, "documents").select("doc_id", "text"), path)
     return path
@@ -730,8 +727,7 @@ def align_pages(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to chunks to ranked hits with pages: marked texts are chunked with citations, and a phrase is searched in them."""
     docs = table(spark, sf_dir, "documents")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or INDEX_FOLDER).rstrip("/")
-    path = f"{folder}/flagship-{spark.sparkContext.applicationId}"
+    path = f"{workers.shared_folder(spark)}/flagship-{spark.sparkContext.applicationId}"
     tables.write(chunks.chunk(_corpus(_marked(docs, 1), "unknown"), _by_page(docs)), f"{path}/chunks")
     made = tables.read(spark, f"{path}/chunks")
     index.build(made.select("chunk_id", F.col("core_text").alias("text")), f"{path}/keyword", "chunk_id")
