@@ -94,17 +94,18 @@ def filename_signal(rows: DataFrame, key: str = "doc_id", name: str = "file_name
 
 def content_signal(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Keywords found, over at least three or four tenths of the type's list, at most 1."""
-    up = F.upper("text")
-    hits = lambda words: reduce(lambda a, b: a + b, (up.contains(w).cast("int") for w in words))
+    rows = rows.select(key, F.upper("text").alias("_up"))  # once for all keywords
+    hits = lambda words: reduce(lambda a, b: a + b, (F.col("_up").contains(w).cast("int") for w in words))
     return _scores(rows, key, {t: F.least(F.lit(1.0), hits(words) / max(3.0, 0.4 * len(words))) for t, words in KEYWORDS.items()})
 
 
 def line_counts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pages, answers and the number of lines of each shape; mail headers count in the first lines only."""
-    lines = F.split("text", "\n", -1)
+    rows = rows.select(key, "n_pages", F.upper("text").alias("_up"), F.split("text", "\n", -1).alias("_lines"))
+    lines = F.col("_lines")
     shaped = lambda p: lambda x: x.rlike(p)
     counted = {n: F.size(F.filter(F.slice(lines, 1, MAIL_LINES) if n == "mail_headers" else lines, shaped(p))) for n, p in LINE_SHAPES.items()}
-    answers = reduce(lambda a, b: a | b, (F.upper("text").contains(a) for a in ANSWERS))
+    answers = reduce(lambda a, b: a | b, (F.col("_up").contains(a) for a in ANSWERS))
     return rows.select(key, F.greatest(F.col("n_pages"), F.lit(1)).alias("pages"), answers.alias("answers"), *[c.alias(n) for n, c in counted.items()])
 
 
