@@ -14,8 +14,10 @@ from . import common
 K = 5
 SCALE = 256
 EVERY = 50
-#: Rows of a shard, and queries of a block, on average; both bound a task's memory.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Rows of a shard at most, and queries of a block on average, or fewer so as to have so many values; all bound a task's memory.
+SHARD_ROWS, BLOCK_QUERIES, PACKET_VALUES = 8192, 4096, 1 << 22
+#: Parts of the vectors at most. A query has k rows of each part to be merged, whatever the number of shards.
+PARTS = 32
 #: Rows of a posting block, which has bounds of its own.
 POSTING_BLOCK = 4096
 #: Postings of each end of a dimension that are kept by impact, and dimensions that a query begins with.
@@ -73,8 +75,8 @@ class Best:
             self.threshold = self.scores[-1]
 
 
-def maxscore(w: np.ndarray, own: int, shard: Postings, k: int) -> Best:
-    """The k best rows of a shard for one query, its own row aside.
+def maxscore(w: np.ndarray, own: int, shard: Postings, k: int, best: Best | None = None) -> Best:
+    """The k best rows of a shard, and of those in best if that is given, for one query, its own row aside.
 
     Rows that are outermost in the query's widest terms are scored first, for a threshold. Blocks
     follow by their bounds until none can reach it. In a block the essential terms are those
@@ -83,7 +85,7 @@ def maxscore(w: np.ndarray, own: int, shard: Postings, k: int) -> Best:
     other terms are probed one by one, the widest first, for the rows that could still reach the
     threshold. Scores that reach it raise it. Rows that only equal it are kept, for ties.
     """
-    best = Best(k)
+    best = best or Best(k)
     upper = np.maximum(w * shard.top, w * shard.bottom)
     spread = upper - np.minimum(w * shard.top, w * shard.bottom)
     terms = np.argsort(-spread, kind="stable")
@@ -122,34 +124,56 @@ def maxscore(w: np.ndarray, own: int, shard: Postings, k: int) -> Best:
     return best
 
 
-def search_shard(queries, vectors, k: int = K):
-    """(query row, query id, vector id, score, exact) of every query's k best in this shard.
+class Block:
+    """Queries, and the k best rows for each of them in the shards that the block has met.
 
-    queries and vectors are (ids, rows, matrix). All sums are of integers below 2 ** 53 and so are
-    exact in doubles; where they may be larger all rows are scored in Python's integers, and exact
-    has what is beyond the ends of 64 bits, in an order of strings.
+    All sums are of integers below 2 ** 53 and so are exact in doubles; where they may be larger
+    all rows of a shard are scored in Python's integers, and ``large`` has the best of these shards.
     """
-    (qid, qrow, q), (vid, vrow, v) = queries, vectors
-    out = []
-    most = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, v)]
-    if 4 * max(1.0, most[0]) * max(1.0, most[1]) * max(1, q.shape[1]) < 2**53:
-        shard, w = Postings(vid, vrow, v), q.astype(np.float64)
-        for i in range(len(q)):
-            best = maxscore(w[i], qrow[i], shard, k)
-            out += [(qrow[i], qid[i], v, int(x), "") for v, x in zip(best.ids.tolist(), best.scores.tolist(), strict=True)]
-        return out
-    for i in range(len(q)):
-        other = np.flatnonzero(vrow != qrow[i])
-        scores = exact_scores(q[i : i + 1], v[other])[0].tolist()
-        for j in sorted(range(len(other)), key=lambda j: (-scores[j], vid[other[j]]))[:k]:
-            x = int(scores[j])
-            out.append((qrow[i], qid[i], int(vid[other[j]]), min(max(x, _LEAST), _MOST), "" if _LEAST < x < _MOST else f"{x + 2**200:051x}"))
-    return out
-
-
-def _matrix(rows: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, keys = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
-    vectors = rows.field("v")
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.rows, self.q, self.k = ids, rows, q, k
+        self.w, self.most = q.astype(np.float64), _most(q)
+        self.best, self.large = [Best(k) for _ in ids], [[] for _ in ids]
+
+    def meet(self, shard: Shard) -> None:
+        if 4 * max(1.0, self.most) * max(1.0, shard.most) * max(1, self.q.shape[1]) < 2**53:
+            for i, best in enumerate(self.best):
+                maxscore(self.w[i], self.rows[i], shard.postings(), self.k, best)
+            return
+        for i, large in enumerate(self.large):
+            other = np.flatnonzero(shard.rows != self.rows[i])
+            scores = exact_scores(self.q[i : i + 1], shard.v[other])[0].tolist()
+            found = zip(scores, shard.ids[other].tolist(), strict=True)
+            self.large[i] = sorted([*large, *found], key=lambda x: (-x[0], x[1]))[: self.k]
+
+    def found(self) -> Iterator[tuple]:
+        """(query row, query id, vector id, score, exact): exact has what is beyond the ends of 64 bits, in an order of strings."""
+        for row, query, best, large in zip(self.rows.tolist(), self.ids.tolist(), self.best, self.large, strict=True):
+            yield from ((row, query, v, int(x), "") for v, x in zip(best.ids.tolist(), best.scores.tolist(), strict=True))
+            yield from ((row, query, v, min(max(x, _LEAST), _MOST), "" if _LEAST < x < _MOST else f"{x + 2**200:051x}") for x, v in large)
+
+
+def _most(v: np.ndarray) -> float:
+    return float(np.abs(v.astype(np.float64)).max(initial=0))
+
+
+class Shard:
+    """Vectors that blocks of queries meet."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, v: np.ndarray) -> None:
+        self.ids, self.rows, self.v, self.most = ids, rows, v, _most(v)
+        self._postings = None
+
+    def postings(self) -> Postings:
+        if self._postings is None:
+            self._postings = Postings(self.ids, self.rows, self.v)
+        return self._postings
+
+
+def _matrix(rows: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, keys = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
+    vectors = rows.column("v")
     lengths = np.diff(vectors.offsets.to_numpy())
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if (lengths == width).all():
@@ -160,6 +184,49 @@ def _matrix(rows: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return ids, keys, out
 
 
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """v in the least integers that hold it."""
+    return next(v.astype(t) for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= v.min(initial=0) and v.max(initial=0) <= np.iinfo(t).max)
+
+
+_PACKET = "key long, part int, ids binary, rows binary, v binary"
+
+
+def _pack(width: int, most: int):
+    """Rows of a part to packets of at most so many rows; key is a row of the packet, and so its own."""
+
+    def packet(part: int, ids: np.ndarray, rows: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        values = [[int(rows[0])], [part], [ids.astype("<i8").tobytes()], [rows.astype("<i8").tobytes()], [_narrow(v).tobytes()]]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types, strict=True)], [c.split()[0] for c in _PACKET.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("maxscore")
+        held, n, part = [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part")[0].as_py()
+            for at in range(0, batch.num_rows, most):
+                some = batch.slice(at, most)
+                if n + some.num_rows > most:
+                    yield packet(part, *map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+                ids, rows, v = _matrix(some, width)
+                held.append((ids, rows, _narrow(v)))
+                n += some.num_rows
+        if held:
+            yield packet(part, *map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+def _unpack(batch: pa.RecordBatch, i: int, kind: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, rows, v = (batch.column(f"{kind}_{c}")[i].as_buffer() for c in ("ids", "rows", "v"))
+    ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8")
+    return ids.copy(), rows.copy(), np.frombuffer(v, f"<i{v.size // (len(ids) * width)}").reshape(len(ids), width).astype(np.int64)
+
+
 _FOUND = "query_row long, query_id long, vec_id long, score long, exact string"
 
 
@@ -168,11 +235,19 @@ def _search(width: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("maxscore")
+        blocks, key, shard = {}, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                found = search_shard(_matrix(batch.column("queries")[i].values, width), _matrix(batch.column("vectors")[i].values, width), k)
-                columns = zip(*found, strict=True) if found else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
+                query, vector = batch.column("q_key")[i].as_py(), batch.column("v_key")[i].as_py()
+                if query not in blocks:
+                    blocks[query] = Block(*_unpack(batch, i, "q", width), k)
+                if vector != key:
+                    key, shard = vector, Shard(*_unpack(batch, i, "v", width))
+                blocks[query].meet(shard)
+        for block in blocks.values():
+            found = list(block.found())
+            columns = zip(*found, strict=True) if found else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
     return run
 
@@ -183,11 +258,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     queries and vectors have (id long, v array<long>) and may have row, a unique long: a query does
     not find the vector of its own row. Rows are what counts: rows with one id, or equal in all, are
     queries and vectors of their own, each with its own ranks. Without row nothing is left out.
-    Queries are dealt to blocks and vectors to shards by a hash, every block meets every shard
-    once (the work is all queries against all vectors), and the shards' lists are merged by rank,
-    ties to the smaller id. Null ids and null vectors take no part; of vectors of different lengths
-    the missing components count as 0; without queries or vectors the result is empty. Scores
-    beyond 64 bits are ranked as they are and written as the end of the range.
+    Queries are dealt to blocks and vectors to at most PARTS parts by a hash, and packed. A task is
+    a block and a part, and reads the part's shards one by one from the shuffled packets, which lie
+    there once: neither side is copied for the other or passes through the driver (the work is all
+    queries against all vectors). A query's threshold goes from shard to shard, and the parts' lists
+    are merged by rank, ties to the smaller id. Null ids and null vectors take no part; of vectors
+    of different lengths the missing components count as 0; without queries or vectors the result
+    is empty. Scores beyond 64 bits are ranked as they are and written as the end of the range.
     """
     spark = vectors.sparkSession
     common.ship(spark)
@@ -199,14 +276,18 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     vectors, queries = taking_part(vectors, "vectors", -1), taking_part(queries, "queries", -(2**62))
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     n_q, width_q = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_q // BLOCK_QUERIES))
-
-    def dealt(df: DataFrame, parts: int, number: str, rows: str) -> DataFrame:
-        return df.groupBy(F.pmod(F.xxhash64("id", "row"), F.lit(parts)).cast("int").alias(number)).agg(F.collect_list(F.struct("id", "row", "v")).alias(rows))
-
-    blocked = dealt(queries, blocks, "block", "queries").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = blocked.join(dealt(vectors, shards, "shard", "vectors"), "shard").select("queries", "vectors")
-    found = met.mapInArrow(_search(max(width, width_q, 1), k), _FOUND)
+    width = max(width, width_q, 1)
+    shard, block = (max(1, min(rows, PACKET_VALUES // width)) for rows in (SHARD_ROWS, BLOCK_QUERIES))
+    parts, blocks = max(1, min(PARTS, -(-n // shard))), max(1, -(-n_q // block))
+
+    def packed(df: DataFrame, parts: int, most: int, kind: str) -> DataFrame:
+        rows = df.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
+        packets = rows.mapInArrow(_pack(width, most), _PACKET).repartitionById(parts, F.col("part"))
+        return packets.select(*[F.col(c).alias(f"{kind}_{c}") for c in ("key", "ids", "rows", "v")])
+
+    # the hint keeps the smaller side from being broadcast; a task holds the block and streams the part
+    met = packed(vectors, parts, shard, "v").hint("shuffle_replicate_nl").crossJoin(packed(queries, blocks, 2 * block, "q"))
+    found = met.mapInArrow(_search(width, k), _FOUND)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("exact").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

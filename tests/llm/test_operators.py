@@ -121,6 +121,29 @@ def test_top_k(spark):
     assert maxscore.top_k(empty, empty).count() == 0
 
 
+def test_top_k_keeps_vectors_and_queries_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 64)  # the driver once took a copy of all queries for every shard
+    rng = np.random.default_rng(6)
+    v = rng.integers(-300, 300, (4000, 16))
+    v[1000:1040] = v[7]  # ties, in several shards
+    rows = [(int(n) // 2, n, v[n].tolist()) for n in range(4000)]
+    vectors = spark.createDataFrame(rows, "id long, row long, v array<long>").repartition(3)
+    want = Counter()
+    for i, n, x in rows[::8]:
+        scores = v @ v[n]
+        want.update((i, rank, m // 2, int(scores[m])) for rank, m in enumerate(sorted((m for m in range(4000) if m != n), key=lambda m: (-scores[m], m // 2))[:5], 1))
+    conf = spark.sparkContext._jsc.sc().conf()
+    for blocks in (4096, 60):
+        monkeypatch.setattr(maxscore, "BLOCK_QUERIES", blocks)
+        conf.set("spark.driver.maxResultSize", "1m")
+        try:
+            found = maxscore.top_k(vectors.filter("row % 8 = 0"), vectors)
+            got = Counter(tuple(r) for r in found.collect())
+        finally:
+            conf.remove("spark.driver.maxResultSize")
+        assert got == want
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_maxscore_prunes_and_loses_nothing(block, monkeypatch):
     monkeypatch.setattr(maxscore, "POSTING_BLOCK", block)
