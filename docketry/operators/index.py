@@ -1,7 +1,8 @@
 """Stored indexes: terms, postings and vectors as tables, searched without the texts.
 
-A term's postings hold the weight of the term in each text, divided by the length of the text's vector,
-so that a query reads its own terms' postings and adds up. Postings are partitioned by a hash of the term.
+A term's postings hold how often each text has the term; the lengths of the texts' vectors are a table
+of their own. A query reads its own terms' postings, adds up and divides. Terms are sorted in parts, told
+by a hash of their words, so that pages of a file without them are passed over.
 """
 
 from __future__ import annotations
@@ -12,17 +13,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from docketry.operators import search
+from docketry import workers
+from docketry.operators import inverted, search
 from docketry.sources import tables
 
-#: Postings of a part of the index, on average, and most parts; a query reads the parts of its terms.
-PART_POSTINGS, MOST_PARTS = 500_000, 4096
+#: Letters of the texts for each part of the index (about a million postings), and most parts.
+PART_LETTERS, MOST_PARTS = 8_000_000, 4096
+#: How terms are stored: neighbours share their beginnings, and numbers of texts take few bits.
+PACKED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
+
+
+def _found(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(search.TOKEN), F.lit(0))
+
+
+def _idf(df: Column, n: int) -> Column:
+    return F.log((1.0 + n) / (1 + df)) + 1
 
 
 def words(text: Column, stop_words: Sequence[str] = search.STOP_WORDS) -> Column:
     """Lower-case words of two letters or more, without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(search.TOKEN), F.lit(0))
+    found = _found(text)
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
@@ -32,58 +45,59 @@ def terms(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def term_counts(texts: DataFrame, key: str = "doc_id", stop_words: Sequence[str] = search.STOP_WORDS) -> DataFrame:
-    """key, term, tf. Terms are sorted in their own row and runs are measured, so nothing is shuffled."""
-    sorted_terms = texts.select(key, words(F.col("text"), stop_words).alias("w")).select(key, F.array_sort(terms(F.col("w"))).alias("t"))
-    # no filter on sizes: the optimizer would work everything out twice, once below any shuffle
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
-    # where a run of equal terms begins; columns are kept out of the lambdas, where they would be worked out for each element
-    begins = F.filter(F.transform(F.zip_with("t", before, lambda a, b: a.isNull() | a.eqNullSafe(b)), lambda same, i: F.when(~same, i)), lambda i: i.isNotNull())
-    runs = sorted_terms.select(key, F.array_distinct("t").alias("term"), F.concat(begins, F.array(F.size("t"))).alias("at"))
-    lengths = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at")), lambda a, b: b - a)
-    return runs.select(key, F.inline(F.arrays_zip("term", lengths.alias("tf"))))
-
-
-def _part(term: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
-
-
 def build(texts: DataFrame, path: str, key: str = "doc_id", max_features: int | None = None, stop_words: Sequence[str] = search.STOP_WORDS) -> None:
-    """Write the keyword index of texts (key, text) at path: terms (term, df, idf), postings (term, key, w), meta.
+    """Write the keyword index of texts (key, text) at path: terms with their postings, texts (number, key, norm), meta.
 
-    Weights are (1 + ln tf) * idf with idf = ln((1 + n) / (1 + df)) + 1, and each text's vector has
-    length 1. max_features keeps the terms that occur most, ties to the smaller term. Texts that have
-    no term have no posting. Without texts there is nothing to index: ValueError.
+    A row of terms is (part, term, block, df, occurrences, texts, tfs): numbers of texts that have the
+    term and how often; what goes beyond a block has rows of its own. Rows without a term hold keys.
+    Weights are (1 + ln tf) * idf with idf = ln((1 + n) / (1 + df)) + 1; norm is the length of a text's
+    vector. max_features keeps the terms that occur most, ties to the smaller term. Texts that have no
+    term are not among texts. Without texts there is nothing to index: ValueError.
     """
     spark = texts.sparkSession
-    n = texts.count()
+    n, letters = texts.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     if not n:
         raise ValueError("cannot build an index of no texts")
     cores = spark.sparkContext.defaultParallelism
     if texts.rdd.getNumPartitions() < cores:  # a small file: more cores than it has splits
         texts = texts.select(key, "text").repartition(cores)
-    tables.write(term_counts(texts, key, stop_words), f"{path}/counts")
-    counts = tables.read(spark, f"{path}/counts")
-    parts = min(MOST_PARTS, 1 + counts.count() // PART_POSTINGS)
-    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+    workers.ship(spark)
+    parts = min(MOST_PARTS, 1 + (letters or 0) // PART_LETTERS)
+    packed = texts.select(key, _found(F.col("text")).alias("w")).mapInArrow(inverted.pieces(parts, list(stop_words)), inverted.PIECES)
+    kind = texts.schema[key].dataType
+    rows = f"part int, term string, block int, df long, occurrences long, texts array<long>, tfs array<int>, keys array<{kind.simpleString()}>"
+    whole = packed.repartitionById(parts, F.col("part")).mapInArrow(inverted.merged(to_arrow_type(kind)), rows)
+    held = f"{path}/terms" if max_features is None else f"{path}/whole"
+    sent = {f"spark.sql.execution.arrow.{name}": value for name, value in inverted.SENT.items()}
+    before = {name: spark.conf.get(name) for name in sent}
+    try:
+        for name, value in sent.items():
+            spark.conf.set(name, value)
+        tables.write(whole, held, options=PACKED)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    whole = tables.read(spark, held)
+    known = whole.filter("term IS NOT NULL").drop("keys")
     if max_features is not None:
-        known = known.orderBy(F.col("occurrences").desc(), "term").limit(max_features)
-    known = known.withColumn("idf", F.log((1.0 + n) / (1 + F.col("df"))) + 1).withColumn("part", _part(F.col("term"), parts))
-    tables.write(known.hint("rebalance", "part").sortWithinPartitions("part", "term"), f"{path}/terms", ["part"])
-    idf = tables.read(spark, f"{path}/terms").select("term", "idf")
-    weighed = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    placed = weighed.select("term", key, (F.col("w") / norm).alias("w"), _part(F.col("term"), parts).alias("part"))
-    # a term that many texts have is more than a task's share: parts are split and joined by size
-    tables.write(placed.hint("rebalance", "part").sortWithinPartitions("part", "term"), f"{path}/postings", ["part"])
+        most = known.filter("block = 0").orderBy(F.col("occurrences").desc(), "term").limit(max_features).select("term")
+        tables.write(known.join(most, "term", "left_semi").sortWithinPartitions("part", "term", "block"), f"{path}/terms", options=PACKED)
+        known = tables.read(spark, f"{path}/terms")
+    # few tasks, so that a text's sum passes the shuffle few times
+    each = known.coalesce(2 * cores).select(_idf(F.col("df"), n).alias("idf"), F.inline(F.arrays_zip(F.col("texts").alias("number"), F.col("tfs").alias("tf"))))
+    w = (1 + F.log("tf")) * F.col("idf")
+    norms = each.groupBy("number").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    keys = whole.filter("keys IS NOT NULL").select(F.inline(F.arrays_zip(F.col("texts").alias("number"), F.col("keys").alias(key))))
+    tables.write(keys.join(norms, "number"), f"{path}/texts")
     meta = spark.range(1).select(F.lit(n).alias("n"), F.lit(parts).alias("parts"), F.lit(key).alias("key"), F.array(*map(F.lit, stop_words)).cast("array<string>").alias("stop_words"), F.current_timestamp().alias("built_at"))
     tables.write(meta, f"{path}/meta")
-    tables.drop(spark, f"{path}/counts")
+    if max_features is not None:
+        tables.drop(spark, held)
 
 
 def available(spark: SparkSession, path: str) -> bool:
     """Whether a complete index is stored at path."""
-    return all(tables.exists(spark, f"{path}/{name}") for name in ("terms", "postings", "meta"))
+    return all(tables.exists(spark, f"{path}/{name}") for name in ("terms", "texts", "meta"))
 
 
 class KeywordIndex:
@@ -95,30 +109,33 @@ class KeywordIndex:
         self.spark = spark
         meta = tables.read(spark, f"{path}/meta").first()
         self.n, self.parts, self.key, self.stop_words = meta.n, meta.parts, meta.key, list(meta.stop_words)
-        self.terms, self.postings = tables.read(spark, f"{path}/terms"), tables.read(spark, f"{path}/postings")
+        self.terms, self.texts = tables.read(spark, f"{path}/terms").filter("term IS NOT NULL"), tables.read(spark, f"{path}/texts")
+
+    def _of(self, terms: Sequence[str]) -> DataFrame:
+        return self.terms.filter(F.col("part").isin(*{inverted.part_of(t, self.parts) for t in terms}) & F.col("term").isin(*terms))
 
-    def weights(self, query: str) -> list[tuple[int, str, float]]:
-        """(part, term, weight) of the query's terms that the index knows, as a vector of length 1."""
+    def weights(self, query: str) -> dict[str, tuple[float, float]]:
+        """(weight, idf) by term of the query's terms that the index knows; weights as a vector of length 1."""
         asked = self.spark.range(1).select(F.explode(terms(words(F.lit(query), self.stop_words))).alias("term"))
         tf = Counter(r.term for r in asked.collect())
         if not tf:
-            return []
-        parts = self.spark.range(1).select(F.explode(F.array(*map(F.lit, tf))).alias("term")).select("term", _part(F.col("term"), self.parts).alias("part")).collect()
-        idf = {r.term: r.idf for r in self.terms.filter(F.col("part").isin(*{r.part for r in parts}) & F.col("term").isin(*tf)).collect()}
-        known = [(r.part, r.term, (1 + math.log(tf[r.term])) * idf[r.term]) for r in parts if r.term in idf]
-        length = math.sqrt(sum(w * w for *_, w in known))
-        return [(part, term, w / length) for part, term, w in known]
+            return {}
+        idf = {r.term: r.idf for r in self._of(list(tf)).filter("block = 0").select("term", _idf(F.col("df"), self.n).alias("idf")).collect()}
+        known = {term: (1 + math.log(tf[term])) * idf[term] for term in tf if term in idf}
+        length = math.sqrt(sum(w * w for w in known.values()))
+        return {term: (w / length, idf[term]) for term, w in known.items()}
 
     def search(self, query: str, k: int = 10) -> DataFrame:
         """key, score, rank of the k best by cosine; blank queries and those of unknown terms have none; ties to the smaller key."""
         asked = self.weights(query)
         if not asked:
-            return self.postings.filter(F.lit(False)).select(self.key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+            return self.texts.filter(F.lit(False)).select(self.key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         weight = F.lit(0.0)
-        for _, term, w in asked:
-            weight = F.when(F.col("term") == term, w).otherwise(weight)
-        hits = self.postings.filter(F.col("part").isin(*{p for p, *_ in asked}) & F.col("term").isin(*{t for _, t, _ in asked}))
-        scored = hits.groupBy(self.key).agg(F.round(F.sum(F.col("w") * weight), 6).alias("score")).filter("score > 0")
+        for term, (w, idf) in asked.items():
+            weight = F.when(F.col("term") == term, w * idf).otherwise(weight)
+        hits = self._of(list(asked)).select(weight.alias("w"), F.inline(F.arrays_zip(F.col("texts").alias("number"), F.col("tfs").alias("tf"))))
+        summed = hits.groupBy("number").agg(F.sum((1 + F.log("tf")) * F.col("w")).alias("dot"))
+        scored = summed.join(self.texts, "number").select(self.key, F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter("score > 0")
         best = scored.orderBy(F.col("score").desc(), self.key).limit(k)
         return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), self.key)))
 
@@ -167,9 +184,9 @@ def search_vectors(vectors: DataFrame, query: list[float], k: int = 10, key: str
 
 
 def remove(spark: SparkSession, path: str, stem: str, key: str = "chunk_id") -> int:
-    """Take a document's chunks out of the vector table and the postings at path; how many it had.
+    """Take a document's chunks out of the vector table and the index's texts at path; how many it had.
 
-    Terms keep their document frequencies until the next build.
+    Terms keep their postings and document frequencies until the next build.
     """
     gone = F.regexp_replace(F.col(key), "_[^_]*_[^_]*$", "") == stem
     removed = 0
@@ -178,10 +195,10 @@ def remove(spark: SparkSession, path: str, stem: str, key: str = "chunk_id") ->
         removed = vectors.filter(F.col("stem") == stem).count()
         if removed:
             tables.write(vectors.filter(F.col("stem") != stem), f"{path}/vectors")
-    postings = tables.read(spark, f"{path}/keyword/postings")
-    if postings is not None:
-        own = postings.filter(gone).select(key).distinct().count()
+    texts = tables.read(spark, f"{path}/keyword/texts")
+    if texts is not None:
+        own = texts.filter(gone).count()
         if own:
-            tables.write(postings.filter(~gone), f"{path}/keyword/postings", ["part"])
+            tables.write(texts.filter(~gone), f"{path}/keyword/texts")
         removed = max(removed, own)
     return removed

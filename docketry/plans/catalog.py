@@ -191,7 +191,7 @@ def _keyword(spark, d, k: int = 10) -> DataFrame:
 @query(_TOKENS + "SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY term")
 def tfidf_terms(spark, d):
     """Builds the index that the searches read."""
-    return tables.read(spark, f"{_index(spark, d, again=True)}/terms").select("term", "df", "occurrences")
+    return tables.read(spark, f"{_index(spark, d, again=True)}/terms").filter("block = 0").select("term", "df", "occurrences")
 
 
 _Q = "['" + "', '".join(w for w in QUERY_TEXT.split() if w not in search.STOP_WORDS) + "']"

@@ -42,11 +42,11 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v{found[-1]:06d}") if found else None
 
 
-def write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), options: dict[str, str] | None = None) -> None:
     """A new version; readers see the one before until this one is complete. Old ones beyond KEPT go."""
     spark = df.sparkSession
     old = versions(spark, path)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/v{(old[-1] if old else 0) + 1:06d}")
+    df.write.mode("overwrite").options(**options or {}).partitionBy(*partition_by).parquet(f"{path}/v{(old[-1] if old else 0) + 1:06d}")
     for n in old[: len(old) + 1 - KEPT]:
         fs, at = _files(spark, f"{path}/v{n:06d}")
         fs.delete(at, True)

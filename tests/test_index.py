@@ -75,6 +75,43 @@ def test_index_needs_texts_and_is_found_when_built(spark, built, tmp_path):
     assert [r.term for r in tables.read(spark, str(tmp_path / "few/terms")).collect()] == ["red"]
 
 
+def test_a_posting_takes_few_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = [(i, " ".join(rng.choices(words, k=120))) for i in range(1500)]
+    index.build(spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path / "i"))
+    postings = sum(len({*w, *zip(w, w[1:])}) for w in (t.split() for _, t in texts))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 8 * postings
+
+
+def test_postings_of_segments_are_merged_in_blocks(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    from docketry.operators import inverted
+
+    monkeypatch.setattr(inverted, "BLOCK", 3)
+    texts = [["red", "wheel", "red"], None, ["red", "the", "wheel"], [], ["red"], ["ünter", "red"], ["red", "wheel", "red", "wheel"]]
+    want = {}
+    for number, words in enumerate(texts):
+        words = [w for w in words or [] if w != "the"]
+        for term, tf in Counter([*words, *map(" ".join, zip(words, words[1:]))]).items():
+            want.setdefault(term, []).append((number, tf))
+    parts, rows, keys = 4, [], {}
+    batches = [pa.record_batch([pa.array([f"k{i}" for i in range(a, b)]), pa.array(texts[a:b], pa.list_(pa.string()))], ["key", "w"]) for a, b in ((0, 3), (3, 4), (4, 7))]
+    pieces = [b for base, held in ((0, batches[:1]), (3, batches[1:])) for b in inverted._segment(held, base, parts, ["the"])]
+    for p in range(parts):
+        own = [b.filter(pa.compute.equal(b.column(0), p)) for b in pieces]
+        for b in inverted.merged(pa.string())(own):
+            rows += [r for r in b.to_pylist() if r["term"]]
+            keys |= {n: k for r in b.to_pylist() if not r["term"] for n, k in zip(r["texts"], r["keys"])}
+    assert keys == {i: f"k{i}" for i in range(7)}
+    got = {}
+    for r in rows:
+        assert len(r["texts"]) <= 3 and r["part"] == inverted.part_of(r["term"], parts) and r["block"] == len(got.get(r["term"], [])) // 3
+        got.setdefault(r["term"], []).extend(zip(r["texts"], r["tfs"]))
+        assert r["df"] == len(want[r["term"]]) and r["occurrences"] == sum(tf for _, tf in want[r["term"]])
+    assert got == want and len(got["red"]) == 5
+
+
 def test_versions_replace_each_other(spark, tmp_path):
     path = str(tmp_path / "t")
     assert tables.read(spark, path) is None
