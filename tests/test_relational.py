@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
-from docketry.operators import chunking, chunks, enrich, folds, search, state
+from docketry.operators import chunking, chunks, citations, classify, enrich, folds, search, state
 from docketry.plans import catalog
 from docketry.sources import loadfile
 
@@ -178,3 +178,12 @@ def test_wide_gaps_are_refined_or_marked(spark):
     rows = spark.createDataFrame([(1, text, [first, second]), (2, other, ["opening", "nothing like the text closing"])], "doc_id long, text string, pages array<string>")
     got = [(r.doc_id, r.page, r.start, r.wide, r.flagged) for r in folds.align_pages(rows).orderBy("doc_id", "page").collect()]
     assert got == [(1, 1, 0, False, False), (1, 2, len(first) + 1, False, False), (2, 1, 0, False, True), (2, 2, starts[0], True, True)]
+
+
+def test_keywords_are_sought_in_distinct_lines(spark):
+    rows = spark.createDataFrame([(1, "a court reporter,\na CCR\na court reporter,\n\nYour\nHonor"), (2, "")], "doc_id long, text string")
+    found = classify.content_signal(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(split(upper(text" in plan
+    # no keyword goes over the end of a line, and one counts once however many lines have it
+    assert [(r.doc_id, r.doc_type, round(r.score, 6)) for r in found.collect()] == [(1, "deposition", round(2 / 3.6, 6))]
