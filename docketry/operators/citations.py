@@ -11,6 +11,8 @@ from docketry.operators import cite
 TOP, BOTTOM, LINES = 655.0, 87.5, 25
 LEAST_ELEMENTS = 8
 GAP_LINES = GAP_STAMPS = 5
+#: Stamps that a task looks through for pages with several.
+TASK_ROWS = 500_000
 
 
 def elements(lineitem: DataFrame) -> DataFrame:
@@ -66,5 +68,7 @@ def stamp_gaps(stamps: DataFrame, by: str) -> DataFrame:
 
 def stamp_duplicates(stamps: DataFrame, by: str) -> DataFrame:
     """Pages with more than one stamp."""
-    seen = stamps.groupBy(by, "page").agg(F.countDistinct("stamp").alias("n_stamps"), F.min("stamp").alias("first_stamp"))
+    # dealt first: sums of a task's own rows would be as many as the rows, and a task may read tens of millions
+    dealt = stamps.select(by, "page", "stamp").repartition(1 + stamps.count() // TASK_ROWS, by, "page")
+    seen = dealt.groupBy(by, "page").agg(F.countDistinct("stamp").alias("n_stamps"), F.min("stamp").alias("first_stamp"))
     return seen.filter("n_stamps > 1")

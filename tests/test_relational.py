@@ -187,3 +187,12 @@ def test_keywords_are_sought_in_distinct_lines(spark):
     assert "array_distinct(split(upper(text" in plan
     # no keyword goes over the end of a line, and one counts once however many lines have it
     assert [(r.doc_id, r.doc_type, round(r.score, 6)) for r in found.collect()] == [(1, "deposition", round(2 / 3.6, 6))]
+
+
+def test_stamps_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(citations, "TASK_ROWS", 10, raising=False)
+    rows = spark.range(200, numPartitions=1).selectExpr("id % 50 AS doc_id", "int(id % 2) AS page", "id % 100 AS stamp")
+    found = citations.stamp_duplicates(rows, "doc_id")
+    assert {(r.doc_id, r.page, r.n_stamps, r.first_stamp) for r in found.collect()} == {(i, i % 2, 2, i) for i in range(50)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 21" in plan  # nothing is summed before it is dealt
